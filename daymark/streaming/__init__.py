@@ -1,0 +1,2 @@
+"""Deliberately empty: every source is a whole landed file or table, so there is no
+stream, watermark or keyed state to express (see README, "Not built")."""
