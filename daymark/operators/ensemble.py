@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark import inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -30,6 +30,9 @@ SMOTE_RATIO = 0.9
 
 MEMBERS = tuple(VOTE_WEIGHTS)
 
+# Training rows per task: a few tens of megabytes of assembled vectors.
+ROWS_PER_TASK = 50_000
+
 
 def soft_vote(p_lr: Column, p_gbm: Column, p_rf: Column) -> Column:
     """Weighted mean of the members' P(up)."""
@@ -58,31 +61,32 @@ def standardiser(stats: Sequence, columns: Sequence[str]) -> SQLTransformer:
     return SQLTransformer(statement=f"SELECT *, {', '.join(terms)} FROM __THIS__")
 
 
-def _columns_for(member: str) -> dict[str, str]:
-    return {
-        "featuresCol": "features",
-        "labelCol": "target",
-        "predictionCol": f"class_{member}",
-        "probabilityCol": f"prob_{member}",
-        "rawPredictionCol": f"raw_{member}",
-    }
+def _named(learner, member: str):
+    """Give a learner input and output columns of its own, so that several fit one pipeline."""
+    return (
+        learner.setFeaturesCol("features")
+        .setLabelCol("target")
+        .setPredictionCol(f"class_{member}")
+        .setProbabilityCol(f"prob_{member}")
+        .setRawPredictionCol(f"raw_{member}")
+    )
 
 
 def logistic(n_train: int) -> LogisticRegression:
     """Elastic net. The penalty is per observation here, hence 1 / (C n) for balanced weights."""
-    return LogisticRegression(
+    learner = LogisticRegression(
         regParam=1.0 / (C * n_train),
         elasticNetParam=L1_RATIO,
         maxIter=LR_ITERATIONS,
         tol=1e-8,
         standardization=False,
         weightCol="weight",
-        **_columns_for("lr"),
     )
+    return _named(learner, "lr")
 
 
 def boosted_trees(n_features: int) -> GBTClassifier:
-    return GBTClassifier(
+    learner = GBTClassifier(
         maxDepth=GBM_DEPTH,
         stepSize=GBM_RATE,
         maxIter=GBM_TREES,
@@ -90,20 +94,20 @@ def boosted_trees(n_features: int) -> GBTClassifier:
         minInstancesPerNode=GBM_LEAF,
         featureSubsetStrategy=subset_size(n_features),
         seed=SEED,
-        **_columns_for("gbm"),
     )
+    return _named(learner, "gbm")
 
 
 def random_forest(n_features: int) -> RandomForestClassifier:
-    return RandomForestClassifier(
+    learner = RandomForestClassifier(
         numTrees=RF_TREES,
         maxDepth=RF_DEPTH,
         minInstancesPerNode=RF_LEAF,
         featureSubsetStrategy=subset_size(n_features),
         weightCol="weight",
         seed=SEED,
-        **_columns_for("rf"),
     )
+    return _named(learner, "rf")
 
 
 @dataclass
@@ -153,7 +157,14 @@ def fit_fold(data: FoldData, fold: int, members: Sequence[str] = MEMBERS, smote:
         rows, weights = oversample.balance(rows, weights, SMOTE_RATIO, SEED)
         n_train = weights.n_train
     weight = F.when(F.col("target") == 1, F.lit(weights.weight_up)).otherwise(F.lit(weights.weight_down))
-    rows = rows.withColumn("weight", weight).select("features", "target", "weight").persist()
+    # Spread by the unique key and order inside each task: no skew, and the same trees every run.
+    tasks = max(1, -(-n_train // ROWS_PER_TASK))
+    rows = (
+        rows.repartition(tasks, "series_id", "date")
+        .sortWithinPartitions("series_id", "date")
+        .select("features", "target", weight.alias("weight"))
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
     n = len(data.columns)
     learners = {
         "lr": lambda: logistic(n_train),

@@ -1,6 +1,196 @@
-"""placeholder"""
-from daymark.operators import align
+"""Whole jobs: combine landed files, train, forecast, report."""
+
+from __future__ import annotations
+
+import datetime as dt
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.errors import AnalysisException
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from py4j.protocol import Py4JJavaError
+
 from daymark.functions import scalars as S
-def latest(df):
-    return align.last_row(df).select("series_id", S.iso_date(F.col("date")).alias("date"), "price","rate","fx",F.col("trend_a").cast("int").alias("trend_a"),F.col("trend_b").cast("int").alias("trend_b"))
+from daymark.operators import align, ensemble, features, folds, labels, metrics, scenarios
+from daymark.session import materialise
+from daymark.sources import files, sinks
+
+# Model name in the summary, lookback in years.
+MODEL_NAME = "Ensemble (LR + GBM + RF)"
+LOOKBACK_YEARS = 70
+
+SUMMARY_SCHEMA = (
+    "model string, accuracy double, roc_auc double, f1_score double, up_precision double, down_precision double, "
+    "training_period string, test_samples bigint, features_used int, timestamp timestamp"
+)
+
+
+@dataclass(frozen=True)
+class Sources:
+    """Paths of the four landed series."""
+
+    price_csv: str
+    rate_json: str
+    fx_csv: str
+    trend_json: str
+    series_id: str = "price"
+    multi_line_json: bool = True
+
+
+def combine_sources(
+    spark: SparkSession, sources: Sources, as_of: dt.date | None = None, backward: bool = True
+) -> DataFrame:
+    """Read the four series, check them, and bring them onto the price dates.
+
+    Price and exchange rate look back from their own latest date, the rate from ``as_of``.
+    """
+    as_of = as_of or dt.date.today()
+    price = files.require_rows(files.read_price_csv(spark, sources.price_csv), "price series")
+    fx = files.require_rows(files.read_fx_csv(spark, sources.fx_csv), "exchange-rate series")
+    rate = files.read_observations_json(spark, sources.rate_json, multi_line=sources.multi_line_json)
+    trend = files.read_timeline_json(spark, sources.trend_json, multi_line=sources.multi_line_json)
+
+    price = align.lookback(price, LOOKBACK_YEARS).select(F.lit(sources.series_id).alias("series_id"), "date", "price")
+    fx = align.lookback(fx, LOOKBACK_YEARS)
+    rate = align.lookback(rate, LOOKBACK_YEARS, as_of=as_of).filter(F.col("date") <= F.lit(as_of))
+    for side in (fx, rate):
+        align.check_unique(side, ("date",))
+    align.check_unique(price)
+
+    daily_trend = align.upsample_daily(trend, ["trend_a", "trend_b"])
+    combined = align.combine_daily(price, rate, fx, daily_trend, backward=backward)
+    combined = combined.select("series_id", "date", "price", "rate", "fx", "trend_a", "trend_b")
+    return align.check_has_values(combined, ["price", "rate", "fx", "trend_a", "trend_b"])
+
+
+def engineer(combined: DataFrame) -> DataFrame:
+    """Labelled feature frame with its year, no-change rows included."""
+    return folds.with_year(features.engineer(labels.add_target(combined)))
+
+
+@dataclass
+class Trained:
+    """What training leaves behind."""
+
+    predictions: DataFrame
+    summary: DataFrame
+    details: DataFrame
+    model: PipelineModel
+    columns: list[str]
+
+
+def summarise_training(
+    predictions: DataFrame, n_features: int, years: folds.Years, stamp: dt.datetime
+) -> tuple[DataFrame, DataFrame]:
+    """One-row summary of ten fields, and the fuller metrics row with cells and verdict."""
+    auc = metrics.roc_auc(predictions).select("roc_auc").scalar()
+    details = metrics.accuracy_verdict(metrics.classification_metrics(predictions)).withColumn("roc_auc", auc)
+    summary = details.select(
+        F.lit(MODEL_NAME).alias("model"),
+        "accuracy",
+        "roc_auc",
+        "f1_score",
+        "up_precision",
+        "down_precision",
+        F.format_string("%d-%d", F.lit(years.train_from), F.lit(years.train_to)).alias("training_period"),
+        "test_samples",
+        F.lit(n_features).alias("features_used"),
+        F.lit(stamp).cast("timestamp").alias("timestamp"),
+    )
+    return summary, details
+
+
+def train(
+    engineered: DataFrame,
+    years: folds.Years = folds.Years(),
+    feature_set: str = "all",
+    smote: bool = False,
+    members: Sequence[str] = ensemble.MEMBERS,
+    stamp: dt.datetime | None = None,
+) -> Trained:
+    """Walk-forward training on an engineered frame (see :func:`engineer`)."""
+    rows = labels.binary_target(engineered)
+    columns = features.model_columns(rows, feature_set)
+    data = ensemble.prepare(rows, columns, years)
+    result = ensemble.walk_forward(data, members, smote)
+    summary, details = summarise_training(result.predictions, len(columns), years, stamp or dt.datetime.now())
+    return Trained(result.predictions, summary, details, result.model, columns)
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(spark: SparkSession, path: str) -> PipelineModel:
+    """Load a saved model; a missing one is a clear error."""
+    try:
+        return PipelineModel.load(path)
+    except (AnalysisException, Py4JJavaError) as error:
+        raise FileNotFoundError(f"no trained model at {path}: train first") from error
+
+
+def model_inputs(model: PipelineModel) -> list[str]:
+    """Feature columns of a saved model, in order."""
+    return [c.removeprefix("z_") for c in model.stages[1].getInputCols()]
+
+
+def forecast(
+    model: PipelineModel,
+    engineered: DataFrame,
+    seed: int,
+    days: int = scenarios.HORIZON_DAYS,
+    simulations: int = scenarios.SIMULATIONS,
+) -> DataFrame:
+    """Scenario forecast of the coming days for every series, one scored frame for all of them."""
+    stats = scenarios.return_stats(align.recent_rows(engineered, scenarios.HISTORY_ROWS))
+    simulated = scenarios.paths(stats, seed, days, simulations)
+    rows = scenarios.scenario_rows(engineered, simulated, model_inputs(model))
+    return scenarios.forecast_records(scenarios.summarise(ensemble.score(model, rows)))
+
+
+def latest(combined: DataFrame) -> DataFrame:
+    """Latest combined row of each series with published types; counts truncate to int."""
+    return align.last_row(combined).select(
+        "series_id",
+        S.iso_date(F.col("date")).alias("date"),
+        *[F.col(c).cast("double").alias(c) for c in ("price", "rate", "fx")],
+        *[F.col(c).cast("int").alias(c) for c in ("trend_a", "trend_b")],
+    )
+
+
+def saved_metrics(spark: SparkSession, out: str) -> dict:
+    """First record of the saved summary, or a message if there is none."""
+    return sinks.first_record(spark, out, sinks.SUMMARY, SUMMARY_SCHEMA)
+
+
+def run_pipeline(
+    spark: SparkSession,
+    sources: Sources,
+    out: str,
+    seed: int,
+    as_of: dt.date | None = None,
+    years: folds.Years = folds.Years(),
+    feature_set: str = "all",
+    smote: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """Combine, label, engineer, train, forecast, and write the six output tables and the model.
+
+    Returns the engineered frame and the forecast. The two frames everything else is derived
+    from are written once and read back, so no later step repeats the source scans.
+    """
+    combined = materialise(combine_sources(spark, sources, as_of), "combined")
+    engineered = materialise(engineer(combined), "engineered")
+    trained = train(engineered, years, feature_set, smote)
+    predicted = forecast(trained.model, engineered, seed)
+
+    sinks.write_csv(combined.orderBy("series_id", "date"), out, sinks.COMBINED)
+    sinks.write_csv(labels.add_target(combined).orderBy("series_id", "date"), out, sinks.WITH_TARGET)
+    sinks.write_csv(engineered.orderBy("series_id", "date"), out, sinks.ENGINEERED)
+    history = ensemble.history_report(trained.predictions)
+    sinks.write_csv(history.orderBy("series_id", "date"), out, sinks.HISTORY)
+    sinks.write_csv(predicted.orderBy("series_id", "date"), out, sinks.FORECAST)
+    sinks.write_csv(trained.summary, out, sinks.SUMMARY)
+    save_model(trained.model, f"{out}/model")
+    return engineered, predicted

@@ -481,3 +481,52 @@ def mc_price_summary(spark, folder):
 @query
 def scenario_features(spark, folder):
     return rounded_features(scenarios.scenario_context(engineered(spark, folder)).drop("date", "price"))
+
+
+# ---------------------------------------------------------------- model training
+
+# One training run per session and folder serves the queries below; its results are tables in
+# the shared folder, not data held on the driver.
+_TRAINED: dict[tuple[str, str], jobs.Trained] = {}
+
+
+def trained(spark: SparkSession, folder: str) -> jobs.Trained:
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _TRAINED:
+        _TRAINED[key] = jobs.train(engineered(spark, folder), YEARS)
+    return _TRAINED[key]
+
+
+def _member(name: str) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        p_up = F.col(f"p_{name}")
+        return trained(spark, folder).predictions.select(
+            SERIES,
+            "date",
+            "year",
+            "actual",
+            ensemble.voted_class(p_up).alias("predicted"),
+            p_up.alias("probability_up"),
+        )
+
+    return run
+
+
+REGISTRY["wf_logistic"] = _member("lr")
+REGISTRY["wf_gbt"] = _member("gbm")
+REGISTRY["wf_random_forest"] = _member("rf")
+
+
+@query
+def oof_predictions(spark, folder):
+    return ensemble.history_report(trained(spark, folder).predictions)
+
+
+@query
+def model_summary(spark, folder):
+    return trained(spark, folder).summary
+
+
+@query
+def forecast_7day(spark, folder):
+    return jobs.forecast(trained(spark, folder).model, engineered(spark, folder), SEED)

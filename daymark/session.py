@@ -59,8 +59,10 @@ def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    writer = df.write.mode("errorifexists")
     if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+        # Rebalancing brings a year's rows together and still splits a year that is too large
+        # for one task, so neither tiny files per task nor one giant task per year.
+        df.hint("rebalance", partition_by).write.partitionBy(partition_by).parquet(path)
+    else:
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
