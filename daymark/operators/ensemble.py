@@ -171,8 +171,11 @@ def fit_fold(data: FoldData, fold: int, members: Sequence[str] = MEMBERS, smote:
         "gbm": lambda: boosted_trees(n),
         "rf": lambda: random_forest(n),
     }
+    rows.count()
+    fit = inheritable_thread_target(rows.sparkSession)(lambda m: learners[m]().fit(rows))
     try:
-        fitted: list[Model] = [learners[m]().fit(rows) for m in members]
+        with ThreadPoolExecutor(max_workers=len(members)) as pool:
+            fitted: list[Model] = list(pool.map(fit, members))
     finally:
         rows.unpersist()
     return PipelineModel([scaler, assembler, *fitted])
