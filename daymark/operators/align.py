@@ -167,9 +167,19 @@ def append_future_row(
     replace: dict[str, Column],
     keys: Sequence[str] = SERIES,
 ) -> DataFrame:
-    """Append a copy of each series' last row, moved ``offset_days`` on and with values replaced."""
-    moved = last_row(df, keys).withColumns({"date": S.days_after(F.col("date"), offset_days), **replace})
-    return df.unionByName(moved.select(*df.columns))
+    """Append a copy of each series' last row, moved ``offset_days`` on and with values replaced.
+
+    The last row is recognised by having none after it and is emitted twice, so the input is
+    evaluated once; a union with its own last row would evaluate it twice.
+    """
+    w = Window.partitionBy(*keys).orderBy("date")
+    marked = df.withColumn("_is_last", F.lead("date").over(w).isNull())
+    copies = F.when(F.col("_is_last"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    changed = {"date": S.days_after(F.col("date"), offset_days), **replace}
+    future = F.col("_future")
+    return marked.withColumn("_future", F.explode(copies)).select(
+        *[F.when(future, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in df.columns]
+    )
 
 
 def series_profile(df: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:

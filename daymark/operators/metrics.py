@@ -73,6 +73,21 @@ def sample_counts(df: DataFrame, train_years: tuple[int, int], test_years: tuple
     )
 
 
+def class_counts(df: DataFrame) -> DataFrame:
+    """Rows of each actual class and their balanced weights n / (2 n_class)."""
+    counts = df.agg(
+        F.count("*").alias("n_train"),
+        F.count_if(F.col("actual") == 0).alias("n_down"),
+        F.count_if(F.col("actual") == 1).alias("n_up"),
+    )
+    half = F.col("n_train") / 2.0
+    return counts.select(
+        "*",
+        F.try_divide(half, F.col("n_down")).alias("weight_down"),
+        F.try_divide(half, F.col("n_up")).alias("weight_up"),
+    )
+
+
 def accuracy_verdict(metrics: DataFrame) -> DataFrame:
     """Verdict on the accuracy; null between the realistic band and the overfit threshold."""
     a = F.col("accuracy")

@@ -1,3 +1,182 @@
-"""placeholder"""
-def balance(*a):
-    raise NotImplementedError
+"""Optional minority oversampling: interpolate between a minority row and one of its neighbours.
+
+Neighbours are exact. Minority rows are cut into cells by vector norm. By the triangle inequality
+two rows are at least as far apart as their norms, so once a row knows some five neighbours, it
+only has to visit cells whose norms lie within the fifth distance. A task compares one bounded
+chunk of rows with one bounded cell and returns five candidates per row, never the pairs.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import functions as F
+
+from daymark.functions import draws
+from daymark.session import materialise
+
+# Fixed value: neighbours considered per minority row.
+NEIGHBOURS = 5
+
+CELL_ROWS = 2_000
+CHUNK_ROWS = 2_000
+INDEX_BUCKETS = 1_024
+
+
+def indexed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Add a dense zero-based ``idx`` decided by the keys alone, without sorting all rows together."""
+    placed = rows.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(INDEX_BUCKETS)))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        placed.groupBy("_bucket")
+        .count()
+        .select("_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    )
+    inside = Window.partitionBy("_bucket").orderBy(*keys)
+    # At most INDEX_BUCKETS rows on the right.
+    return (
+        placed.join(F.broadcast(starts), "_bucket")
+        .withColumn("idx", F.col("_start") + F.row_number().over(inside) - 1)
+        .drop("_bucket", "_start")
+    )
+
+
+def _closest(probes: pd.DataFrame, points: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The ``k`` nearest points of each probe, itself excluded, ties by index."""
+    if probes.empty or points.empty:
+        return pd.DataFrame({"idx": [], "neighbour": [], "distance": []})
+    points = points.sort_values("idx")
+    a, b = np.stack(probes["v"].to_numpy()), np.stack(points["v"].to_numpy())
+    left, right = probes["idx"].to_numpy(), points["idx"].to_numpy()
+    out = []
+    for i in range(len(a)):
+        distance = np.sqrt(((b - a[i]) ** 2).sum(axis=1))
+        distance[right == left[i]] = np.inf
+        best = np.argsort(distance, kind="stable")[:k]
+        best = best[np.isfinite(distance[best])]
+        out.append(pd.DataFrame({"idx": left[i], "neighbour": right[best], "distance": distance[best]}))
+    return pd.concat(out, ignore_index=True)
+
+
+def _search(probes: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    """Candidates for probes that carry the ``cell`` to visit."""
+    chunked = probes.withColumn("_chunk", F.floor(F.col("idx") / CHUNK_ROWS))
+    wanted = chunked.select("cell", "_chunk").distinct()
+    # Fresh column names for the right side: both sides descend from the same table.
+    copies = points.join(wanted, "cell").select(*[F.col(c).alias(c) for c in ("cell", "_chunk", "idx", "v")])
+    return (
+        chunked.select("cell", "_chunk", "idx", "v")
+        .groupBy("cell", "_chunk")
+        .cogroup(copies.groupBy("cell", "_chunk"))
+        .applyInPandas(lambda a, b: _closest(a, b, k), "idx bigint, neighbour bigint, distance double")
+    )
+
+
+def _best(candidates: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("idx").orderBy("distance", "neighbour")
+    return candidates.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
+
+
+def nearest(points: DataFrame, probes: DataFrame, k: int = NEIGHBOURS, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Exact ``k`` nearest ``points`` of every probe: idx, neighbour, distance, rank.
+
+    Both sides have ``idx`` and ``v`` (array of double); probes are some of the points.
+    """
+    spark = points.sparkSession
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x))
+    ordered = (
+        points.withColumn("norm", norm)
+        .repartitionByRange("norm", "idx")
+        .select("idx", "v", "norm", F.spark_partition_id().alias("_part"))
+    )
+    ordered = materialise(ordered, "knn-ranges")
+    by_part = Window.partitionBy("_part").orderBy("norm", "idx")
+    cells = materialise(
+        ordered.withColumn("_n", F.floor((F.row_number().over(by_part) - 1) / cell_rows)).select(
+            "idx", "v", "norm", F.format_string("%d-%d", "_part", "_n").alias("cell")
+        ),
+        "knn-cells",
+    )
+    spans = cells.groupBy("cell").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi"))
+    placed = cells.join(probes.select("idx"), "idx", "left_semi")
+
+    first = _best(_search(placed, cells, k), k)
+    # A probe whose own cell held fewer than k others has no radius yet and visits every cell.
+    radius = first.groupBy("idx").agg(F.count("*").alias("_found"), F.max("distance").alias("_far"))
+    reach = F.when(F.col("_found") == k, F.col("_far")).otherwise(F.lit(float("inf")))
+    # One row per cell: a few numbers for thousands of rows, kept on the driver in norm order.
+    table = spans.orderBy("lo", "hi").collect()
+    names = [r.cell for r in table]
+    lo, top = np.array([r.lo for r in table]), np.maximum.accumulate([r.hi for r in table])
+
+    @F.pandas_udf("struct<first: int, last: int>")
+    def visited(centre: pd.Series, distance: pd.Series) -> pd.DataFrame:
+        slack = 1e-9 * (1.0 + centre.abs())
+        start = np.searchsorted(top, centre - distance - slack, side="left")
+        stop = np.searchsorted(lo, centre + distance + slack, side="right") - 1
+        return pd.DataFrame({"first": start, "last": stop})
+
+    numbered = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "_no int, _to string")
+    outside = (
+        placed.join(radius, "idx", "left")
+        .withColumn("_span", visited("norm", F.coalesce(reach, F.lit(float("inf")))))
+        .filter("_span.first <= _span.last")
+        .withColumn("_no", F.explode(F.sequence("_span.first", "_span.last")))
+        .join(numbered, "_no")
+        .filter(F.col("_to") != F.col("cell"))
+        .select("idx", "v", F.col("_to").alias("cell"))
+    )
+    return _best(first.select("idx", "neighbour", "distance").unionByName(_search(outside, cells, k)), k)
+
+
+def synthesise(minority: DataFrame, n_rows: int, wanted: int, seed: int, k: int = NEIGHBOURS) -> DataFrame:
+    """``wanted`` synthetic vectors: a random row moved a random share of the way to a neighbour."""
+    spark = minority.sparkSession
+    keyed = indexed(minority.withColumn("v", vector_to_array("features")), ["series_id", "date"])
+    points = materialise(keyed.select("idx", "v"), "minority")
+    draw = F.col("id")
+    picks = spark.range(wanted).select(
+        "id",
+        F.floor(draws.keyed_uniform(draw, F.lit("row"), F.lit(seed)) * n_rows).alias("idx"),
+        F.floor(draws.keyed_uniform(draw, F.lit("neighbour"), F.lit(seed)) * k).cast("int").alias("rank"),
+        draws.keyed_uniform(draw, F.lit("step"), F.lit(seed)).alias("step"),
+    )
+    found = nearest(points, picks.select("idx").distinct(), k).select("idx", "rank", "neighbour")
+    base = points.withColumnRenamed("v", "a")
+    other = points.select(F.col("idx").alias("neighbour"), F.col("v").alias("b"))
+    moved = F.zip_with("a", "b", lambda a, b: a + F.col("step") * (b - a))
+    return (
+        picks.join(found, ["idx", "rank"])
+        .join(base, "idx")
+        .join(other, "neighbour")
+        .select(F.col("id"), array_to_vector(moved).alias("features"))
+    )
+
+
+def balance(rows: DataFrame, weights: Row, ratio: float, seed: int) -> tuple[DataFrame, Row]:
+    """Raise the minority to ``ratio`` of the majority; returns the rows and their new weights.
+
+    Data that cannot be oversampled (already above the ratio, or too few minority rows for the
+    neighbours) comes back unchanged.
+    """
+    minority, n_min, n_maj = (1, weights.n_up, weights.n_down)
+    if n_min > n_maj:
+        minority, n_min, n_maj = (0, weights.n_down, weights.n_up)
+    wanted = math.floor(n_maj * ratio - n_min)
+    if wanted <= 0 or n_min <= NEIGHBOURS:
+        return rows, weights
+    made = synthesise(rows.filter(F.col("target") == minority), n_min, wanted, seed).select(
+        F.lit("synthetic").alias("series_id"),
+        F.date_add(F.lit("1970-01-01").cast("date"), F.pmod("id", F.lit(1_000_000)).cast("int")).alias("date"),
+        "features",
+        F.lit(minority).cast("int").alias("target"),
+    )
+    n_up = weights.n_up + (wanted if minority == 1 else 0)
+    n_down = weights.n_down + (wanted if minority == 0 else 0)
+    n = n_up + n_down
+    changed = Row(n_train=n, n_down=n_down, n_up=n_up, weight_down=n / (2 * n_down), weight_up=n / (2 * n_up))
+    return rows.unionByName(made), changed

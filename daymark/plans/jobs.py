@@ -143,10 +143,14 @@ def forecast(
     days: int = scenarios.HORIZON_DAYS,
     simulations: int = scenarios.SIMULATIONS,
 ) -> DataFrame:
-    """Scenario forecast of the coming days for every series, one scored frame for all of them."""
-    stats = scenarios.return_stats(align.recent_rows(engineered, scenarios.HISTORY_ROWS))
-    simulated = scenarios.paths(stats, seed, days, simulations)
-    rows = scenarios.scenario_rows(engineered, simulated, model_inputs(model))
+    """Scenario forecast of the coming days for every series, one scored frame for all of them.
+
+    Only the recent rows of a series matter. They are written once, since both the return
+    statistics and the scenario features start from them.
+    """
+    history = materialise(align.recent_rows(engineered, scenarios.HISTORY_ROWS), "history")
+    simulated = scenarios.paths(scenarios.return_stats(history), seed, days, simulations)
+    rows = scenarios.scenario_rows(history, simulated, model_inputs(model))
     return scenarios.forecast_records(scenarios.summarise(ensemble.score(model, rows)))
 
 

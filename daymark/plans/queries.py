@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daymark.functions import draws, scalars as S
-from daymark.operators import align, blocked, ensemble, features, folds, labels, metrics, scenarios
+from daymark.operators import align, blocked, ensemble, features, folds, labels, metrics, oversample, scenarios
 from daymark.plans import jobs
-from daymark.session import scratch_path
+from daymark.session import materialise, scratch_path
 from daymark.sources import files, sinks, tables
 
 SERIES = "series_id"
@@ -198,10 +199,9 @@ def recent_history(spark, folder):
 def append_future_row(spark, folder):
     prices = tables.segment_price(spark, folder).select(SERIES, "date", "price")
     drift = scenarios.return_stats(prices).select(SERIES, "mean_return")
-    known = align.last_row(prices).join(drift, SERIES)
     guess = F.round(F.col("price") * (1.0 + F.col("mean_return")), 2)
-    future = known.withColumns({"date": S.days_after(F.col("date"), 1), "price": guess})
-    return prices.unionByName(future.select(*prices.columns))
+    extended = align.append_future_row(prices.join(drift, SERIES), 1, {"price": guess})
+    return extended.select(SERIES, "date", "price")
 
 
 @query
@@ -322,7 +322,8 @@ def nan_to_num(spark, folder):
 
 
 def _model_and_folds(spark, folder):
-    rows = model_rows(spark, folder)
+    """Model rows written once by year: the fold years come from the directories, not a second scan."""
+    rows = materialise(model_rows(spark, folder), "model-rows", partition_by="year")
     return rows, folds.fold_list(rows, YEARS)
 
 
@@ -425,6 +426,22 @@ def roc_auc(spark, folder):
     return rounded(metrics.roc_auc(tables.scored_orders(spark, folder)), roc_auc=9)
 
 
+@query
+def smote_oversample(spark, folder):
+    """Urgent orders (the smaller class) raised to the ratio; three features per order."""
+    scored = tables.scored_orders(spark, folder)
+    parts = [F.col("probability_up"), F.dayofyear("date") / 366.0, (F.col("year") - 1995) / 7.0]
+    rows = scored.select(
+        F.col("row_id").cast("string").alias("series_id"),
+        "date",
+        array_to_vector(F.array(*parts)).alias("features"),
+        F.col("actual").alias("target"),
+    )
+    counts = metrics.class_counts(scored)
+    balanced, _ = oversample.balance(rows, counts.first(), ensemble.SMOTE_RATIO, SEED)
+    return balanced.select("series_id", "date", vector_to_array("features").alias("features"), "target")
+
+
 # ---------------------------------------------------------------- scenarios
 
 
