@@ -4,25 +4,27 @@
 a daily series and fatal for raw events, where one series can hold a third of all rows. Here a
 series is cut into blocks of a fixed number of consecutive rows:
 
-1. count rows per (series, coarse bucket, fine bucket) and turn the counts into the position at
-   which each fine bucket starts; both running sums are bounded by the calendar (fine buckets
-   per coarse one, coarse buckets per series), not by the data;
-2. number the rows inside a fine bucket, which gives every row its exact position;
+1. count rows per (series, time bucket) and turn the counts into the position at which each
+   bucket starts. Buckets nest (day, minute, millisecond), and a running sum only ever spans the
+   buckets of one parent, so its size is bounded by the calendar and not by the data;
+2. number the rows inside a bucket, which gives every row its exact position;
 3. block = position // block_rows, and the last ``halo`` rows of a block are copied into the
    next one, so that each block sees all the history its window needs;
 4. run the window by (series, block) and drop the copies.
 
-The cut depends on the data alone, so a recomputed task lands in the same block.
+The cut depends on the data alone, so a recomputed task lands in the same block. Series keys and
+times must not be null.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-COARSE, FINE = "_coarse", "_fine"
+# Rows of one bucket are sorted in one task. Above this many the finer nesting is used.
+BUCKET_ROWS = 500_000
 
 
 def day_of(time: str) -> Column:
@@ -33,35 +35,59 @@ def minute_of_day(time: str) -> Column:
     return F.hour(time) * 60 + F.minute(time)
 
 
-def second_of_day(time: str) -> Column:
-    return minute_of_day(time) * 60 + F.second(time)
+def millisecond_of_minute(time: str) -> Column:
+    return F.floor(F.extract(F.lit("SECOND"), F.col(time)) * 1000).cast("int")
 
 
-FINE_BUCKETS = {"minute": minute_of_day, "second": second_of_day}
+# At most 366 x 1,440 x 60,000 buckets per year, and never more than 60,000 under one parent
+# except for the days of a series.
+NESTINGS: dict[str, tuple[Callable[[str], Column], ...]] = {
+    "minute": (day_of, minute_of_day),
+    "millisecond": (day_of, minute_of_day, millisecond_of_minute),
+}
 
 
-def _bucketed(df: DataFrame, time: str, fine: str) -> DataFrame:
-    """``fine`` is the bucket whose rows are sorted together: take ``second`` for dense streams."""
-    return df.withColumns({COARSE: day_of(time), FINE: FINE_BUCKETS[fine](time)})
+def choose_nesting(df: DataFrame, keys: Sequence[str], time: str) -> str:
+    """``minute`` if no series has more than ``BUCKET_ROWS`` rows in one minute.
 
+    One aggregate over the key and time columns, combined before the shuffle.
+    """
+    per_minute = df.groupBy(*keys, day_of(time), minute_of_day(time)).count()
+    fullest = per_minute.agg(F.max("count")).first()[0]
+    return "minute" if (fullest or 0) <= BUCKET_ROWS else "millisecond"
 
-def _bucket_starts(bucketed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Position of the first row of each fine bucket within its series."""
-    before = (Window.unboundedPreceding, -1)
-    within_day = Window.partitionBy(*keys, COARSE).orderBy(FINE).rowsBetween(*before)
-    across_days = Window.partitionBy(*keys).orderBy(COARSE).rowsBetween(*before)
-    fine_counts = bucketed.groupBy(*keys, COARSE, FINE).agg(F.count("*").alias("_n"))
-    day_starts = (
-        bucketed.groupBy(*keys, COARSE)
-        .agg(F.count("*").alias("_n"))
-        .select(*keys, COARSE, F.coalesce(F.sum("_n").over(across_days), F.lit(0)).alias("_day_start"))
-    )
-    offset = F.coalesce(F.sum("_n").over(within_day), F.lit(0))
-    return (
-        fine_counts.withColumn("_offset", offset)
-        .join(day_starts, [*keys, COARSE])
-        .select(*keys, COARSE, FINE, (F.col("_day_start") + F.col("_offset")).alias("_start"))
-    )
+
+class _Buckets:
+    """Rows with nested time buckets ``_b0``, ``_b1``, ... and windows over one level of them."""
+
+    def __init__(self, df: DataFrame, keys: Sequence[str], time: str, ties: Sequence[str], fine: str | None) -> None:
+        parts = NESTINGS[fine or choose_nesting(df, keys, time)]
+        self.keys = list(keys)
+        self.levels = [f"_b{i}" for i in range(len(parts))]
+        self.all = [*self.keys, *self.levels]
+        self.rows = df.withColumns({name: part(time) for name, part in zip(self.levels, parts)})
+        self.inside = Window.partitionBy(*self.all).orderBy(time, *ties)
+
+    def depths(self) -> list[list[str]]:
+        """Grouping columns of each depth: the keys and the first one, two, ... levels."""
+        return [[*self.keys, *self.levels[: i + 1]] for i in range(len(self.levels))]
+
+    @staticmethod
+    def earlier_siblings(group: list[str]) -> WindowSpec:
+        """Buckets before this one under the same parent."""
+        w = Window.partitionBy(*group[:-1]).orderBy(group[-1])
+        return w.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _bucket_starts(buckets: _Buckets) -> DataFrame:
+    """Position of the first row of each bucket: rows in earlier siblings, at every depth."""
+    counts = buckets.rows.groupBy(*buckets.all).agg(F.count("*").alias("_n"))
+    starts = counts.withColumn("_start", F.lit(0))
+    for group in buckets.depths():
+        offset = F.coalesce(F.sum("_n").over(buckets.earlier_siblings(group)), F.lit(0))
+        offsets = counts.groupBy(*group).agg(F.sum("_n").alias("_n")).select(*group, offset.alias("_offset"))
+        starts = starts.join(offsets, group).withColumn("_start", F.col("_start") + F.col("_offset")).drop("_offset")
+    return starts.select(*buckets.all, "_start")
 
 
 def global_positions(
@@ -69,14 +95,13 @@ def global_positions(
     keys: Sequence[str],
     time: str,
     ties: Sequence[str] = (),
-    fine: str = "minute",
+    fine: str | None = None,
 ) -> DataFrame:
     """Zero-based ``position`` of every row in its series, by ``time`` then ``ties``."""
-    bucketed = _bucketed(df, time, fine)
-    inside = Window.partitionBy(*keys, COARSE, FINE).orderBy(time, *ties)
+    buckets = _Buckets(df, keys, time, ties, fine)
     return (
-        bucketed.join(_bucket_starts(bucketed, keys), [*keys, COARSE, FINE])
-        .withColumn("position", F.col("_start") + F.row_number().over(inside) - 1)
+        buckets.rows.join(_bucket_starts(buckets), buckets.all)
+        .withColumn("position", F.col("_start") + F.row_number().over(buckets.inside) - 1)
         .select(*df.columns, "position")
     )
 
@@ -89,7 +114,7 @@ def blocked_window(
     halo: int,
     ties: Sequence[str] = (),
     block_rows: int = 4096,
-    fine: str = "minute",
+    fine: str | None = None,
 ) -> DataFrame:
     """Run ``apply`` (which appends columns over a window) for series of any length.
 
@@ -115,42 +140,42 @@ def blocked_fill(
     columns: Sequence[str],
     ties: Sequence[str] = (),
     backward: bool = True,
-    fine: str = "minute",
+    fine: str | None = None,
 ) -> DataFrame:
     """Forward fill, then fill of the leading gap, for series of any length.
 
-    Each fine bucket is reduced to its last known value. The value carried into a bucket is
-    found on those reduced rows, inside the day first and then across days, and the first known
+    Each bucket is reduced to its last known value. What is carried into a bucket is found on
+    those reduced rows, among its siblings first and then one level up, and the first known
     value of a series by a plain aggregate; only then do the rows meet them, bucket by bucket.
     """
-    order = F.struct(time, *ties)
-    bucketed = _bucketed(df, time, fine)
-
-    def ends(grain: Sequence[str], tag: str, picker=F.max_by) -> DataFrame:
-        known = [picker(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(f"_{tag}_{c}") for c in columns]
-        return bucketed.groupBy(*keys, *grain).agg(*known)
-
-    def carried(reduced: DataFrame, grain: Sequence[str], w: WindowSpec, tag: str) -> DataFrame:
-        before = w.rowsBetween(Window.unboundedPreceding, -1)
-        values = [F.last(f"_{tag}_{c}", ignorenulls=True).over(before).alias(f"_{tag}_{c}") for c in columns]
-        return reduced.select(*keys, *grain, *values)
-
-    across_days = Window.partitionBy(*keys).orderBy(COARSE)
-    within_day = Window.partitionBy(*keys, COARSE).orderBy(FINE)
-    context = carried(ends([COARSE, FINE], "fine"), [COARSE, FINE], within_day, "fine").join(
-        carried(ends([COARSE], "day"), [COARSE], across_days, "day"), [*keys, COARSE]
+    buckets = _Buckets(df, keys, time, ties, fine)
+
+    def known(c: str) -> Column:
+        return F.when(F.col(c).isNotNull(), F.struct(time, *ties, F.col(c).alias("_value")))
+
+    ends = buckets.rows.groupBy(*buckets.all).agg(
+        *[F.max(known(c)).alias(f"_last_{c}") for c in columns],
+        *[F.min(known(c)).alias(f"_head_{c}") for c in columns],
     )
+    context = ends.select(*buckets.all)
+    for depth, group in enumerate(buckets.depths()):
+        before = buckets.earlier_siblings(group)
+        reduced = ends.groupBy(*group).agg(*[F.max(f"_last_{c}").alias(f"_last_{c}") for c in columns])
+        carried = [F.last(F.col(f"_last_{c}")["_value"], ignorenulls=True).over(before) for c in columns]
+        context = context.join(
+            reduced.select(*group, *[v.alias(f"_in{depth}_{c}") for v, c in zip(carried, columns)]), group
+        )
     if backward:
-        context = context.join(ends([], "head", F.min_by), list(keys))
+        heads = ends.groupBy(*buckets.keys).agg(*[F.min(f"_head_{c}")["_value"].alias(f"_first_{c}") for c in columns])
+        context = context.join(heads, buckets.keys)
 
-    inside = Window.partitionBy(*keys, COARSE, FINE).orderBy(time, *ties)
-    past = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    past = buckets.inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = {}
     for c in columns:
-        steps = [F.last(c, ignorenulls=True).over(past), F.col(f"_fine_{c}"), F.col(f"_day_{c}")]
-        if backward:
-            steps.append(F.col(f"_head_{c}"))
+        steps = [F.last(c, ignorenulls=True).over(past)]
+        steps += [F.col(f"_in{depth}_{c}") for depth in reversed(range(len(buckets.levels)))]
+        steps += [F.col(f"_first_{c}")] if backward else []
         filled[c] = F.coalesce(*steps)
-    return bucketed.join(context, [*keys, COARSE, FINE]).select(
+    return buckets.rows.join(context, buckets.all).select(
         *[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns]
     )

@@ -25,6 +25,8 @@ NEIGHBOURS = 5
 CELL_ROWS = 2_000
 CHUNK_ROWS = 2_000
 INDEX_BUCKETS = 1_024
+# Probes compared with a cell at once: a distance table of a few megabytes.
+PROBE_STEP = 256
 
 
 def indexed(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,12 +55,24 @@ def _closest(probes: pd.DataFrame, points: pd.DataFrame, k: int) -> pd.DataFrame
     a, b = np.stack(probes["v"].to_numpy()), np.stack(points["v"].to_numpy())
     left, right = probes["idx"].to_numpy(), points["idx"].to_numpy()
     out = []
-    for i in range(len(a)):
-        distance = np.sqrt(((b - a[i]) ** 2).sum(axis=1))
-        distance[right == left[i]] = np.inf
-        best = np.argsort(distance, kind="stable")[:k]
-        best = best[np.isfinite(distance[best])]
-        out.append(pd.DataFrame({"idx": left[i], "neighbour": right[best], "distance": distance[best]}))
+    for start in range(0, len(a), PROBE_STEP):
+        ids, rows = left[start : start + PROBE_STEP], a[start : start + PROBE_STEP]
+        squared = np.zeros((len(rows), len(b)))
+        for column in range(b.shape[1]):
+            squared += (rows[:, column, None] - b[None, :, column]) ** 2
+        squared[ids[:, None] == right[None, :]] = np.inf
+        best = np.argsort(squared, axis=1, kind="stable")[:, :k]
+        distance = np.sqrt(np.take_along_axis(squared, best, axis=1)).ravel()
+        found = np.isfinite(distance)
+        out.append(
+            pd.DataFrame(
+                {
+                    "idx": np.repeat(ids, best.shape[1])[found],
+                    "neighbour": right[best].ravel()[found],
+                    "distance": distance[found],
+                }
+            )
+        )
     return pd.concat(out, ignore_index=True)
 
 

@@ -116,7 +116,7 @@ def as_rows(df):
 
 
 @pytest.mark.parametrize("block_rows", [22, 64, 4096])
-@pytest.mark.parametrize("fine", ["minute", "second"])
+@pytest.mark.parametrize("fine", ["minute", "millisecond"])
 def test_blocked_windows_equal_plain_windows(spark, block_rows, fine):
     source = events(spark).fillna(1.5)
 
@@ -137,10 +137,17 @@ def test_blocks_must_hold_the_halo(spark):
         blocked.blocked_window(events(spark, 10), ["series_id"], "ts", lambda d, w: d, 22, block_rows=21)
 
 
-@pytest.mark.parametrize("backward", [True, False])
-def test_blocked_fill_equals_pandas(spark, backward):
+def test_nesting_follows_the_fullest_minute(spark, monkeypatch):
     source = events(spark)
-    got = blocked.blocked_fill(source, ["series_id"], "ts", ["price"], ["event_id"], backward=backward)
+    assert blocked.choose_nesting(source, ["series_id"], "ts") == "minute"
+    monkeypatch.setattr(blocked, "BUCKET_ROWS", 3)
+    assert blocked.choose_nesting(source, ["series_id"], "ts") == "millisecond"
+
+
+@pytest.mark.parametrize("backward, fine", [(True, "minute"), (False, "minute"), (True, "millisecond")])
+def test_blocked_fill_equals_pandas(spark, backward, fine):
+    source = events(spark)
+    got = blocked.blocked_fill(source, ["series_id"], "ts", ["price"], ["event_id"], backward=backward, fine=fine)
     got = got.toPandas().sort_values("event_id")["price"].tolist()
     pdf = source.toPandas().sort_values(["ts", "event_id"])
     filled = pdf.groupby("series_id")["price"].ffill()
