@@ -23,6 +23,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from daymark.session import materialise
+
 # Rows of one bucket are sorted in one task. Above this many the finer nesting is used.
 BUCKET_ROWS = 500_000
 
@@ -47,26 +49,38 @@ NESTINGS: dict[str, tuple[Callable[[str], Column], ...]] = {
 }
 
 
-def choose_nesting(df: DataFrame, keys: Sequence[str], time: str) -> str:
-    """``minute`` if no series has more than ``BUCKET_ROWS`` rows in one minute.
+class _Buckets:
+    """Rows with nested time buckets ``_b0``, ``_b1``, ..., and one reduced row per bucket.
 
-    One aggregate over the key and time columns, combined before the shuffle.
+    The reduced rows (a count and whatever ``aggregates`` ask for) are written once, so the
+    running sums over them never scan the input again, and their size is known to the planner.
+    Without ``fine`` the nesting follows from them: minutes, unless some minute of some series
+    is too full to be sorted in one task.
     """
-    per_minute = df.groupBy(*keys, day_of(time), minute_of_day(time)).count()
-    fullest = per_minute.agg(F.max("count")).first()[0]
-    return "minute" if (fullest or 0) <= BUCKET_ROWS else "millisecond"
-
-
-class _Buckets:
-    """Rows with nested time buckets ``_b0``, ``_b1``, ... and windows over one level of them."""
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], time: str, ties: Sequence[str], fine: str | None) -> None:
-        parts = NESTINGS[fine or choose_nesting(df, keys, time)]
+    def __init__(
+        self,
+        df: DataFrame,
+        keys: Sequence[str],
+        time: str,
+        ties: Sequence[str],
+        fine: str | None,
+        aggregates: Sequence[Column] = (),
+    ) -> None:
         self.keys = list(keys)
+        self._cut(df, time, ties, fine or "minute", aggregates)
+        if fine is None and (self.reduced.agg(F.max("_n")).first()[0] or 0) > BUCKET_ROWS:
+            self._cut(df, time, ties, "millisecond", aggregates)
+
+    def _cut(self, df: DataFrame, time: str, ties: Sequence[str], fine: str, aggregates: Sequence[Column]) -> None:
+        parts = NESTINGS[fine]
         self.levels = [f"_b{i}" for i in range(len(parts))]
         self.all = [*self.keys, *self.levels]
         self.rows = df.withColumns({name: part(time) for name, part in zip(self.levels, parts)})
         self.inside = Window.partitionBy(*self.all).orderBy(time, *ties)
+        self.reduced = materialise(
+            self.rows.groupBy(*self.all).agg(F.count("*").alias("_n"), *aggregates), "bucket-rows"
+        )
 
     def depths(self) -> list[list[str]]:
         """Grouping columns of each depth: the keys and the first one, two, ... levels."""
@@ -81,13 +95,16 @@ class _Buckets:
 
 def _bucket_starts(buckets: _Buckets) -> DataFrame:
     """Position of the first row of each bucket: rows in earlier siblings, at every depth."""
-    counts = buckets.rows.groupBy(*buckets.all).agg(F.count("*").alias("_n"))
-    starts = counts.withColumn("_start", F.lit(0))
+    starts = buckets.reduced.select(*buckets.all, F.lit(0).alias("_start"))
     for group in buckets.depths():
         offset = F.coalesce(F.sum("_n").over(buckets.earlier_siblings(group)), F.lit(0))
-        offsets = counts.groupBy(*group).agg(F.sum("_n").alias("_n")).select(*group, offset.alias("_offset"))
-        starts = starts.join(offsets, group).withColumn("_start", F.col("_start") + F.col("_offset")).drop("_offset")
-    return starts.select(*buckets.all, "_start")
+        totals = buckets.reduced.groupBy(*group).agg(F.sum("_n").alias("_n"))
+        starts = (
+            starts.join(totals.select(*group, offset.alias("_offset")), group)
+            .withColumn("_start", F.col("_start") + F.col("_offset"))
+            .drop("_offset")
+        )
+    return starts
 
 
 def global_positions(
@@ -148,15 +165,14 @@ def blocked_fill(
     those reduced rows, among its siblings first and then one level up, and the first known
     value of a series by a plain aggregate; only then do the rows meet them, bucket by bucket.
     """
-    buckets = _Buckets(df, keys, time, ties, fine)
 
     def known(c: str) -> Column:
         return F.when(F.col(c).isNotNull(), F.struct(time, *ties, F.col(c).alias("_value")))
 
-    ends = buckets.rows.groupBy(*buckets.all).agg(
-        *[F.max(known(c)).alias(f"_last_{c}") for c in columns],
-        *[F.min(known(c)).alias(f"_head_{c}") for c in columns],
-    )
+    latest = [F.max(known(c)).alias(f"_last_{c}") for c in columns]
+    earliest = [F.min(known(c)).alias(f"_head_{c}") for c in columns] if backward else []
+    buckets = _Buckets(df, keys, time, ties, fine, [*latest, *earliest])
+    ends = buckets.reduced
     context = ends.select(*buckets.all)
     for depth, group in enumerate(buckets.depths()):
         before = buckets.earlier_siblings(group)

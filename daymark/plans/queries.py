@@ -42,14 +42,20 @@ def rounded_features(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- shared frames
 
 
-def trend_daily(spark: SparkSession, folder: str) -> DataFrame:
-    return align.upsample_daily(tables.weekly_trend(spark, folder), ["trend_a", "trend_b"])
+TRENDS = ["trend_a", "trend_b"]
 
 
 def aligned(spark: SparkSession, folder: str) -> DataFrame:
-    return align.left_align(
-        tables.segment_price(spark, folder), tables.ship_rates(spark, folder), trend_daily(spark, folder)
-    ).select(SERIES, "date", "price", "n_orders", "rate", "fx", "trend_a", "trend_b")
+    """Segment prices with their side series.
+
+    Both side series come from the line items per day. That table has a row per calendar day
+    and is written once, so the largest table is scanned once and the joins know their sizes.
+    """
+    daily = materialise(tables.ship_daily(spark, folder), "ship-daily")
+    trend = align.upsample_daily(tables.weekly_trend(daily), TRENDS)
+    return align.left_align(tables.segment_price(spark, folder), tables.ship_rates(daily), trend).select(
+        SERIES, "date", "price", "n_orders", "rate", "fx", *TRENDS
+    )
 
 
 def combined(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,7 +102,7 @@ def src_csv_roundtrip(spark, folder):
 @query
 def src_csv_semicolon(spark, folder):
     path = scratch_path(spark, "fx-csv")
-    landed = tables.ship_rates(spark, folder).select(F.col("date").alias("Date"), F.col("fx").alias("CLOSE"))
+    landed = tables.ship_rates(tables.ship_daily(spark, folder)).select(F.col("date").alias("Date"), F.col("fx").alias("CLOSE"))
     landed.write.option("header", True).option("sep", ";").csv(path)
     return files.read_fx_csv(spark, path)
 
@@ -108,7 +114,7 @@ def src_json_observations(spark, folder):
     value = F.coalesce(F.col("rate").cast("string"), F.lit("."))
     entry = F.struct(S.iso_date(F.col("date")).alias("date"), value.alias("value"))
     documents = (
-        tables.ship_rates(spark, folder)
+        tables.ship_rates(tables.ship_daily(spark, folder))
         .groupBy(F.year("date").alias("year"))
         .agg(F.collect_list(entry).alias("observations"))
     )
@@ -128,7 +134,7 @@ def src_json_timeline(spark, folder):
         ).alias("values"),
     )
     documents = (
-        tables.weekly_trend(spark, folder)
+        tables.weekly_trend(tables.ship_daily(spark, folder))
         .groupBy(F.year("date").alias("year"))
         .agg(F.collect_list(point).alias("timeline_data"))
         .select(F.struct("timeline_data").alias("interest_over_time"))
@@ -170,7 +176,7 @@ def lookback_filter(spark, folder):
 
 @query
 def asof_upsample_daily(spark, folder):
-    return trend_daily(spark, folder)
+    return align.upsample_daily(tables.weekly_trend(tables.ship_daily(spark, folder)), TRENDS)
 
 
 @query

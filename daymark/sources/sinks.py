@@ -28,7 +28,8 @@ def write_parquet(df: DataFrame, folder: str, name: str, by_year: bool = True) -
     path = f"{folder}/{name}"
     if by_year:
         df = df if "year" in df.columns else df.withColumn("year", F.year("date"))
-        df.write.mode("overwrite").partitionBy("year").parquet(path)
+        # Rows of a year meet before the write, and a year too large for one task is split.
+        df.hint("rebalance", "year").write.mode("overwrite").partitionBy("year").parquet(path)
     else:
         df.write.mode("overwrite").parquet(path)
     return path

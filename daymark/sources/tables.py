@@ -53,33 +53,34 @@ def segment_price(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def ship_rates(spark: SparkSession, folder: str) -> DataFrame:
-    """Daily rate (null at weekends) and exchange rate (null before its first day).
-
-    Two gappy series out of one scan of the line items.
-    """
-    day = F.col("l_shipdate").cast("date")
-    rate = total("l_discount") / F.count("*")
-    fx = total("l_extendedprice") / F.sum("l_quantity")
+def ship_daily(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items summed per ship day: what the rate, exchange-rate and trend series start from."""
     return (
         table(spark, folder, "lineitem")
-        .groupBy(day.alias("date"))
-        .agg(rate.alias("rate"), fx.alias("fx"))
-        .select(
-            "date",
-            F.when(F.weekday("date") < 5, F.col("rate")).alias("rate"),
-            F.when(F.col("date") >= F.lit(FX_FIRST_DAY).cast("date"), F.col("fx")).alias("fx"),
+        .groupBy(F.col("l_shipdate").cast("date").alias("date"))
+        .agg(
+            F.count("*").alias("n"),
+            total("l_discount").alias("discount"),
+            total("l_extendedprice").alias("revenue"),
+            F.sum("l_quantity").alias("quantity"),
         )
     )
 
 
-def weekly_trend(spark: SparkSession, folder: str) -> DataFrame:
+def ship_rates(daily: DataFrame) -> DataFrame:
+    """Daily rate (null at weekends) and exchange rate (null before its first day)."""
+    published = F.col("date") >= F.lit(FX_FIRST_DAY).cast("date")
+    return daily.select(
+        "date",
+        F.when(F.weekday("date") < 5, F.col("discount") / F.col("n")).alias("rate"),
+        F.when(published, F.col("revenue") / F.col("quantity")).alias("fx"),
+    )
+
+
+def weekly_trend(daily: DataFrame) -> DataFrame:
     """Weekly activity: line items and quantity per week, dated on its Monday."""
-    day = F.col("l_shipdate").cast("date")
-    return (
-        table(spark, folder, "lineitem")
-        .groupBy(F.date_sub(day, F.weekday(day)).alias("date"))
-        .agg(F.count("*").alias("trend_a"), F.sum("l_quantity").cast("bigint").alias("trend_b"))
+    return daily.groupBy(F.date_sub("date", F.weekday("date")).alias("date")).agg(
+        F.sum("n").alias("trend_a"), F.sum("quantity").cast("bigint").alias("trend_b")
     )
 
 

@@ -139,9 +139,12 @@ def test_blocks_must_hold_the_halo(spark):
 
 def test_nesting_follows_the_fullest_minute(spark, monkeypatch):
     source = events(spark)
-    assert blocked.choose_nesting(source, ["series_id"], "ts") == "minute"
+    plain = blocked.global_positions(source, ["series_id"], "ts", ["event_id"], "minute")
+    assert len(blocked._Buckets(source, ["series_id"], "ts", [], None).levels) == 2
     monkeypatch.setattr(blocked, "BUCKET_ROWS", 3)
-    assert blocked.choose_nesting(source, ["series_id"], "ts") == "millisecond"
+    assert len(blocked._Buckets(source, ["series_id"], "ts", [], None).levels) == 3
+    finer = blocked.global_positions(source, ["series_id"], "ts", ["event_id"])
+    assert as_rows(finer) == as_rows(plain)
 
 
 @pytest.mark.parametrize("backward, fine", [(True, "minute"), (False, "minute"), (True, "millisecond")])
