@@ -29,13 +29,18 @@ SUMMARY_SCHEMA = (
 
 @dataclass(frozen=True)
 class Sources:
-    """Paths of the four landed series."""
+    """Paths of the four landed series.
+
+    ``series_column`` names the price column that tells several series apart; without it the
+    file is one series called ``series_id``. Rate, exchange rate and trend are shared by all.
+    """
 
     price_csv: str
     rate_json: str
     fx_csv: str
     trend_json: str
     series_id: str = "price"
+    series_column: str | None = None
     multi_line_json: bool = True
 
 
@@ -47,12 +52,14 @@ def combine_sources(
     Price and exchange rate look back from their own latest date, the rate from ``as_of``.
     """
     as_of = as_of or dt.date.today()
-    price = files.require_rows(files.read_price_csv(spark, sources.price_csv), "price series")
+    keys = [sources.series_column] if sources.series_column else []
+    price = files.require_rows(files.read_price_csv(spark, sources.price_csv, keys=keys), "price series")
     fx = files.require_rows(files.read_fx_csv(spark, sources.fx_csv), "exchange-rate series")
     rate = files.read_observations_json(spark, sources.rate_json, multi_line=sources.multi_line_json)
     trend = files.read_timeline_json(spark, sources.trend_json, multi_line=sources.multi_line_json)
 
-    price = align.lookback(price, LOOKBACK_YEARS).select(F.lit(sources.series_id).alias("series_id"), "date", "price")
+    series = F.col(sources.series_column) if sources.series_column else F.lit(sources.series_id)
+    price = align.lookback(price, LOOKBACK_YEARS).select(series.alias("series_id"), "date", "price")
     fx = align.lookback(fx, LOOKBACK_YEARS)
     rate = align.lookback(rate, LOOKBACK_YEARS, as_of=as_of).filter(F.col("date") <= F.lit(as_of))
     for side in (fx, rate):

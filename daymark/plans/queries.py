@@ -510,20 +510,22 @@ def scenario_features(spark, folder):
 
 # One training run per session and folder serves the queries below; its results are tables in
 # the shared folder, not data held on the driver.
-_TRAINED: dict[tuple[str, str], jobs.Trained] = {}
+_TRAINED: dict[tuple[str, str], tuple[DataFrame, jobs.Trained]] = {}
 
 
-def trained(spark: SparkSession, folder: str) -> jobs.Trained:
+def trained(spark: SparkSession, folder: str) -> tuple[DataFrame, jobs.Trained]:
+    """The engineered frame, written once, and what training on it gave."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _TRAINED:
-        _TRAINED[key] = jobs.train(engineered(spark, folder), YEARS)
+        frame = materialise(engineered(spark, folder).drop("n_orders"), "engineered")
+        _TRAINED[key] = frame, jobs.train(frame, YEARS)
     return _TRAINED[key]
 
 
 def _member(name: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         p_up = F.col(f"p_{name}")
-        return trained(spark, folder).predictions.select(
+        return trained(spark, folder)[1].predictions.select(
             SERIES,
             "date",
             "year",
@@ -542,14 +544,15 @@ REGISTRY["wf_random_forest"] = _member("rf")
 
 @query
 def oof_predictions(spark, folder):
-    return ensemble.history_report(trained(spark, folder).predictions)
+    return ensemble.history_report(trained(spark, folder)[1].predictions)
 
 
 @query
 def model_summary(spark, folder):
-    return trained(spark, folder).summary
+    return trained(spark, folder)[1].summary
 
 
 @query
 def forecast_7day(spark, folder):
-    return jobs.forecast(trained(spark, folder).model, engineered(spark, folder), SEED)
+    frame, result = trained(spark, folder)
+    return jobs.forecast(result.model, frame, SEED)

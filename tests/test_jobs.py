@@ -1,6 +1,7 @@
 """Model fits and the whole job, on landed files of a small hand-made market."""
 
 import csv
+import dataclasses
 import datetime as dt
 import json
 
@@ -101,6 +102,28 @@ def test_forecast_repeats_from_the_saved_model(spark, outcome):
     assert sorted(map(str, again.collect())) == sorted(map(str, forecast.collect()))
 
 
+def test_several_series_share_the_side_series(spark, sources, tmp_path):
+    with open(sources.price_csv) as f:
+        header, *lines = f.read().splitlines()
+    path = tmp_path / "two.csv"
+    path.write_text("\n".join([f"Metal,{header}", *(f"{m},{line}" for m in ("a", "b") for line in lines)]) + "\n")
+    keyed = dataclasses.replace(sources, price_csv=str(path), series_column="Metal")
+    both = jobs.combine_sources(spark, keyed, AS_OF)
+    one = jobs.combine_sources(spark, sources, AS_OF).drop("series_id")
+    want = sorted(map(str, one.collect()))
+    for name in ("a", "b"):
+        assert sorted(map(str, both.filter(F.col("series_id") == name).drop("series_id").collect())) == want
+
+
+def test_duplicate_price_dates_are_an_error(spark, sources, tmp_path):
+    with open(sources.price_csv) as f:
+        text = f.read()
+    path = tmp_path / "twice.csv"
+    path.write_text(text + text.splitlines()[-1] + "\n")
+    with pytest.raises(ValueError, match="duplicate"):
+        jobs.combine_sources(spark, dataclasses.replace(sources, price_csv=str(path)), AS_OF)
+
+
 def test_latest_row(spark, outcome):
     combined = saved(spark, outcome[0], sinks.COMBINED).withColumn("date", F.col("date").cast("date"))
     row = jobs.latest(combined).first()
