@@ -10,6 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
 from check_oracle import compare, connect  # noqa: E402
 
 from __spark_entry__ import SMOKE_FOLDER, entry, oracle_sql, queries  # noqa: E402
+from daymark.operators import features  # noqa: E402
 
 pytestmark = pytest.mark.skipif(not Path(SMOKE_FOLDER).exists(), reason="no test tables")
 TRAINED = {"wf_logistic", "wf_gbt", "wf_random_forest", "oof_predictions", "model_summary", "forecast_7day", "smote_oversample"}
@@ -31,4 +32,6 @@ def test_matches_sql(spark, con, name):
 
 
 def test_entry(spark):
-    assert len(entry(spark).columns) == 35 - 1
+    frame = entry(spark)
+    assert set(features.model_columns(frame)) == set(frame.columns) - {"series_id", "date", "year", "target"}
+    assert len(features.model_columns(frame)) == 31
