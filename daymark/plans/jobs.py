@@ -89,11 +89,18 @@ class Trained:
 
 
 def summarise_training(
-    predictions: DataFrame, n_features: int, years: folds.Years, stamp: dt.datetime
+    predictions: DataFrame, engineered: DataFrame, n_features: int, years: folds.Years, stamp: dt.datetime
 ) -> tuple[DataFrame, DataFrame]:
-    """One-row summary of ten fields, and the fuller metrics row with cells and verdict."""
+    """One-row summary of ten fields, and the fuller metrics row with cells, verdict and samples.
+
+    ``training_samples`` counts the engineered rows of the seed years, no-change rows included.
+    """
     auc = metrics.roc_auc(predictions).select("roc_auc").scalar()
-    details = metrics.accuracy_verdict(metrics.classification_metrics(predictions)).withColumn("roc_auc", auc)
+    seed_years, tested = (years.train_from, years.train_to), (years.test_from, years.test_to)
+    samples = metrics.sample_counts(engineered, seed_years, tested).select("training_samples").scalar()
+    details = metrics.accuracy_verdict(metrics.classification_metrics(predictions)).withColumns(
+        {"roc_auc": auc, "training_samples": samples}
+    )
     summary = details.select(
         F.lit(MODEL_NAME).alias("model"),
         "accuracy",
@@ -122,7 +129,9 @@ def train(
     columns = features.model_columns(rows, feature_set)
     data = ensemble.prepare(rows, columns, years)
     result = ensemble.walk_forward(data, members, smote)
-    summary, details = summarise_training(result.predictions, len(columns), years, stamp or dt.datetime.now())
+    summary, details = summarise_training(
+        result.predictions, engineered, len(columns), years, stamp or dt.datetime.now()
+    )
     return Trained(result.predictions, summary, details, result.model, columns)
 
 

@@ -141,6 +141,9 @@ def test_lagged_only_training_with_oversampling(spark, outcome):
     trained = jobs.train(engineered, folds.Years(2019, 2020, 2021, 2021), "lagged_only", smote=True, members=["lr"])
     assert len(trained.columns) == 26 and "price" not in trained.columns
     assert trained.predictions.columns[-1] == "p_lr"
+    details = trained.details.first()
+    assert details.training_samples == engineered.filter("year <= 2020").count()
+    assert details.tn + details.fp + details.fn + details.tp == details.test_samples
     assert trained.summary.first().test_samples == labels.binary_target(engineered).filter("year = 2021").count()
 
 
