@@ -24,6 +24,12 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.
             yield batch.slice(start, size)
 
 
+def collected_rows(table: pa.Table, *names: str) -> list[tuple]:
+    """Rows of a small collected table; lists come as numpy arrays."""
+    columns = [table.column(n) for n in names]
+    return [tuple(np.asarray(v.values) if isinstance(v, pa.ListScalar) else v.as_py() for v in row) for row in zip(*columns)]
+
+
 def arrow_schema(schema: str | T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -87,18 +93,17 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[0::2], edges[1::2]
 
 
-def gram_codes(points: np.ndarray, order: int, bits: int) -> np.ndarray:
-    """A hashed code for every character n-gram of the given order."""
-    if len(points) < order:
-        return np.empty(0, np.uint32)
-    mixed = np.full(len(points) - order + 1, order * 0x9E37, np.uint32)
-    for k in range(order):
-        mixed *= np.uint32(0x01000193)
-        mixed ^= points[k : len(points) - order + 1 + k]
-        mixed *= _MULTIPLIER
+def gram_codes(points: np.ndarray, orders: tuple[int, ...], bits: int) -> list[np.ndarray]:
+    """For each order the hashed codes of all character n-grams, in text order."""
+    found = []
+    mixed = np.full(len(points), 0x9E37, np.uint32)
+    for k in range(max(orders)):
+        mixed = mixed[: max(0, len(points) - k)]
+        mixed = (mixed ^ points[k:]) * _MULTIPLIER
         mixed ^= mixed >> np.uint32(15)
-    mixed *= _MULTIPLIER
-    return mixed >> np.uint32(32 - bits)
+        if k + 1 in orders:
+            found.append((mixed * np.uint32(0x01000193 + 2 * k)) >> np.uint32(32 - bits))
+    return found
 
 
 class Powers:

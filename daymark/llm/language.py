@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from daymark.llm.common import (
     code_points,
+    collected_rows,
     count_rows,
     gram_codes,
     letter_table,
@@ -60,7 +61,7 @@ def grams(text: str | None) -> np.ndarray | None:
     before = np.concatenate(([True], letters[:-1]))
     points = np.where(letters, points, np.uint32(32))[letters | before]
     points = np.concatenate((np.uint32([32]), points, np.uint32([32])))
-    return np.concatenate([gram_codes(points, n, BITS) for n in ORDERS])
+    return np.concatenate(gram_codes(points, ORDERS, BITS))
 
 
 def vector(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
@@ -120,13 +121,14 @@ def fit_sample(docs: DataFrame, id_column: str, text: str, lang: str, rows: int)
         vectors,
         "h long, lang string, codes array<int>, counts array<float>",
     )
-    ranked = sorted(picked.toArrow().to_pylist(), key=lambda r: (r["lang"], r["h"] % (1 << 20), r["h"], r["codes"]))
+    found = collected_rows(picked.toArrow(), "lang", "h", "codes", "counts")
+    found.sort(key=lambda r: (r[0], r[1], len(r[2]), r[2].tobytes()))
     kept, seen = [], dict.fromkeys(shares, 0)
-    for row in ranked:
-        if seen[row["lang"]] < rows:
-            seen[row["lang"]] += 1
-            kept.append((row["h"], row["lang"], np.array(row["codes"]), np.array(row["counts"])))
-    return sorted(kept, key=lambda r: (r[0], r[1], r[2].tolist()))
+    for lang_value, _, codes, counts in sorted(found, key=lambda r: (r[1] % (1 << 20), r[1])):
+        if seen[lang_value] < rows:
+            seen[lang_value] += 1
+            kept.append((lang_value, codes, counts))
+    return kept
 
 
 def train_ftrl(
@@ -200,9 +202,9 @@ def train(
     frequencies = document_frequencies(known, text)
     idf = np.log((1.0 + frequencies.max()) / (1.0 + frequencies)) + 1.0
     idf[frequencies == 0] = 0.0
-    languages = sorted({r[1] for r in sample})
+    languages = sorted({r[0] for r in sample})
     index = {k: i for i, k in enumerate(languages)}
-    rows = [(codes, weigh(codes, counts, idf), index[k]) for _, k, codes, counts in sample]
+    rows = [(codes, weigh(codes, counts, idf), index[k]) for k, codes, counts in sample]
     held = [i % 4 == 3 and len(rows) > 20 for i in range(len(rows))]
     weights, bias = train_ftrl([r for r, h in zip(rows, held) if not h], len(languages))
     back = [r for r, h in zip(rows, held) if h]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daymark.llm import language
+from daymark.llm import exact, language, mixing, quality, toxicity
 from daymark.llm.common import fold, read_table
 
 
@@ -16,8 +16,50 @@ def op1_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(docs, model, keep=["doc_id", "held_out"])
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document; labels of rows whose fold is 1 stay out of training."""
+    docs = read_table(spark, folder, "documents").withColumn("held_out", fold("doc_id", 3) == 1)
+    labels = read_table(spark, folder, "labels").filter(fold("doc_id", 3) != 1)
+    model = toxicity.train(docs, labels)
+    return toxicity.score_toxicity(docs, model, keep=["doc_id", "held_out"])
+
+
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document; labels of rows whose fold is 0 stay out of training."""
+    docs = read_table(spark, folder, "documents").withColumn("held_out", fold("doc_id", 5) == 0)
+    labels = read_table(spark, folder, "labels").filter(fold("doc_id", 5) != 0)
+    model = quality.train(docs, labels)
+    return quality.score_quality(docs, model, keep=["doc_id", "held_out"])
+
+
+def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that the mix takes from every document."""
+    mixed = mixing.copies(read_table(spark, folder, "documents"))
+    return mixed.select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
+    )
+
+
+def op6_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact copies of every document, dropped ones too."""
+    return exact.find_copies(read_table(spark, folder, "documents"))
+
+
 REGISTRY = {
     "op1_language": op1_language,
+    "op2_toxicity": op2_toxicity,
+    "op3_quality": op3_quality,
+    "op5_mixing": op5_mixing,
+    "op6_exact": op6_exact,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_exact": """
+with body as (
+  select doc_id, regexp_replace(coalesce(text, ''), '[ \\x09-\\x0D]+', ' ', 'g') as t from documents
+)
+select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size,
+       doc_id = min(doc_id) over w as kept, sha256(t) as text_sha256
+from body window w as (partition by t)
+""",
+}
