@@ -3,7 +3,7 @@
 Every document of a source is wanted ``target / source size`` times. The whole part is taken; the
 fractions are rounded in pairs: words are moved at random from one document to the other until one
 of them is taken wholly or not at all, so the words of the source stay the same through every step
-and each document keeps its expectation. Blocks of a source are rounded side by side; what is left
+and, but for the last one of a source, each document keeps its expectation. Blocks of a source are rounded side by side; what is left
 of each block, at most one document, is rounded again block of blocks by block of blocks, until one
 document a source remains.
 """
@@ -164,9 +164,9 @@ def copies(
         left = rounded.filter(F.col("left").isNotNull()).select(
             "rank", "block", "size", F.col("left").alias("share")
         )
-    # At most one document a source is left; a repeatable draw keeps its expectation.
-    draw = F.pmod(F.xxhash64("rank", F.lit(seed), F.lit("last")), F.lit(1 << 52)) / float(1 << 52)
-    last = left.select("rank", "block", (draw < F.col("share")).cast("double").alias("share"))
+    # At most one document a source is left; taking the nearer side keeps the source nearest to
+    # its target.
+    last = left.select("rank", "block", (F.col("share") >= 0.5).cast("double").alias("share"))
     settled = last if settled is None else settled.unionByName(last)
     settled = settled.withColumnRenamed("share", "settled")
     return blocks.join(settled, ["rank", "block"], "left").select(

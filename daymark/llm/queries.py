@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
+from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daymark.llm import exact, language, mixing, quality, toxicity
+from daymark.llm import bpe, exact, language, mixing, quality, toxicity
 from daymark.llm.common import fold, read_table
 
 
@@ -45,12 +48,27 @@ def op6_exact(spark: SparkSession, folder: str) -> DataFrame:
     return exact.find_copies(read_table(spark, folder, "documents"))
 
 
+def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text encoded and decoded again, as digests."""
+    model = bpe.WordBpe.load(tokenizer_path("word_bpe_49k.json"))
+    numbers = {i: str(i) for i in model.tokens}
+
+    def digest(ids, decoded):
+        told = " ".join([numbers[i] for i in ids])
+        return len(ids), sha256(told.encode()).hexdigest(), sha256(decoded.encode()).hexdigest()
+
+    docs = read_table(spark, folder, "documents")
+    added = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return bpe.round_trip(docs, model, digest, added, keep=["doc_id"])
+
+
 REGISTRY = {
     "op1_language": op1_language,
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
     "op5_mixing": op5_mixing,
     "op6_exact": op6_exact,
+    "op9_bpe": op9_bpe,
 }
 
 ORACLE: dict[str, str] = {
