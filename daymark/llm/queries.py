@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daymark.llm import bpe, exact, language, mixing, quality, toxicity
+from daymark.llm import bpe, exact, language, mixing, quality, topk, toxicity
 from daymark.llm.common import fold, read_table
 
 
@@ -62,6 +62,11 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(docs, model, digest, added, keep=["doc_id"])
 
 
+def op10_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 best other rows of every 50th vector, by integer inner product."""
+    return topk.top_k(read_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 REGISTRY = {
     "op1_language": op1_language,
     "op2_toxicity": op2_toxicity,
@@ -69,9 +74,25 @@ REGISTRY = {
     "op5_mixing": op5_mixing,
     "op6_exact": op6_exact,
     "op9_bpe": op9_bpe,
+    "op10_topk": op10_topk,
 }
 
 ORACLE: dict[str, str] = {
+    "op10_topk": """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+  where embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+scored as (
+  select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e)::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+),
+ranked as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored
+)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+""",
     "op6_exact": """
 with body as (
   select doc_id, regexp_replace(coalesce(text, ''), '[ \\x09-\\x0D]+', ' ', 'g') as t from documents
