@@ -90,8 +90,16 @@ def round_pairs(sizes: np.ndarray, shares: np.ndarray, draws: np.ndarray) -> tup
     return shares, held
 
 
-def round_block(table: pa.Table, seed: int, level: int) -> pa.Table:
+def rounder(seed: int, level: int):
     """One block's ``share`` rounded; the row left over has it under ``left`` and a null ``share``."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return round_block(table, seed, level)
+
+    return run
+
+
+def round_block(table: pa.Table, seed: int, level: int) -> pa.Table:
     order = [("size", "descending"), *((c, "ascending") for c in table.column_names if c in ("id", "block"))]
     table = table.sort_by(order)
     sizes = table.column("size").to_numpy().astype(float)
@@ -140,7 +148,7 @@ def copies(
     )
     blocks = materialise(
         wanted.groupBy("rank", "block").applyInArrow(
-            lambda t: round_block(t, seed, 0),
+            rounder(seed, 0),
             "id long, source string, size long, source_size long, target double, rank long, whole long, "
             "share double, block long, left double",
         ),
@@ -154,7 +162,7 @@ def copies(
         group = left.withColumn("group", F.floor(F.col("block") / width).cast("long"))
         rounded = materialise(
             group.groupBy("rank", "group").applyInArrow(
-                lambda t, k=level: round_block(t, seed, k),
+                rounder(seed, level),
                 "rank long, block long, size long, share double, group long, left double",
             ),
             "rounded",
