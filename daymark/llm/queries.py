@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daymark.llm import bpe, exact, language, mixing, quality, topk, toxicity
+from daymark.llm import bpe, exact, language, mixing, near, quality, topk, toxicity
 from daymark.llm.common import fold, read_table
 
 
@@ -48,6 +48,11 @@ def op6_exact(spark: SparkSession, folder: str) -> DataFrame:
     return exact.find_copies(read_table(spark, folder, "documents"))
 
 
+def op8_near(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes of documents linked by 4-word shingles at a similarity of 0.85."""
+    return near.near_duplicates(read_table(spark, folder, "documents"), width=4, percent=85)
+
+
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every text encoded and decoded again, as digests."""
     model = bpe.WordBpe.load(tokenizer_path("word_bpe_49k.json"))
@@ -73,11 +78,39 @@ REGISTRY = {
     "op3_quality": op3_quality,
     "op5_mixing": op5_mixing,
     "op6_exact": op6_exact,
+    "op8_near": op8_near,
     "op9_bpe": op9_bpe,
     "op10_topk": op10_topk,
 }
 
 ORACLE: dict[str, str] = {
+    "op8_near": """
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^ \\x09-\\x0D]+') as w from documents
+),
+shingles as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as s
+  from words
+),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+common as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c
+  from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2
+),
+links as (
+  select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+  where 100 * c >= 85 * (x.n + y.n - c)
+),
+both_ways as (select a, b from links union select b, a from links),
+reach as (
+  select doc_id as a, doc_id as b from documents
+  union select reach.a, both_ways.b from reach join both_ways on reach.b = both_ways.a
+)
+select d.doc_id, coalesce(any_value(n), 0)::bigint as n_shingles, min(r.b) as component_id
+from documents d join reach r on r.a = d.doc_id left join sizes s on s.doc_id = d.doc_id group by d.doc_id
+""",
     "op10_topk": """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
