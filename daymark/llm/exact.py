@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from daymark.llm.common import map_rows
 from daymark.session import materialise
 
-#: Bytes of content that one bucket, or one task's first table, holds at most.
-BUCKET_BYTES = 48 << 20
+#: Bytes of content that one bucket, or one task's first table, holds at most; bytes of one batch.
+BUCKET_BYTES, BATCH_BYTES = 16 << 20, 2 << 20
 
 
 class ContentTable:
@@ -82,20 +82,25 @@ def collapse(limit: int):
         table, entries = ContentTable(), []
 
         def flush():
-            size = len(entries)
-            nothing = pa.nulls(size)
-            yield [
-                pa.array([e[0] for e in entries], pa.int64()),
-                nothing.cast(pa.int64()),
-                nothing.cast(pa.int64()),
-                nothing.cast(pa.binary()),
-                pa.array(table.hashes, pa.int64()),
-                pa.array(table.contents, pa.binary()),
-                pa.array([e[1] for e in entries], pa.int64()),
-                pa.array([e[2] for e in entries], pa.int64()),
-                pa.array([e[3] for e in entries], pa.int64()),
-                pa.array([len(c) for c in table.contents], pa.int64()),
-            ]
+            start, size = 0, 0
+            for end, content in enumerate(table.contents, 1):
+                size += len(content)
+                if size >= BATCH_BYTES or end == len(entries):
+                    part, contents = entries[start:end], table.contents[start:end]
+                    nothing = pa.nulls(len(part))
+                    yield [
+                        [e[0] for e in part],
+                        nothing.cast(pa.int64()),
+                        nothing.cast(pa.int64()),
+                        nothing.cast(pa.binary()),
+                        table.hashes[start:end],
+                        contents,
+                        [e[1] for e in part],
+                        [e[2] for e in part],
+                        [e[3] for e in part],
+                        [len(c) for c in contents],
+                    ]
+                    start, size = end, 0
 
         for batch in batches:
             reps, order = [], []
