@@ -3,7 +3,8 @@
 Every document of a source is wanted ``target / source size`` times. The whole part is taken; the
 fractions are rounded in pairs: words are moved at random from one document to the other until one
 of them is taken wholly or not at all, so the words of the source stay the same through every step
-and, but for the last one of a source, each document keeps its expectation. Blocks of a source are rounded side by side; what is left
+and, but for the last one of a source, each document keeps its expectation. A document too large for such steps is paired with all the rest
+of its block at once. Blocks of a source are rounded side by side; what is left
 of each block, at most one document, is rounded again block of blocks by block of blocks, until one
 document a source remains.
 """
@@ -90,6 +91,28 @@ def round_pairs(sizes: np.ndarray, shares: np.ndarray, draws: np.ndarray) -> tup
     return shares, held
 
 
+def settle_large(sizes: np.ndarray, shares: np.ndarray, draws: np.ndarray) -> int:
+    """Round the leading documents that the rest of the block could hardly absorb; return how many.
+
+    ``sizes`` fall and ``shares`` are all the same. Such a document is paired with all the rest at
+    once: it is taken or not with its own probability, and the words this adds or frees come evenly
+    from the rest, which keeps every expectation as in a pair. ``shares`` is changed in place.
+    """
+    rest = sizes.sum() - np.cumsum(sizes)
+    spread = (sizes**2).sum() - np.cumsum(sizes**2)
+    for k in range(len(sizes) - 1):
+        a, p, s = sizes[k], shares[k], rest[k]
+        if not _EDGE < p < 1 - _EDGE or 9 * a * a <= spread[k] * p * (1 - p):
+            return k
+        taken = draws[k] < p
+        after = p - a * (1 - p) / s if taken else p + a * p / s
+        if not _EDGE < after < 1 - _EDGE:
+            return k
+        shares[k] = float(taken)
+        shares[k + 1 :] = after
+    return max(0, len(sizes) - 1)
+
+
 def rounder(seed: int, level: int):
     """One block's ``share`` rounded; the row left over has it under ``left`` and a null ``share``."""
 
@@ -109,7 +132,12 @@ def round_block(table: pa.Table, seed: int, level: int) -> pa.Table:
     draws = rng.random(len(sizes))
     empty = sizes <= 0
     shares[empty] = draws[empty] < shares[empty]
-    shares, held = round_pairs(sizes, shares, draws)
+    filled = int((~empty).sum())
+    # Only the first level has one share for the whole block.
+    done = settle_large(sizes[:filled], shares[:filled], draws) if level == 0 else 0
+    tail, held = round_pairs(sizes[done:], shares[done:], rng.random(len(sizes) - done))
+    shares = np.concatenate((shares[:done], tail))
+    held = held + done if held >= 0 else -1
     left = np.arange(len(shares)) == held
     at = table.column_names.index("share")
     table = table.set_column(at, "share", pa.array(shares, mask=left))
