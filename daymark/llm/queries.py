@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daymark.llm import bpe, exact, language, mixing, near, quality, topk, toxicity
+from daymark.llm import bpe, exact, language, mixing, near, personal, quality, topk, toxicity
 from daymark.llm.common import fold, read_table
 
 
@@ -48,6 +48,28 @@ def op6_exact(spark: SparkSession, folder: str) -> DataFrame:
     return exact.find_copies(read_table(spark, folder, "documents"))
 
 
+def op7_personal(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document: counts and digest of the base spans, and all spans."""
+    docs = read_table(spark, folder, "documents")
+    found = personal.find_personal(docs, personal.train(docs), keep=["doc_id"])
+
+    def kind_is(kind):
+        return lambda s: s.kind == kind
+
+    def listed(spans):
+        told = F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.stop.cast("string")))
+        return F.array_join(told, ",")
+
+    base = F.filter("spans", lambda s: s.base)
+    counts = {f"n_{k}": F.size(F.filter(base, kind_is(k))).cast("long") for k in personal.KINDS}
+    return found.select(
+        "doc_id",
+        *(c.alias(n) for n, c in counts.items()),
+        F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op8_near(spark: SparkSession, folder: str) -> DataFrame:
     """Classes of documents linked by 4-word shingles at a similarity of 0.85."""
     return near.near_duplicates(read_table(spark, folder, "documents"), width=4, percent=85)
@@ -78,6 +100,7 @@ REGISTRY = {
     "op3_quality": op3_quality,
     "op5_mixing": op5_mixing,
     "op6_exact": op6_exact,
+    "op7_personal": op7_personal,
     "op8_near": op8_near,
     "op9_bpe": op9_bpe,
     "op10_topk": op10_topk,
