@@ -163,6 +163,8 @@ def _one_width(kept: DataFrame, width: int, shards: int, blocks: int, k: int) ->
     def meet(rows: DataFrame, asked: DataFrame) -> DataFrame:
         # Both sides lie in groups of bounded size: one shard and one block of queries.
         by_block = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        # New names throughout, as both sides come from one table.
+        asked = asked.select(*(F.col(c).alias(c) for c in ("id", "vector", "floor", "shard", "block")))
         return by_block.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(
             lambda a, b: _search_group(a, b, k, width), found
         )
