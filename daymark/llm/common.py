@@ -179,14 +179,16 @@ def with_scores(
     names = {n.lower() for n in extra.names}
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names]
     schema = T.StructType([*(docs.schema[c] for c in kept), *extra.fields])
-    quoted = [F.col("`" + c.replace("`", "``") + "`") for c in [*kept, text]]
-    width = len(kept)
+    # A text that is returned anyway is not sent to the workers twice.
+    at = next((i for i, c in enumerate(kept) if c.lower() == text.lower()), len(kept))
+    quoted = ["`" + c.replace("`", "``") + "`" for c in kept]
+    if at == len(kept):
+        quoted.append("`" + text.replace("`", "``") + "`")
 
     def rows(batches):
         for batch in batches:
-            found = [score(v) for v in batch.column(width).to_pylist()]
+            found = [score(v) for v in batch.column(at).to_pylist()]
             columns = list(zip(*found)) if found else [()] * len(names)
-            yield [*batch.columns[:width], *columns]
+            yield [*batch.columns[: len(kept)], *columns]
 
-    # The text stands last under a name of its own, so it may also be among the kept columns.
-    return map_rows(docs.select(*quoted[:-1], quoted[-1].alias("__text")), rows, schema)
+    return map_rows(docs.select(*map(F.col, quoted)), rows, schema)

@@ -213,3 +213,19 @@ def copies(
         "target",
         (F.col("whole") + F.coalesce("share", "settled")).cast("long").alias("copies"),
     )
+
+
+def mix(docs: DataFrame, text: str = "text", source: str = "source", seed: int = 11) -> DataFrame:
+    """``docs`` with every row as often as the mixture takes it; rows not taken go.
+
+    A row is known by all its columns; equal rows are taken as often as they are together.
+    """
+    names = docs.columns
+    row = F.xxhash64(*("`" + c.replace("`", "``") + "`" for c in names), F.lit("mix"))
+    hashed = docs.withColumn("__row", row)
+    taken = copies(hashed, "__row", text, source, seed).groupBy("__row").agg(F.sum("copies").alias("__times"))
+    joined = hashed.dropDuplicates(["__row"]).join(taken.filter("__times > 0"), "__row")
+    # One row a copy; the array has at most a few elements.
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(
+        *("`" + c.replace("`", "``") + "`" for c in names)
+    )

@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daymark.llm import bpe, exact, language, mixing, near, personal, quality, topk, toxicity
+from daymark.llm import bpe, exact, language, lines, mixing, near, personal, quality, topk, toxicity
 from daymark.llm.common import fold, read_table
 
 
@@ -35,6 +35,12 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_quality(docs, model, keep=["doc_id", "held_out"])
 
 
+def op4_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page without the lines that more than 0.3 of its host's pages hold."""
+    pages = read_table(spark, folder, "pages")
+    return lines.drop_boilerplate(pages, "page_id", lines.host_of(F.col("url")), lines.page_lines(F.col("html")))
+
+
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Words that the mix takes from every document."""
     mixed = mixing.copies(read_table(spark, folder, "documents"))
@@ -98,6 +104,7 @@ REGISTRY = {
     "op1_language": op1_language,
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
+    "op4_lines": op4_lines,
     "op5_mixing": op5_mixing,
     "op6_exact": op6_exact,
     "op7_personal": op7_personal,
@@ -107,6 +114,31 @@ REGISTRY = {
 }
 
 ORACLE: dict[str, str] = {
+    "op4_lines": r"""
+with rows as (
+  select page_id,
+         nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') as host,
+         list_filter(list_transform(string_split(regexp_replace(html,
+           '(?i)</?(?:p|div|br|li|ul|ol|nav|h[1-6]|article|footer|header|section|title|table|tr|td|script|style'
+           || '|head|body|html)(?:\s[^>]*)?/?>', chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') as ls
+  from pages
+),
+held as (select host, unnest(list_distinct(ls)) as line from rows where host is not null),
+counts as (select host, line, count(*) as n from held group by 1, 2),
+totals as (select host, count(*) as pages from rows where host is not null group by 1),
+drops as (
+  select host, list(line) as gone from counts join totals using (host)
+  where pages >= 10 and n > 0.3::double * pages group by 1
+),
+kept as (
+  select page_id, r.host, ls,
+         case when gone is null then ls else list_filter(ls, lambda x: not list_contains(gone, x)) end as ks
+  from rows r left join drops d on r.host = d.host
+)
+select page_id, host, coalesce(len(ls), 0)::bigint as n_lines, coalesce(len(ls) - len(ks), 0)::bigint as n_dropped,
+       array_to_string(ks, chr(10)) as text
+from kept
+""",
     "op8_near": """
 with recursive words as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
