@@ -21,7 +21,6 @@ classes are compared, and what they do not refute is compared by whole sets.
 
 from __future__ import annotations
 
-import re
 from fractions import Fraction
 from functools import lru_cache
 
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from daymark.llm.common import map_rows, mix64
+from daymark.llm.common import map_rows, mix64, runs, word_hashes
 from daymark.session import materialise
 
 #: Ratio of a band's ends; spare parts in a band, as a share of D.
@@ -41,32 +40,30 @@ FEWEST_BITS, MOST_BITS = 512, 4096
 BLOCK = 1024
 #: Bits of the filter that keeps texts without a partner out of the comparison; its size is fixed.
 FILTER_BITS = 1 << 24
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = {i: i + 32 for i in range(65, 91)}
-
-
-@lru_cache(100_000)
-def _word_hash(word: str) -> int:
-    from hashlib import blake2b
-
-    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the ``width``-word shingles of a whole text.
 
-    A-Z are lowered. A text with fewer words has one shingle, its whole word sequence; without a
-    word it has none.
+    Words lie between blanks and line breaks; A-Z are lowered. A text with fewer words has one
+    shingle, its whole word sequence; without a word it has none.
     """
-    words = _WORDS.findall(text.translate(_LOWER)) if text else []
-    if not words:
+    if not text:
         return np.empty(0, np.uint64)
-    hashed = np.fromiter(map(_word_hash, words), np.uint64, len(words))
+    # Lowering bytes changes A-Z alone.
+    body = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
+    hashed = word_hashes(body, *runs(~((body == 32) | ((body >= 9) & (body <= 13)))))
+    if not len(hashed):
+        return hashed
     take = min(width, len(hashed))
     mixed = np.full(len(hashed) - take + 1, take, np.uint64)
     for k in range(take):
-        mixed = mix64(mixed * np.uint64(0x9E3779B97F4A7C15) + hashed[k : len(hashed) - take + 1 + k])
-    return np.unique(mixed)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        mixed += hashed[k : len(hashed) - take + 1 + k]
+        mixed ^= mixed >> np.uint64(29)
+    mixed = mix64(mixed)
+    mixed.sort()
+    return mixed[np.concatenate(([True], mixed[1:] != mixed[:-1]))]
 
 
 def band_starts(limit: int = 1 << 40) -> np.ndarray:
@@ -113,11 +110,13 @@ def part_keys(hashes: np.ndarray, band: int, bands: Bands) -> np.ndarray:
     part = (mixed >> np.uint64(40)) % np.uint64(parts)
     # The bit's random number; a part has 2**40 bits, too many to store but not to XOR.
     number = mix64((mixed & np.uint64((1 << 40) - 1)) + (part << np.uint64(40)) + np.uint64(1))
+    # Numbers of 16 bits sort by radix.
+    part = part.astype(np.uint16) if parts < 65536 else part
     order = np.argsort(part, kind="stable")
     sorted_part = part[order]
     first = np.flatnonzero(np.concatenate(([True], sorted_part[1:] != sorted_part[:-1])))
     keys = np.bitwise_xor.reduceat(number[order], first)
-    shown = sorted_part[first]
+    shown = sorted_part[first].astype(np.uint64)
     empty = parts - len(shown)
     if empty > parts - d - 1:
         missing = np.setdiff1d(np.arange(parts, dtype=np.uint64), shown)
@@ -135,11 +134,10 @@ def short_sketch(hashes: np.ndarray) -> bytes:
     return np.packbits(flips.astype(np.uint8)).tobytes()
 
 
-def folded(sketches: list[bytes]) -> np.ndarray:
-    """Sketches as rows of 64-bit words, folded to the length of the shortest."""
-    shortest = min(map(len, sketches))
-    rows = [np.frombuffer(s, np.uint64).reshape(-1, shortest // 8) for s in sketches]
-    return np.array([np.bitwise_xor.reduce(r, axis=0) if len(r) > 1 else r[0] for r in rows])
+def folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """Sketches as rows of 64-bit words, folded to ``size`` bytes."""
+    rows = [np.frombuffer(s, np.uint64).reshape(-1, size // 8) for s in sketches]
+    return np.array([np.bitwise_xor.reduce(r, axis=0) if len(r) > 1 else r[0] for r in rows]).reshape(-1, size // 8)
 
 
 def sketched(docs: DataFrame, width: int) -> DataFrame:
@@ -179,34 +177,85 @@ def _digest(hashes: np.ndarray) -> bytes:
     return blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def close_pairs(block: pa.Table, percent: int, best: bool) -> pa.Table:
-    """Pairs of different classes in one block whose sizes and sketches allow a link.
+def close_pairs(rows: dict[str, np.ndarray], sketches: list[bytes], percent: int, best: bool) -> list[tuple]:
+    """Pairs of one block and different classes whose sizes and sketches allow a link.
 
-    A block holds one or two parts of a group; with two, pairs lie across them. ``best`` returns
-    only each member's closest partner.
+    Rows are sorted by block; each is compared with the ones after it, all blocks side by side. A
+    block holds one or two parts of a group; with two, pairs lie across them. ``best`` returns only
+    each member's closest partner.
     """
-    ids, classes, sizes, part = (block.column(c).to_numpy() for c in ("id", "class", "size", "part"))
-    words = folded(block.column("sketch").to_pylist())
-    whole = part.min() == part.max()
-    most = (100 - percent) * (sizes[:, None] + sizes[None, :]) // (100 + percent)
-    found_a, found_b = [], []
-    for i in range(len(ids)):
-        other = classes != classes[i]
-        other &= (np.arange(len(ids)) > i) if whole and not best else (ids != ids[i])
-        if not whole:
-            other &= part != part[i] if best else (part > part[i])
-        j = np.flatnonzero(other)
-        j = j[100 * np.minimum(sizes[j], sizes[i]) >= percent * np.maximum(sizes[j], sizes[i])]
-        if not len(j):
+    block, ids, classes, sizes, parts, across = (rows[c] for c in ("block", "id", "class", "size", "part", "across"))
+    n, found = len(ids), []
+    words = folded(sketches, FEWEST_BITS // 8)
+    closest = np.full(n, 1 << 30)
+    partner = np.full(n, -1)
+    i = np.arange(n)
+    for step in range(1, n):
+        i = i[i + step < n]
+        i = i[block[i] == block[i + step]]
+        if not len(i):
+            break
+        a = i[(classes[i] != classes[i + step]) & (~across[i] | (parts[i] != parts[i + step]))]
+        b = a + step
+        x, y = sizes[a], sizes[b]
+        fits = 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+        a, b = a[fits], b[fits]
+        most = (100 - percent) * (sizes[a] + sizes[b]) // (100 + percent)
+        differing = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64)
+        fits = differing <= most
+        a, b, most, differing = a[fits], b[fits], most[fits], differing[fits]
+        for k in range(len(a)):
+            # Long sketches say more than their folded form.
+            size = min(len(sketches[a[k]]), len(sketches[b[k]]))
+            if size > FEWEST_BITS // 8:
+                pair = folded([sketches[a[k]], sketches[b[k]]], size)
+                differing[k] = np.bitwise_count(pair[0] ^ pair[1]).sum(dtype=np.int64)
+        fits = differing <= most
+        a, b, differing = a[fits], b[fits], differing[fits]
+        if not best:
+            found += zip(ids[a].tolist(), ids[b].tolist())
             continue
-        differing = np.bitwise_count(words[j] ^ words[i]).sum(axis=1)
-        fits = differing <= most[i, j]
-        j, differing = j[fits], differing[fits]
-        if best and len(j):
-            j = j[[differing.argmin()]]
-        found_a += [ids[i]] * len(j)
-        found_b += ids[j].tolist()
-    return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+        for one, two in ((a, b), (b, a)):
+            nearer = differing < closest[one]
+            closest[one[nearer]], partner[one[nearer]] = differing[nearer], two[nearer]
+    if best:
+        have = np.flatnonzero(partner >= 0)
+        found = list(zip(ids[have].tolist(), ids[partner[have]].tolist()))
+    return found
+
+
+def compare_blocks(percent: int, best: bool):
+    """Stream of rows sorted by block to candidate pairs; a block is never cut."""
+    names = ("key", "x", "y", "id", "class", "size", "part")
+
+    def pairs(table: pa.Table):
+        rows = {c: table.column(c).to_numpy() for c in names}
+        new = np.zeros(table.num_rows, np.int64)
+        for c in ("key", "x", "y"):
+            new[1:] |= rows[c][1:] != rows[c][:-1]
+        rows["block"], rows["across"] = np.cumsum(new), rows["x"] != rows["y"]
+        out = close_pairs(rows, table.column("sketch").to_pylist(), percent, best)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"]
+        )
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            last = held.num_rows - 1
+            ends = [held.column(c)[last].as_py() for c in ("key", "x", "y")]
+            keys = [held.column(c).to_numpy() for c in ("key", "x", "y")]
+            other = np.flatnonzero((keys[0] != ends[0]) | (keys[1] != ends[1]) | (keys[2] != ends[2]))
+            start = int(other[-1]) + 1 if len(other) else 0
+            if start:
+                yield pairs(held.slice(0, start))
+                held = held.slice(start)
+        if held is not None and held.num_rows > 1:
+            yield pairs(held)
+
+    return run
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -305,8 +354,8 @@ class Join:
             F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"),
         )
         large = large.withColumns({"x": F.least("part", "other"), "y": F.greatest("part", "other")}).drop("other")
-        blocks = small.unionByName(large).groupBy("key", "x", "y")
-        self.verify(blocks.applyInArrow(lambda t: close_pairs(t, percent, best), "a long, b long"))
+        blocks = small.unionByName(large).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+        self.verify(blocks.mapInArrow(compare_blocks(percent, best), "a long, b long"))
 
 
 def components(links: DataFrame) -> DataFrame:
