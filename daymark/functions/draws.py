@@ -28,6 +28,12 @@ def keyed_uniform(*parts: Column) -> Column:
     return _uniform_from(_digest(parts), 1)
 
 
+def keyed_fraction(*parts: Column) -> Column:
+    """Like ``keyed_uniform`` with 52 bits, for choices among very many."""
+    whole = F.conv(F.substring(_digest(parts), 1, 13), 16, 10).cast("bigint")
+    return (whole.cast("double") + 0.5) / float(1 << 52)
+
+
 def keyed_normal(*parts: Column) -> Column:
     """Standard normal draw decided by ``parts`` (Box-Muller on two 32-bit uniforms)."""
     digest = _digest(parts)

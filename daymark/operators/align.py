@@ -21,15 +21,18 @@ SERIES = ("series_id",)
 def lookback(df: DataFrame, years: int, date_col: str = "date", as_of=None) -> DataFrame:
     """Keep rows no older than ``years`` before the latest date, or before ``as_of``.
 
-    The latest date is a scalar subquery: it runs first, and its value reaches the file scan
-    as a pushed filter, so old row groups are never read.
+    The bound is a scalar subquery with the calendar arithmetic inside, so that it is a plain value by
+    the time the file is scanned and old row groups are never read. (Parquet does not prune
+    ``timestamp_ntz`` columns; rows are then filtered after the scan.)
     """
     column_type = df.schema[date_col].dataType
     if as_of is None:
-        latest = df.agg(F.max(date_col).cast("date").alias("latest")).scalar()
+        first = S.years_before(F.max(date_col).cast("date"), years).cast(column_type)
+        bound = df.agg(first.alias("first")).scalar()
     else:
         latest = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("date")
-    return df.filter(F.col(date_col) >= S.years_before(latest, years).cast(column_type))
+        bound = S.years_before(latest, years).cast(column_type)
+    return df.filter(F.col(date_col) >= bound)
 
 
 def latest_load(df: DataFrame, load_col: str, keys: Sequence[str] = ("series_id", "date")) -> DataFrame:
@@ -47,12 +50,17 @@ def check_unique(df: DataFrame, keys: Sequence[str] = ("series_id", "date")) ->
     return df
 
 
-def check_has_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Raise if a column has no value at all: filling cannot repair it and every row would go."""
-    counts = df.agg(*[F.count(c).alias(c) for c in columns]).first()
-    empty = [c for c in columns if counts[c] == 0]
-    if empty:
-        raise ValueError(f"no value in column(s) {', '.join(empty)}")
+def check_has_values(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = SERIES) -> DataFrame:
+    """Raise if a column of some series has no value at all.
+
+    Filling cannot repair it, and every row of that series would go.
+    """
+    counts = df.groupBy(*keys).agg(*[F.count(c).alias(c) for c in columns])
+    empty = F.filter(F.array(*[F.when(F.col(c) == 0, F.lit(c)) for c in columns]), lambda c: c.isNotNull())
+    found = counts.select(*keys, empty.alias("_empty")).filter(F.size("_empty") > 0).limit(1).collect()
+    if found:
+        series = ", ".join(str(found[0][k]) for k in keys)
+        raise ValueError(f"no value in column(s) {', '.join(found[0]['_empty'])} of series {series}")
     return df
 
 

@@ -2,18 +2,18 @@
 
 ``Window.partitionBy(series).orderBy(time)`` sorts a whole series in one task. That is fine for
 a daily series and fatal for raw events, where one series can hold a third of all rows. Here a
-series is cut into blocks of a fixed number of consecutive rows:
+series is cut by ranges of its own order:
 
-1. count rows per (series, time bucket) and turn the counts into the position at which each
-   bucket starts. Buckets nest (day, minute, millisecond), and a running sum only ever spans the
-   buckets of one parent, so its size is bounded by the calendar and not by the data;
-2. number the rows inside a bucket, which gives every row its exact position;
+1. range-partition the rows once by (series, time, ties), sort inside partitions, number the rows
+   and write them: a large series, or a single crowded instant, simply spans several partitions;
+2. reduce to one row per (series, partition). Running sums over those few rows give the position at
+   which each piece starts, and position = start + number inside the piece;
 3. block = position // block_rows, and the last ``halo`` rows of a block are copied into the
    next one, so that each block sees all the history its window needs;
 4. run the window by (series, block) and drop the copies.
 
-The cut depends on the data alone, so a recomputed task lands in the same block. Series keys and
-times must not be null.
+The same steps run at every size. Rows equal in series, time and all ties stay in one partition, so
+``ties`` should tell rows apart. A null series key or time is an error.
 """
 
 from __future__ import annotations
@@ -25,37 +25,15 @@ from pyspark.sql import functions as F
 
 from daymark.session import materialise
 
-# Rows of one bucket are sorted in one task. Above this many the finer nesting is used.
-BUCKET_ROWS = 500_000
+# monotonically_increasing_id() holds the partition above these bits and the row number below.
+_ROW_BITS = 33
 
 
-def day_of(time: str) -> Column:
-    return F.col(time).cast("date")
+class _Pieces:
+    """Rows with ``_part`` and ``_at`` (number inside the partition), and a reduced row per piece.
 
-
-def minute_of_day(time: str) -> Column:
-    return F.hour(time) * 60 + F.minute(time)
-
-
-def millisecond_of_minute(time: str) -> Column:
-    return F.floor(F.extract(F.lit("SECOND"), F.col(time)) * 1000).cast("int")
-
-
-# At most 366 x 1,440 x 60,000 buckets per year, and never more than 60,000 under one parent
-# except for the days of a series.
-NESTINGS: dict[str, tuple[Callable[[str], Column], ...]] = {
-    "minute": (day_of, minute_of_day),
-    "millisecond": (day_of, minute_of_day, millisecond_of_minute),
-}
-
-
-class _Buckets:
-    """Rows with nested time buckets ``_b0``, ``_b1``, ..., and one reduced row per bucket.
-
-    The reduced rows (a count and whatever ``aggregates`` ask for) are written once, so the
-    running sums over them never scan the input again, and their size is known to the planner.
-    Without ``fine`` the nesting follows from them: minutes, unless some minute of some series
-    is too full to be sorted in one task.
+    Both are written once: partition numbers must not be computed twice, and the running sums never
+    scan the input again.
     """
 
     def __init__(
@@ -64,61 +42,42 @@ class _Buckets:
         keys: Sequence[str],
         time: str,
         ties: Sequence[str],
-        fine: str | None,
         aggregates: Sequence[Column] = (),
     ) -> None:
         self.keys = list(keys)
-        self._cut(df, time, ties, fine or "minute", aggregates)
-        if fine is None and (self.reduced.agg(F.max("_n")).first()[0] or 0) > BUCKET_ROWS:
-            self._cut(df, time, ties, "millisecond", aggregates)
-
-    def _cut(self, df: DataFrame, time: str, ties: Sequence[str], fine: str, aggregates: Sequence[Column]) -> None:
-        parts = NESTINGS[fine]
-        self.levels = [f"_b{i}" for i in range(len(parts))]
-        self.all = [*self.keys, *self.levels]
-        self.rows = df.withColumns({name: part(time) for name, part in zip(self.levels, parts)})
-        self.inside = Window.partitionBy(*self.all).orderBy(time, *ties)
-        self.reduced = materialise(
-            self.rows.groupBy(*self.all).agg(F.count("*").alias("_n"), *aggregates), "bucket-rows"
+        self.all = [*self.keys, "_part"]
+        order = [*self.keys, time, *ties]
+        numbered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+        numbered = numbered.withColumn("_id", F.monotonically_increasing_id())
+        self.rows = materialise(
+            numbered.withColumns(
+                {"_part": F.shiftright("_id", _ROW_BITS), "_at": F.col("_id") % (1 << _ROW_BITS)}
+            ).drop("_id"),
+            "ranged-rows",
         )
-
-    def depths(self) -> list[list[str]]:
-        """Grouping columns of each depth: the keys and the first one, two, ... levels."""
-        return [[*self.keys, *self.levels[: i + 1]] for i in range(len(self.levels))]
-
-    @staticmethod
-    def earlier_siblings(group: list[str]) -> WindowSpec:
-        """Buckets before this one under the same parent."""
-        w = Window.partitionBy(*group[:-1]).orderBy(group[-1])
+        missing = F.count_if(F.col(time).isNull()).alias("_missing")
+        counts = [F.count("*").alias("_n"), F.min("_at").alias("_first"), missing]
+        self.reduced = materialise(self.rows.groupBy(*self.all).agg(*counts, *aggregates), "ranged-pieces")
+        unplaced = F.col("_missing") > 0
+        for key in self.keys:
+            unplaced = unplaced | F.col(key).isNull()
+        if not self.reduced.filter(unplaced).isEmpty():
+            raise ValueError(f"null in {', '.join([*self.keys, time])}: such rows have no place in a series")
+
+    def earlier(self) -> WindowSpec:
+        """Pieces of the same series before this one; at most one per partition."""
+        w = Window.partitionBy(*self.keys).orderBy("_part")
         return w.rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _bucket_starts(buckets: _Buckets) -> DataFrame:
-    """Position of the first row of each bucket: rows in earlier siblings, at every depth."""
-    starts = buckets.reduced.select(*buckets.all, F.lit(0).alias("_start"))
-    for group in buckets.depths():
-        offset = F.coalesce(F.sum("_n").over(buckets.earlier_siblings(group)), F.lit(0))
-        totals = buckets.reduced.groupBy(*group).agg(F.sum("_n").alias("_n"))
-        starts = (
-            starts.join(totals.select(*group, offset.alias("_offset")), group)
-            .withColumn("_start", F.col("_start") + F.col("_offset"))
-            .drop("_offset")
-        )
-    return starts
-
-
-def global_positions(
-    df: DataFrame,
-    keys: Sequence[str],
-    time: str,
-    ties: Sequence[str] = (),
-    fine: str | None = None,
-) -> DataFrame:
+def global_positions(df: DataFrame, keys: Sequence[str], time: str, ties: Sequence[str] = ()) -> DataFrame:
     """Zero-based ``position`` of every row in its series, by ``time`` then ``ties``."""
-    buckets = _Buckets(df, keys, time, ties, fine)
+    pieces = _Pieces(df, keys, time, ties)
+    before = F.coalesce(F.sum("_n").over(pieces.earlier()), F.lit(0))
+    starts = pieces.reduced.select(*pieces.all, (before - F.col("_first")).alias("_start"))
     return (
-        buckets.rows.join(_bucket_starts(buckets), buckets.all)
-        .withColumn("position", F.col("_start") + F.row_number().over(buckets.inside) - 1)
+        pieces.rows.join(starts, pieces.all)
+        .withColumn("position", F.col("_start") + F.col("_at"))
         .select(*df.columns, "position")
     )
 
@@ -131,7 +90,6 @@ def blocked_window(
     halo: int,
     ties: Sequence[str] = (),
     block_rows: int = 4096,
-    fine: str | None = None,
 ) -> DataFrame:
     """Run ``apply`` (which appends columns over a window) for series of any length.
 
@@ -140,7 +98,7 @@ def blocked_window(
     """
     if block_rows < max(halo, 1):
         raise ValueError("a block must hold at least the halo")
-    placed = global_positions(df, keys, time, ties, fine)
+    placed = global_positions(df, keys, time, ties)
     own = F.floor(F.col("position") / block_rows)
     near_end = F.col("position") % block_rows >= block_rows - halo
     copies = placed.withColumn("_own", own).withColumn(
@@ -157,41 +115,37 @@ def blocked_fill(
     columns: Sequence[str],
     ties: Sequence[str] = (),
     backward: bool = True,
-    fine: str | None = None,
 ) -> DataFrame:
     """Forward fill, then fill of the leading gap, for series of any length.
 
-    Each bucket is reduced to its last known value. What is carried into a bucket is found on
-    those reduced rows, among its siblings first and then one level up, and the first known
-    value of a series by a plain aggregate; only then do the rows meet them, bucket by bucket.
+    Each piece is reduced to its last known value. What is carried into a piece is found on those
+    reduced rows, and the first known value of a series by a plain aggregate; only then do the rows
+    meet them, piece by piece.
     """
 
     def known(c: str) -> Column:
-        return F.when(F.col(c).isNotNull(), F.struct(time, *ties, F.col(c).alias("_value")))
+        return F.when(F.col(c).isNotNull(), F.struct("_at", F.col(c).alias("_value")))
 
     latest = [F.max(known(c)).alias(f"_last_{c}") for c in columns]
     earliest = [F.min(known(c)).alias(f"_head_{c}") for c in columns] if backward else []
-    buckets = _Buckets(df, keys, time, ties, fine, [*latest, *earliest])
-    ends = buckets.reduced
-    context = ends.select(*buckets.all)
-    for depth, group in enumerate(buckets.depths()):
-        before = buckets.earlier_siblings(group)
-        reduced = ends.groupBy(*group).agg(*[F.max(f"_last_{c}").alias(f"_last_{c}") for c in columns])
-        carried = [F.last(F.col(f"_last_{c}")["_value"], ignorenulls=True).over(before) for c in columns]
-        context = context.join(
-            reduced.select(*group, *[v.alias(f"_in{depth}_{c}") for v, c in zip(carried, columns)]), group
-        )
+    pieces = _Pieces(df, keys, time, ties, [*latest, *earliest])
+    carried = [
+        F.last(F.col(f"_last_{c}")["_value"], ignorenulls=True).over(pieces.earlier()).alias(f"_in_{c}") for c in columns
+    ]
+    context = pieces.reduced.select(*pieces.all, *carried)
     if backward:
-        heads = ends.groupBy(*buckets.keys).agg(*[F.min(f"_head_{c}")["_value"].alias(f"_first_{c}") for c in columns])
-        context = context.join(heads, buckets.keys)
+        head = {c: F.when(F.col(f"_head_{c}").isNotNull(), F.struct("_part", f"_head_{c}")) for c in columns}
+        heads = pieces.reduced.groupBy(*pieces.keys).agg(
+            *[F.min(v)[f"_head_{c}"]["_value"].alias(f"_first_{c}") for c, v in head.items()]
+        )
+        context = context.join(heads, pieces.keys)
 
-    past = buckets.inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    past = Window.partitionBy(*pieces.all).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = {}
     for c in columns:
-        steps = [F.last(c, ignorenulls=True).over(past)]
-        steps += [F.col(f"_in{depth}_{c}") for depth in reversed(range(len(buckets.levels)))]
+        steps = [F.last(c, ignorenulls=True).over(past), F.col(f"_in_{c}")]
         steps += [F.col(f"_first_{c}")] if backward else []
         filled[c] = F.coalesce(*steps)
-    return buckets.rows.join(context, buckets.all).select(
+    return pieces.rows.join(context, pieces.all).select(
         *[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns]
     )

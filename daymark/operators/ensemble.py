@@ -12,9 +12,10 @@ from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from daymark.functions import draws
 from daymark.functions import scalars as S
 from daymark.operators import folds as fd
 from daymark.operators import oversample
@@ -30,8 +31,10 @@ SMOTE_RATIO = 0.9
 
 MEMBERS = tuple(VOTE_WEIGHTS)
 
-# Training rows per task: a few tens of megabytes of assembled vectors.
-ROWS_PER_TASK = 50_000
+#: Bytes of assembled training vectors per task, at any size of input.
+TASK_BYTES = 128 << 20
+#: Labelled rows a fit with oversampling sees at most, since its neighbour search is quadratic.
+MAX_FIT_ROWS = 50_000
 
 
 def soft_vote(p_lr: Column, p_gbm: Column, p_rf: Column) -> Column:
@@ -130,12 +133,14 @@ class FoldData:
 def prepare(model_rows: DataFrame, columns: Sequence[str], years: fd.Years) -> FoldData:
     """Materialise the model rows by year and compute the statistics of every fold.
 
-    What reaches the driver is the list of years, and per fold one number pair per feature and
+    The rows are dealt and sorted once here; a fold then reads its years without a shuffle. A fold
+    whose training years lack a class is an error. What reaches the driver is the list of years, and per fold one number pair per feature and
     one per class.
     """
     keep = [c for c in ("series_id", "date", "target", "year") if c in model_rows.columns]
     slim = model_rows.select(*keep, *[F.col(c).cast("double").alias(c) for c in columns])
-    frame = materialise(slim, "model-rows", partition_by="year")
+    order = [c for c in ("year", "series_id", "date") if c in slim.columns]
+    frame = materialise(slim, "model-rows", partition_by="year", sort_by=order)
     folds = fd.fold_list(frame, years)
     data = FoldData(frame, list(columns), years, folds)
     for row in fd.scaler_stats(frame, columns, folds, years).collect():
@@ -145,11 +150,32 @@ def prepare(model_rows: DataFrame, columns: Sequence[str], years: fd.Years) -> F
     lacking = [fold for fold in folds if fold not in data.stats]
     if lacking:
         raise ValueError(f"no training rows before test year(s) {lacking}")
+    one_sided = [fold for fold in folds if not (data.weights[fold].n_up and data.weights[fold].n_down)]
+    if one_sided:
+        raise ValueError(f"training rows of one class only before test year(s) {one_sided}")
     return data
 
 
-def fit_fold(data: FoldData, fold: int, members: Sequence[str] = MEMBERS, smote: bool = False) -> PipelineModel:
-    """Fit the chosen members for one fold and chain them behind the fold's standardiser."""
+def bounded(rows: DataFrame, weights, limit: int):
+    """A repeatable share of both classes, about ``limit`` rows, and its class weights."""
+    if weights.n_train <= limit:
+        return rows, weights
+    share = limit / weights.n_train
+    rows = rows.filter(draws.keyed_fraction(F.col("series_id"), F.col("date"), F.lit("fit")) < share)
+    n_up, n_down = rows.agg(F.count_if(F.col("target") == 1), F.count_if(F.col("target") == 0)).first()
+    n = n_up + n_down
+    return rows, Row(n_train=n, n_down=n_down, n_up=n_up, weight_down=n / (2 * n_down), weight_up=n / (2 * n_up))
+
+
+def fold_rows(
+    data: FoldData, fold: int, smote: bool = False, task_bytes: int = TASK_BYTES, max_fit_rows: int = MAX_FIT_ROWS
+) -> tuple[DataFrame, int, PipelineModel]:
+    """Training vectors of a fold, their number, and the stages that made them.
+
+    Without oversampling nothing is shuffled: the fold's years are read as they were written, and scan
+    tasks are put together up to ``task_bytes``. With it at most about ``max_fit_rows`` rows, of both
+    classes alike, are used.
+    """
     scaler = standardiser(data.stats[fold], data.columns)
     assembler = VectorAssembler(
         inputCols=[f"z_{c}" for c in data.columns], outputCol="features", handleInvalid="error"
@@ -157,19 +183,29 @@ def fit_fold(data: FoldData, fold: int, members: Sequence[str] = MEMBERS, smote:
     weights = data.weights[fold]
     train = data.frame.filter(fd.train_filter(data.years, fold))
     rows = assembler.transform(scaler.transform(train)).select("series_id", "date", "features", "target")
-    n_train = weights.n_train
-    if smote and weights.n_up and weights.n_down:
+    if smote:
+        rows, weights = bounded(rows, weights, max_fit_rows)
         rows, weights = oversample.balance(rows, weights, SMOTE_RATIO, SEED)
-        n_train = weights.n_train
     weight = F.when(F.col("target") == 1, F.lit(weights.weight_up)).otherwise(F.lit(weights.weight_down))
-    # Spread by the unique key and order inside each task: no skew, and the same trees every run.
-    tasks = max(1, -(-n_train // ROWS_PER_TASK))
-    rows = (
-        rows.repartition(tasks, "series_id", "date")
-        .sortWithinPartitions("series_id", "date")
-        .select("features", "target", weight.alias("weight"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    tasks = max(1, -(-weights.n_train * 8 * (len(data.columns) + 2) // task_bytes))
+    if smote:
+        rows = rows.repartition(tasks, "series_id", "date").sortWithinPartitions("series_id", "date")
+    else:
+        rows = rows.coalesce(tasks)
+    return rows.select("features", "target", weight.alias("weight")), weights.n_train, PipelineModel([scaler, assembler])
+
+
+def fit_fold(
+    data: FoldData,
+    fold: int,
+    members: Sequence[str] = MEMBERS,
+    smote: bool = False,
+    task_bytes: int = TASK_BYTES,
+    max_fit_rows: int = MAX_FIT_ROWS,
+) -> PipelineModel:
+    """Fit the chosen members for one fold and chain them behind the fold's standardiser."""
+    rows, n_train, prepared = fold_rows(data, fold, smote, task_bytes, max_fit_rows)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     n = len(data.columns)
     learners = {
         "lr": lambda: logistic(n_train),
@@ -183,7 +219,7 @@ def fit_fold(data: FoldData, fold: int, members: Sequence[str] = MEMBERS, smote:
             fitted: list[Model] = list(pool.map(fit, members))
     finally:
         rows.unpersist()
-    return PipelineModel([scaler, assembler, *fitted])
+    return PipelineModel([*prepared.stages, *fitted])
 
 
 def score(model: PipelineModel, df: DataFrame, members: Sequence[str] = MEMBERS) -> DataFrame:
@@ -209,11 +245,19 @@ class WalkForward:
     folds: list[int]
 
 
+def use_checkpoints(spark) -> None:
+    """Boosting truncates its lineage every few trees when it has a reliable folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
 def walk_forward(
     data: FoldData,
     members: Sequence[str] = MEMBERS,
     smote: bool = False,
     concurrent_folds: int = 4,
+    task_bytes: int = TASK_BYTES,
+    max_fit_rows: int = MAX_FIT_ROWS,
 ) -> WalkForward:
     """Fit and test every fold.
 
@@ -222,13 +266,11 @@ def walk_forward(
     of many live plans.
     """
     spark = data.frame.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        # Boosting truncates its lineage every few trees when it has a reliable folder.
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    use_checkpoints(spark)
     out = scratch_path(spark, "oof")
 
     def run(fold: int) -> PipelineModel:
-        model = fit_fold(data, fold, members, smote)
+        model = fit_fold(data, fold, members, smote, task_bytes, max_fit_rows)
         test = data.frame.filter(F.col("year") == fold)
         kept = [c for c in ("series_id", "date") if c in test.columns]
         (

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daymark.functions import scalars as S
+from daymark.session import materialise
 
 # Accuracy bands and their verdicts.
 OVERFIT_ABOVE = 0.70
@@ -100,51 +98,37 @@ def accuracy_verdict(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn("verdict", verdict)
 
 
-def _range_area(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Totals of one sorted score range: classes, lowest score, and pairs ranked inside it."""
-    negatives = positives = pairs = 0.0
-    lowest = None
-    for batch in batches:
-        if batch.empty:
-            continue
-        lowest = float(batch["score"].iloc[0]) if lowest is None else lowest
-        below = batch["negatives"].cumsum() - batch["negatives"] + negatives
-        pairs += float((batch["positives"] * (below + batch["negatives"] / 2.0)).sum())
-        negatives += float(batch["negatives"].sum())
-        positives += float(batch["positives"].sum())
-    if lowest is not None:
-        yield pd.DataFrame(
-            {"lowest": [lowest], "negatives": [negatives], "positives": [positives], "pairs": [pairs]}
-        )
-
-
 def roc_auc(df: DataFrame) -> DataFrame:
     """Exact area under the ROC curve: the share of (down, up) pairs ranked right, ties half.
 
-    Scores are counted per distinct value and sorted in ranges, one task per range. A range
-    gives a single row (its class totals and the pairs inside it), and only those rows, one per
-    partition, meet in the final running sum. Ties cannot straddle ranges since a score occurs
-    once after counting. Null if only one class occurs.
+    Scores are counted per distinct value and dealt to sorted ranges, written once. Running sums go
+    through each range, and one row per range meets in the final one. Ties cannot straddle ranges
+    since a score occurs once after counting. Pairs are counted in whole numbers. Null if only one
+    class occurs.
     """
     actual = F.col("actual")
     by_score = df.groupBy(F.col("probability_up").alias("score")).agg(
         F.count_if(actual == 0).alias("negatives"), F.count_if(actual == 1).alias("positives")
     )
+    ranged = by_score.repartitionByRange("score").withColumn("part", F.spark_partition_id())
+    ranged = materialise(ranged, "score-ranges")
+    inside = Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("negatives").over(inside), F.lit(0))
+    # Twice the pairs, so that halves of ties stay whole.
+    doubled = F.col("positives").cast("decimal(38,0)") * (2 * F.col("below") + F.col("negatives")).cast("decimal(20,0)")
     ranges = (
-        by_score.repartitionByRange("score")
-        .sortWithinPartitions("score")
-        .mapInPandas(_range_area, "lowest double, negatives double, positives double, pairs double")
-    )
-    below = F.coalesce(
-        F.sum("negatives").over(Window.orderBy("lowest").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)
+        ranged.withColumn("below", below)
+        .groupBy("part")
+        .agg(F.sum("negatives").alias("negatives"), F.sum("positives").alias("positives"), F.sum(doubled).alias("doubled"))
     )
-    right = F.sum(F.col("pairs") + F.col("positives") * F.col("below"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    right = F.col("doubled") + 2 * F.col("positives").cast("decimal(20,0)") * F.col("earlier").cast("decimal(20,0)")
     return (
-        ranges.withColumn("below", below)
-        .agg(
-            right.alias("right"),
-            F.sum("positives").cast("bigint").alias("n_up"),
-            F.sum("negatives").cast("bigint").alias("n_down"),
+        ranges.withColumn("earlier", F.coalesce(F.sum("negatives").over(earlier), F.lit(0)))
+        .agg(F.sum(right).alias("right"), F.sum("positives").alias("n_up"), F.sum("negatives").alias("n_down"))
+        .select(
+            "n_up",
+            "n_down",
+            F.try_divide(F.col("right").cast("double") / 2, F.col("n_up") * F.col("n_down").cast("double")).alias("roc_auc"),
         )
-        .select("n_up", "n_down", F.try_divide("right", F.col("n_up") * F.col("n_down").cast("double")).alias("roc_auc"))
     )

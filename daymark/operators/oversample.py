@@ -155,9 +155,9 @@ def synthesise(minority: DataFrame, n_rows: int, wanted: int, seed: int, k: int
     draw = F.col("id")
     picks = spark.range(wanted).select(
         "id",
-        F.floor(draws.keyed_uniform(draw, F.lit("row"), F.lit(seed)) * n_rows).alias("idx"),
-        F.floor(draws.keyed_uniform(draw, F.lit("neighbour"), F.lit(seed)) * k).cast("int").alias("rank"),
-        draws.keyed_uniform(draw, F.lit("step"), F.lit(seed)).alias("step"),
+        F.floor(draws.keyed_fraction(draw, F.lit("row"), F.lit(seed)) * n_rows).alias("idx"),
+        F.floor(draws.keyed_fraction(draw, F.lit("neighbour"), F.lit(seed)) * k).cast("int").alias("rank"),
+        draws.keyed_fraction(draw, F.lit("step"), F.lit(seed)).alias("step"),
     )
     found = nearest(points, picks.select("idx").distinct(), k).select("idx", "rank", "neighbour")
     base = points.withColumnRenamed("v", "a")
@@ -184,7 +184,8 @@ def balance(rows: DataFrame, weights: Row, ratio: float, seed: int) -> tuple[Dat
     if wanted <= 0 or n_min <= NEIGHBOURS:
         return rows, weights
     made = synthesise(rows.filter(F.col("target") == minority), n_min, wanted, seed).select(
-        F.lit("synthetic").alias("series_id"),
+        # Series and date stay unique for any number of rows.
+        F.format_string("synthetic-%d", F.floor(F.col("id") / 1_000_000)).alias("series_id"),
         F.date_add(F.lit("1970-01-01").cast("date"), F.pmod("id", F.lit(1_000_000)).cast("int")).alias("date"),
         "features",
         F.lit(minority).cast("int").alias("target"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -49,7 +50,8 @@ def combine_sources(
 ) -> DataFrame:
     """Read the four series, check them, and bring them onto the price dates.
 
-    Price and exchange rate look back from their own latest date, the rate from ``as_of``.
+    Price and exchange rate look back from their own latest date, the rate from ``as_of``. The result
+    is written once and checked as written, so the sources are not read again for it.
     """
     as_of = as_of or dt.date.today()
     keys = [sources.series_column] if sources.series_column else []
@@ -62,14 +64,14 @@ def combine_sources(
     price = align.lookback(price, LOOKBACK_YEARS).select(series.alias("series_id"), "date", "price")
     fx = align.lookback(fx, LOOKBACK_YEARS)
     rate = align.lookback(rate, LOOKBACK_YEARS, as_of=as_of).filter(F.col("date") <= F.lit(as_of))
-    for side in (fx, rate):
-        align.check_unique(side, ("date",))
-    align.check_unique(price)
 
     daily_trend = align.upsample_daily(trend, ["trend_a", "trend_b"])
     combined = align.combine_daily(price, rate, fx, daily_trend, backward=backward)
-    combined = combined.select("series_id", "date", "price", "rate", "fx", "trend_a", "trend_b")
-    return align.check_has_values(combined, ["price", "rate", "fx", "trend_a", "trend_b"])
+    values = ["price", "rate", "fx", "trend_a", "trend_b"]
+    combined = materialise(combined.select("series_id", "date", *values), "combined")
+    # A duplicate on any side has multiplied rows of the result.
+    align.check_unique(combined)
+    return align.check_has_values(combined, values)
 
 
 def engineer(combined: DataFrame) -> DataFrame:
@@ -123,18 +125,30 @@ def train(
     smote: bool = False,
     members: Sequence[str] = ensemble.MEMBERS,
     stamp: dt.datetime | None = None,
+    max_fit_rows: int = ensemble.MAX_FIT_ROWS,
 ) -> Trained:
-    """Walk-forward training on an engineered frame (see :func:`engineer`)."""
+    """Walk-forward training on an engineered frame (see :func:`engineer`).
+
+    With ``smote`` at most about ``max_fit_rows`` labelled rows of a fold are used for its fit.
+    """
     rows = labels.binary_target(engineered)
     columns = features.model_columns(rows, feature_set)
     data = ensemble.prepare(rows, columns, years)
-    result = ensemble.walk_forward(data, members, smote)
+    result = ensemble.walk_forward(data, members, smote, max_fit_rows=max_fit_rows)
     summary, details = summarise_training(
         result.predictions, engineered, len(columns), years, stamp or dt.datetime.now()
     )
     return Trained(result.predictions, summary, details, result.model, columns)
 
 
+def train_last(engineered: DataFrame, years: folds.Years = folds.Years(), feature_set: str = "all") -> PipelineModel:
+    """Only the model that walk-forward training keeps: the one of the last fold."""
+    rows = labels.binary_target(engineered)
+    data = ensemble.prepare(rows, features.model_columns(rows, feature_set), years)
+    ensemble.use_checkpoints(engineered.sparkSession)
+    return ensemble.fit_fold(data, data.folds[-1])
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
@@ -164,6 +178,8 @@ def forecast(
     Only the recent rows of a series matter. They are written once, since both the return
     statistics and the scenario features start from them.
     """
+    if len(model.stages) < 2 + len(ensemble.MEMBERS):
+        raise ValueError("a forecast needs a model with all members")
     history = materialise(align.recent_rows(engineered, scenarios.HISTORY_ROWS), "history")
     simulated = scenarios.paths(scenarios.return_stats(history), seed, days, simulations)
     rows = scenarios.scenario_rows(history, simulated, model_inputs(model))
@@ -200,7 +216,10 @@ def run_pipeline(
     Returns the engineered frame and the forecast. The two frames everything else is derived
     from are written once and read back, so no later step repeats the source scans.
     """
-    combined = materialise(combine_sources(spark, sources, as_of), "combined")
+    as_of = as_of or dt.date.today()
+    combined = combine_sources(spark, sources, as_of)
+    # The last test year is the current one.
+    years = dataclasses.replace(years, test_to=min(years.test_to, as_of.year))
     engineered = materialise(engineer(combined), "engineered")
     trained = train(engineered, years, feature_set, smote)
     predicted = forecast(trained.model, engineered, seed)

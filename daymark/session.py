@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,7 +57,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/daymark/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def materialise(
+    df: DataFrame, name: str, partition_by: str | None = None, sort_by: Sequence[str] = ()
+) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts lineage so that iterative work (one fit per fold) neither recomputes the scans nor
@@ -67,7 +70,10 @@ def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     if partition_by:
         # Rebalancing brings a year's rows together and still splits a year that is too large
         # for one task, so neither tiny files per task nor one giant task per year.
-        df.hint("rebalance", partition_by).write.partitionBy(partition_by).parquet(path)
+        dealt = df.hint("rebalance", partition_by)
+        if sort_by:
+            dealt = dealt.sortWithinPartitions(*sort_by)
+        dealt.write.partitionBy(partition_by).parquet(path)
     else:
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,9 +8,11 @@ has a declared schema. Downloading files is not Spark work and stays outside.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from daymark.functions import scalars as S
 
@@ -18,10 +20,14 @@ from daymark.functions import scalars as S
 OBSERVATIONS_SCHEMA = "observations array<struct<date: string, value: string>>"
 TIMELINE_SCHEMA = (
     "interest_over_time struct<timeline_data: array<struct<"
-    "timestamp: string, values: array<struct<extracted_value: int>>>>>"
+    "timestamp: string, values: array<struct<extracted_value: double>>>>>"
 )
 
 
+#: Texts that stand for a missing value.
+MISSING = ("", "NA", "N/A", "n/a", "NaN", "nan", "null", "NULL", "None", "<NA>", "#N/A", "-NaN", "-nan", "#NA", "1.#IND", "1.#QNAN", "-1.#IND", "-1.#QNAN", "#N/A N/A")
+
+
 def require_rows(df: DataFrame, what: str) -> DataFrame:
     """Raise when a source has no rows. Looks at one row only."""
     if df.isEmpty():
@@ -43,15 +49,29 @@ def read_csv_series(
     fold_case: bool = False,
     keys: Sequence[str] = (),
 ) -> DataFrame:
-    """A delimited series with a header: ``keys``, ``date`` and the value as ``name``."""
-    raw = spark.read.option("header", True).option("sep", sep).csv(path)
-    if fold_case:
-        raw = lower_names(raw)
-    return raw.select(
-        *keys,
-        S.parse_date(F.col(date_col)).alias("date"),
-        S.null_if_nan(F.col(value_col).cast("double")).alias(name),
-    )
+    """A delimited series with a header: ``keys``, ``date`` and the value as ``name``.
+
+    Columns are found by name in the header of each folder, so folders may order them differently. A
+    file whose header differs from its folder's is an error, not a misread column. ``MISSING`` tokens
+    are null; any other text that is no number is an error.
+    """
+    folders: dict[str, list[str]] = {}
+    for file in spark.read.text(path).inputFiles():
+        folders.setdefault(file.rpartition("/")[0], []).append(file)
+    parts = []
+    # One header is read for each folder; rows are not read here.
+    for same in folders.values():
+        header = spark.read.option("header", True).option("sep", sep).csv(min(same)).columns
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        raw = spark.read.schema(schema).option("header", True).option("sep", sep).option("enforceSchema", False).csv(same)
+        if fold_case:
+            raw = lower_names(raw)
+        value = F.trim(F.col(value_col))
+        number = F.when(~value.isin(*MISSING), value).cast("double")
+        parts.append(raw.select(*keys, S.parse_date(F.col(date_col)).alias("date"), S.null_if_nan(number).alias(name)))
+    if not parts:
+        raise ValueError(f"no file at {path}")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_price_csv(spark: SparkSession, path, name: str = "price", keys: Sequence[str] = ()) -> DataFrame:
@@ -69,10 +89,15 @@ def read_observations_json(
 ) -> DataFrame:
     """``observations[]`` documents; a value that is not a number becomes null.
 
+    A document that is cut off or has no ``observations`` is an error.
+
     ``multi_line=False`` reads one document per line, which Spark can split between tasks.
     """
-    documents = spark.read.schema(OBSERVATIONS_SCHEMA).json(path, multiLine=multi_line)
-    return documents.select(F.inline("observations")).select(
+    documents = spark.read.schema(OBSERVATIONS_SCHEMA).json(path, multiLine=multi_line, mode="FAILFAST")
+    observations = F.when(F.col("observations").isNotNull(), F.col("observations")).otherwise(
+        F.raise_error(F.lit("a document has no observations"))
+    )
+    return documents.select(F.inline(observations)).select(
         S.parse_date(F.col("date")).alias("date"), S.parse_number(F.col("value")).alias(name)
     )
 
@@ -82,9 +107,10 @@ def read_timeline_json(
 ) -> DataFrame:
     """Nested weekly timeline; entry ``i`` of ``values`` is the series ``names[i]``.
 
-    A document without the timeline gives no rows. ``date`` keeps the time of day.
+    A document without the timeline gives no rows; one that is cut off is an error. ``date`` keeps the
+    time of day, scores their fraction.
     """
-    documents = spark.read.schema(TIMELINE_SCHEMA).json(path, multiLine=multi_line)
+    documents = spark.read.schema(TIMELINE_SCHEMA).json(path, multiLine=multi_line, mode="FAILFAST")
     # explode() of a null array gives no rows, which is what an absent path means.
     points = documents.select(F.explode("interest_over_time.timeline_data").alias("point"))
     return points.select(

@@ -3,6 +3,7 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from daymark.operators import align
 from daymark.operators import labels
@@ -104,3 +105,19 @@ def test_labels(spark):
     assert values_of(labels.binary_target(labelled), "target") == [1, 0]
     counts = labels.target_counts(labelled).first()
     assert (counts.n_no_change, counts.n_decrease, counts.n_increase, counts.n_classes) == (2, 1, 1, 3)
+
+
+def test_own_latest_date_is_a_plain_value_for_the_scan(spark, tmp_path):
+    """No function around the subquery, which would keep it from pruning row groups."""
+    spark.createDataFrame([(D(2024, 1, 1),), (D(2019, 1, 1),)], "date date").write.parquet(str(tmp_path / "d"))
+    kept = align.lookback(spark.read.parquet(str(tmp_path / "d")), 3)
+    assert [r.date for r in kept.collect()] == [D(2024, 1, 1)]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(date,ScalarSubquery#" in plan
+
+
+def test_a_series_without_values_is_named(spark):
+    rows = [("a", 1.0), ("a", None), ("b", None)]
+    frame = spark.createDataFrame(rows, "series_id string, rate double")
+    with pytest.raises(ValueError, match="rate of series b"):
+        align.check_has_values(frame, ["rate"])

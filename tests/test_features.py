@@ -3,6 +3,7 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from daymark.operators import blocked, features, folds, labels
 
@@ -116,8 +117,7 @@ def as_rows(df):
 
 
 @pytest.mark.parametrize("block_rows", [22, 64, 4096])
-@pytest.mark.parametrize("fine", ["minute", "millisecond"])
-def test_blocked_windows_equal_plain_windows(spark, block_rows, fine):
+def test_blocked_windows_equal_plain_windows(spark, block_rows):
     source = events(spark).fillna(1.5)
 
     def apply(df, w):
@@ -127,7 +127,7 @@ def test_blocked_windows_equal_plain_windows(spark, block_rows, fine):
 
     plain = apply(source, Window.partitionBy("series_id").orderBy("ts", "event_id"))
     cut = blocked.blocked_window(
-        source, ["series_id"], "ts", apply, features.HALO, ["event_id"], block_rows=block_rows, fine=fine
+        source, ["series_id"], "ts", apply, features.HALO, ["event_id"], block_rows=block_rows
     )
     assert as_rows(cut.select(*plain.columns)) == as_rows(plain)
 
@@ -137,20 +137,38 @@ def test_blocks_must_hold_the_halo(spark):
         blocked.blocked_window(events(spark, 10), ["series_id"], "ts", lambda d, w: d, 22, block_rows=21)
 
 
-def test_nesting_follows_the_fullest_minute(spark, monkeypatch):
-    source = events(spark)
-    plain = blocked.global_positions(source, ["series_id"], "ts", ["event_id"], "minute")
-    assert len(blocked._Buckets(source, ["series_id"], "ts", [], None).levels) == 2
-    monkeypatch.setattr(blocked, "BUCKET_ROWS", 3)
-    assert len(blocked._Buckets(source, ["series_id"], "ts", [], None).levels) == 3
-    finer = blocked.global_positions(source, ["series_id"], "ts", ["event_id"])
-    assert as_rows(finer) == as_rows(plain)
+def test_one_crowded_instant_is_split(spark):
+    """All rows of a series at one time: ties still spread it over partitions."""
+    rows = [("hot", dt.datetime(2024, 1, 1), i, float(i)) for i in range(4000)]
+    source = spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, event_id bigint, price double")
+    # Adaptive execution would put so few rows back together.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pieces = blocked._Pieces(source, ["series_id"], "ts", ["event_id"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert pieces.reduced.count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = blocked.global_positions(source, ["series_id"], "ts", ["event_id"])
+    assert all(r.position == r.event_id for r in placed.collect())
+    shifted = blocked.blocked_fill(
+        source.withColumn("price", F.when(F.col("event_id") == 7, F.col("price"))), ["series_id"], "ts", ["price"], ["event_id"]
+    )
+    assert {r.price for r in shifted.collect()} == {7.0}
+
+
+@pytest.mark.parametrize("row", [(None, dt.datetime(2024, 1, 1), 9, 1.0), ("hot", None, 9, 1.0)])
+def test_rows_without_a_place_are_an_error(spark, row):
+    source = events(spark, 20).union(spark.createDataFrame([row], events(spark, 1).schema))
+    with pytest.raises(ValueError, match="no place"):
+        blocked.global_positions(source, ["series_id"], "ts", ["event_id"])
+    with pytest.raises(ValueError, match="no place"):
+        blocked.blocked_fill(source, ["series_id"], "ts", ["price"], ["event_id"])
 
 
-@pytest.mark.parametrize("backward, fine", [(True, "minute"), (False, "minute"), (True, "millisecond")])
-def test_blocked_fill_equals_pandas(spark, backward, fine):
+@pytest.mark.parametrize("backward", [True, False])
+def test_blocked_fill_equals_pandas(spark, backward):
     source = events(spark)
-    got = blocked.blocked_fill(source, ["series_id"], "ts", ["price"], ["event_id"], backward=backward, fine=fine)
+    got = blocked.blocked_fill(source, ["series_id"], "ts", ["price"], ["event_id"], backward=backward)
     got = got.toPandas().sort_values("event_id")["price"].tolist()
     pdf = source.toPandas().sort_values(["ts", "event_id"])
     filled = pdf.groupby("series_id")["price"].ffill()

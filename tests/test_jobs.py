@@ -186,3 +186,52 @@ def test_tree_settings():
     assert (gbm.getFeatureSubsetStrategy(), rf.getFeatureSubsetStrategy()) == ("5", "5")
     assert (gbm.getMaxIter(), gbm.getStepSize(), gbm.getMaxDepth(), gbm.getSubsamplingRate()) == (100, 0.02, 3, 0.6)
     assert (rf.getNumTrees(), rf.getMaxDepth(), rf.getMinInstancesPerNode(), rf.getWeightCol()) == (80, 4, 15, "weight")
+
+
+def test_fold_rows_are_read_without_a_shuffle_in_several_tasks(spark, outcome):
+    engineered = outcome[1]
+    rows = labels.binary_target(engineered)
+    data = ensemble.prepare(rows, features.model_columns(rows, "all"), YEARS)
+    frame, n, _ = ensemble.fold_rows(data, 2021, task_bytes=n_bytes(data, 2021) // 3)
+    assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
+    assert frame.rdd.getNumPartitions() > 1 and frame.count() == n
+    model = ensemble.fit_fold(data, 2021, task_bytes=n_bytes(data, 2021) // 3)
+    assert len(model.stages) == 5
+
+
+def n_bytes(data, fold):
+    return data.weights[fold].n_train * 8 * (len(data.columns) + 2)
+
+
+def test_a_fold_of_one_class_is_an_error(outcome):
+    rows = labels.binary_target(outcome[1]).filter("year > 2019 or target = 1")
+    with pytest.raises(ValueError, match="one class"):
+        ensemble.prepare(rows, features.model_columns(rows, "all"), YEARS)
+
+
+def test_oversampling_fits_on_a_bounded_share(outcome):
+    rows = labels.binary_target(outcome[1])
+    data = ensemble.prepare(rows, features.model_columns(rows, "all"), YEARS)
+    share, weights = ensemble.bounded(data.frame.filter("year < 2021"), data.weights[2021], 100)
+    assert share.count() == weights.n_train == weights.n_up + weights.n_down
+    assert 50 < weights.n_train < 160
+
+
+def test_a_forecast_needs_all_members(outcome):
+    rows = labels.binary_target(outcome[1])
+    data = ensemble.prepare(rows, features.model_columns(rows, "all"), YEARS)
+    with pytest.raises(ValueError, match="all members"):
+        jobs.forecast(ensemble.fit_fold(data, 2020, ["lr"]), outcome[1], seed=1)
+
+
+def test_the_last_test_year_is_the_current_one(spark, sources, tmp_path, monkeypatch):
+    seen = {}
+
+    def stop(engineered, years, *rest):
+        seen["years"] = years
+        raise InterruptedError
+
+    monkeypatch.setattr(jobs, "train", stop)
+    with pytest.raises(InterruptedError):
+        jobs.run_pipeline(spark, sources, str(tmp_path), seed=1, as_of=AS_OF)
+    assert seen["years"].test_to == AS_OF.year

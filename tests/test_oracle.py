@@ -11,6 +11,8 @@ from check_oracle import compare, connect  # noqa: E402
 
 from __spark_entry__ import SMOKE_FOLDER, entry, oracle_sql, queries  # noqa: E402
 from daymark.operators import features  # noqa: E402
+from daymark.plans.oracle import ORACLE  # noqa: E402
+from daymark.plans.queries import REGISTRY  # noqa: E402
 
 pytestmark = pytest.mark.skipif(not Path(SMOKE_FOLDER).exists(), reason="no test tables")
 TRAINED = {"wf_logistic", "wf_gbt", "wf_random_forest", "oof_predictions", "model_summary", "forecast_7day", "smote_oversample"}
@@ -22,11 +24,12 @@ def con():
 
 
 def test_only_model_fits_lack_sql():
-    assert set(queries()) - set(oracle_sql()) == TRAINED
-    assert set(oracle_sql()) <= set(queries())
+    assert set(REGISTRY) - set(ORACLE) == TRAINED
+    assert set(ORACLE) <= set(REGISTRY)
+    assert set(REGISTRY) <= set(queries()) and set(ORACLE) <= set(oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_sql(spark, con, name):
     assert compare(con, oracle_sql()[name], queries()[name](spark, SMOKE_FOLDER)) == ""
 

@@ -51,7 +51,7 @@ def test_balance_reaches_the_ratio(spark, cloud):
     counts = {r["target"]: r["count"] for r in balanced.groupBy("target").count().collect()}
     assert counts == {0: 120, 1: 108}
     assert (new.n_up, new.n_down, new.n_train) == (108, 120, 228)
-    made = balanced.filter("series_id = 'synthetic'").select(vector_to_array("features").alias("v")).toPandas()
+    made = balanced.filter("series_id like 'synthetic-%'").select(vector_to_array("features").alias("v")).toPandas()
     made = np.stack(made["v"].to_numpy())
     minority = cloud[:60]
     assert (made.min(axis=0) >= minority.min(axis=0) - 1e-12).all()

@@ -78,3 +78,46 @@ def test_parquet_sink_partitions_by_year(spark, tmp_path):
     path = sinks.write_parquet(frame, str(tmp_path), "t")
     plan = spark.read.parquet(path).filter("year = 2021")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(year" in plan
+
+
+def test_csv_columns_by_name_in_each_folder(spark, tmp_path):
+    for folder, text in (("a", "Date,Open,Close\n2024-01-02,1,2\n"), ("b", "Close,Date\n3,2024-01-03\n")):
+        (tmp_path / folder).mkdir()
+        write(tmp_path / folder, "p.csv", text)
+    frame = files.read_price_csv(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
+    assert {r.date: r.price for r in frame.collect()} == {D(2024, 1, 2): 2.0, D(2024, 1, 3): 3.0}
+
+
+def test_differing_header_inside_a_folder_is_an_error(spark, tmp_path):
+    write(tmp_path, "a.csv", "Date,Open,Close\n2024-01-02,1,2\n")
+    write(tmp_path, "b.csv", "Date,Close,Open\n2024-01-03,3,4\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        files.read_price_csv(spark, str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize("token", ["N/A", "NA", "null", "", " NaN "])
+def test_missing_tokens_are_null(spark, tmp_path, token):
+    path = write(tmp_path, "p.csv", f"Date,Close\n2024-01-02,{token}\n2024-01-03,1\n")
+    assert {r.price for r in files.read_price_csv(spark, path).collect()} == {None, 1.0}
+
+
+def test_other_text_is_an_error(spark, tmp_path):
+    path = write(tmp_path, "p.csv", "Date,Close\n2024-01-02,abc\n")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        files.read_price_csv(spark, path).collect()
+
+
+@pytest.mark.parametrize("text", ['{"observations": [{"date": "2024-01-01", "val', '{"error": "no key"}'])
+def test_bad_observation_documents_stop_the_run(spark, tmp_path, text):
+    path = write(tmp_path, "o.json", text)
+    with pytest.raises(Exception, match="(?i)malformed|observations"):
+        files.read_observations_json(spark, path).collect()
+
+
+def test_cut_off_timeline_stops_the_run_and_fractions_stay(spark, tmp_path):
+    bad = write(tmp_path, "t.json", '{"interest_over_time": {"timeline_data": [')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_timeline_json(spark, bad).collect()
+    point = {"timestamp": "1704067200", "values": [{"extracted_value": 7.5}, {"extracted_value": 9}]}
+    good = write(tmp_path, "g.json", json.dumps({"interest_over_time": {"timeline_data": [point]}}))
+    assert files.read_timeline_json(spark, good).first().trend_a == 7.5
