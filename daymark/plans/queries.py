@@ -556,3 +556,58 @@ def model_summary(spark, folder):
 def forecast_7day(spark, folder):
     frame = training_frame(spark, folder)
     return jobs.forecast(jobs.train_last(frame, YEARS), frame, SEED)
+
+
+@query
+def oof_facts(spark, folder):
+    """Out-of-fold rows with what must hold for any fitted model, row by row."""
+    found = jobs.train(training_frame(spark, folder), YEARS).predictions
+    members = [F.col(f"p_{m}") for m in ensemble.MEMBERS]
+    inside = F.forall(F.array(*members, F.col("probability_up")), lambda p: p.between(0, 1))
+    voted = F.abs(ensemble.soft_vote(*members) - F.col("probability_up")) < 1e-12
+    return found.select(
+        SERIES,
+        "date",
+        "year",
+        "actual",
+        S.direction_label(F.col("actual")).alias("actual_label"),
+        inside.alias("probabilities_fit"),
+        voted.alias("vote_is_weighted_mean"),
+        (F.col("predicted") == (F.col("probability_up") > 0.5).cast("int")).alias("class_follows"),
+    )
+
+
+@query
+def model_summary_facts(spark, folder):
+    """The parts of the summary that do not depend on a fit, and whether the others agree."""
+    trained = jobs.train(training_frame(spark, folder), YEARS)
+    cells = metrics.metrics_from_cells(metrics.confusion_cells(trained.predictions))
+    names = ["accuracy", "f1_score", "up_precision", "down_precision"]
+    again = cells.select(*[F.col(c).alias(f"_{c}") for c in names])
+    same = F.lit(True)
+    for c in names:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    # Two frames of one row each.
+    joined = trained.summary.withColumn("_one", F.lit(1)).join(again.withColumn("_one", F.lit(1)), "_one")
+    return joined.select(
+        "model", "training_period", "test_samples", "features_used",
+        same.alias("agrees"), F.col("roc_auc").between(0, 1).alias("auc_fits"),
+    )
+
+
+@query
+def forecast_facts(spark, folder):
+    """Dates, prices and the bounds of the forecast; only its probabilities depend on the model."""
+    frame = training_frame(spark, folder)
+    found = jobs.forecast(jobs.train_last(frame, YEARS), frame, SEED)
+    up, down = F.col("prob_up"), F.col("prob_down")
+    shown = F.when(F.col("predicted_movement") == "UP", up).otherwise(down)
+    return rounded(
+        found.select(
+            SERIES, "date", "day", "estimated_price", "price_change",
+            (F.abs(up + down - 100) < 1e-6).alias("sums_to_100"),
+            (F.abs(F.col("confidence") - shown) < 1e-9).alias("confidence_is_shown"),
+        ),
+        estimated_price=1,
+        price_change=1,
+    )
