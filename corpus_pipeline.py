@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daymark.llm import bpe, exact, language, mixing, near
+from daymark.llm.common import spot_bits, spot_of, told_apart
 from daymark.session import materialise
 
 #: A document whose best language scores lower is rejected, like one without a letter.
@@ -31,8 +32,10 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies (5-word shingles, 0.8) the smallest id stays."""
     classes = near.near_duplicates(docs)
-    dropped = classes.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    dropped = materialise(classes.filter("doc_id <> component_id").select("doc_id").distinct(), "near-dropped")
+    # Only documents that may be among the dropped ones are joined with them.
+    clear, unsure = told_apart(docs, spot_of(F.col("doc_id")), spot_bits(dropped, spot_of(F.col("doc_id"))))
+    return clear.unionByName(unsure.join(dropped, "doc_id", "left_anti").select(docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

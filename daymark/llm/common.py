@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -154,6 +155,45 @@ def tally(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[first].astype(np.int64), np.diff(first, append=len(ordered))
 
 
+#: Bits of a filter of hashes; its size is fixed, whatever it holds.
+FILTER_BITS = 1 << 24
+
+
+def spot_of(*columns: Column) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
+
+
+def spot_bits(rows: DataFrame, spot: Column) -> np.ndarray:
+    """Bits at the spots of all rows: ``FILTER_BITS`` / 32 words at most reach the driver."""
+    words = (
+        rows.select(spot.alias("s")).select(F.floor(F.col("s") / 32).alias("w"), (F.col("s") % 32).cast("int").alias("s"))
+        .groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, s)")).alias("bits"))
+    )
+    table = words.toArrow()
+    bits = np.zeros(FILTER_BITS // 32, np.uint32)
+    bits[table.column("w").to_numpy()] = table.column("bits").to_numpy()
+    return bits
+
+
+def holds(bits: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    return (bits[spots >> 5] >> (spots & 31).astype(np.uint32)) & 1 == 1
+
+
+def told_apart(docs: DataFrame, spot: Column, bits: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` that the filter does not hold, and rows that it may hold.
+
+    Only the second need a join, so the texts of the others are not shuffled. A full filter sends all
+    rows there, which costs time and changes no result.
+    """
+
+    @F.pandas_udf("boolean")
+    def held(spots: pd.Series) -> pd.Series:
+        return pd.Series(holds(bits, spots.to_numpy()))
+
+    marked = docs.withColumn("__held", held(spot))
+    return marked.filter(~F.col("__held")).drop("__held"), marked.filter("__held").drop("__held")
+
+
 def map_rows(df: DataFrame, function: Callable, schema: str | T.StructType) -> DataFrame:
     """``function`` turns an iterator of small Arrow batches into an iterator of column lists."""
     out = arrow_schema(schema)

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daymark.llm.common import map_rows
+from daymark.llm.common import map_rows, spot_bits, spot_of, told_apart
 from daymark.session import materialise
 
 #: Bytes of content that one bucket, or one task's first table, holds at most; bytes of one batch.
@@ -222,10 +222,15 @@ def find_copies(
 
 
 def drop_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns; repeated rows stay once."""
-    kept = find_copies(docs, id_column, text).filter("kept").select(
-        F.col(id_column).alias("__id"), F.col("text_sha256").alias("__sha")
-    )
+    """The rows that stay, with all their columns; repeated rows stay once.
+
+    Only rows that may have been dropped are joined with the result.
+    """
+    found = materialise(find_copies(docs, id_column, text), "copies")
+    kept = found.filter("kept").select(F.col(id_column).alias("__id"), F.col("text_sha256").alias("__sha"))
+    bits = spot_bits(found.filter("not kept"), spot_of(F.col(id_column), F.col("text_sha256")))
     hashed = docs.withColumn("__sha256", F.sha2(normal(F.col(text)), 256))
-    same = hashed[id_column].eqNullSafe(kept["__id"]) & (hashed["__sha256"] == kept["__sha"])
-    return hashed.join(kept, same, "left_semi").dropDuplicates([id_column, "__sha256"]).drop("__sha256")
+    clear, unsure = told_apart(hashed, spot_of(F.col(id_column).cast("long"), F.col("__sha256")), bits)
+    same = unsure[id_column].eqNullSafe(kept["__id"]) & (unsure["__sha256"] == kept["__sha"])
+    staying = unsure.join(kept, same, "left_semi").dropDuplicates([id_column, "__sha256"])
+    return clear.unionByName(staying).drop("__sha256")

@@ -29,17 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from daymark.llm.common import map_rows, mix64, runs, word_hashes
+from daymark.llm.common import holds, map_rows, mix64, runs, spot_bits, spot_of, word_hashes
 from daymark.session import materialise
 
 #: Ratio of a band's ends; spare parts in a band, as a share of D.
 BAND, SPARE = Fraction(3, 2), Fraction(1, 50)
 #: Bits of a short sketch: twice the set size as a power of two, between these two.
 FEWEST_BITS, MOST_BITS = 512, 4096
-#: Members of one block of a group.
-BLOCK = 1024
-#: Bits of the filter that keeps texts without a partner out of the comparison; its size is fixed.
-FILTER_BITS = 1 << 24
+#: Members of one block of a group; parts of the copies of one set.
+BLOCK, SALTS = 1024, 32
+#: Groups up to this size give their pairs at once, without sketches.
+SMALL = 32
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -177,16 +177,16 @@ def _digest(hashes: np.ndarray) -> bytes:
     return blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def close_pairs(rows: dict[str, np.ndarray], sketches: list[bytes], percent: int, best: bool) -> list[tuple]:
+def close_pairs(rows: dict[str, np.ndarray], sketches: list[bytes] | None, percent: int, best: bool) -> list[tuple]:
     """Pairs of one block and different classes whose sizes and sketches allow a link.
 
     Rows are sorted by block; each is compared with the ones after it, all blocks side by side. A
     block holds one or two parts of a group; with two, pairs lie across them. ``best`` returns only
-    each member's closest partner.
+    each member's closest partner. Without ``sketches`` the sizes decide alone.
     """
     block, ids, classes, sizes, parts, across = (rows[c] for c in ("block", "id", "class", "size", "part", "across"))
     n, found = len(ids), []
-    words = folded(sketches, FEWEST_BITS // 8)
+    words = folded(sketches, FEWEST_BITS // 8) if sketches is not None else None
     closest = np.full(n, 1 << 30)
     partner = np.full(n, -1)
     i = np.arange(n)
@@ -200,6 +200,9 @@ def close_pairs(rows: dict[str, np.ndarray], sketches: list[bytes], percent: int
         x, y = sizes[a], sizes[b]
         fits = 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
         a, b = a[fits], b[fits]
+        if words is None:
+            found += zip(ids[a].tolist(), ids[b].tolist())
+            continue
         most = (100 - percent) * (sizes[a] + sizes[b]) // (100 + percent)
         differing = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64)
         fits = differing <= most
@@ -234,7 +237,8 @@ def compare_blocks(percent: int, best: bool):
         for c in ("key", "x", "y"):
             new[1:] |= rows[c][1:] != rows[c][:-1]
         rows["block"], rows["across"] = np.cumsum(new), rows["x"] != rows["y"]
-        out = close_pairs(rows, table.column("sketch").to_pylist(), percent, best)
+        sketches = table.column("sketch").to_pylist() if "sketch" in table.column_names else None
+        out = close_pairs(rows, sketches, percent, best and sketches is not None)
         return pa.RecordBatch.from_arrays(
             [pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"]
         )
@@ -272,10 +276,15 @@ class Join:
         self.classes: DataFrame | None = None
         texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("body"))
         table = materialise(sketched(texts, width), "sketched")
-        # Equal sets are one class at once; only the smallest id of each goes on.
-        first = table.groupBy("digest").agg(F.min("id").alias("first"))
-        rep = F.when(F.col("size") > 0, F.col("first")).otherwise(F.col("id")).alias("rep")
-        self.members = materialise(table.join(first, "digest").select("id", "size", "sketch", rep), "members")
+        # Equal sets are one class at once; only the smallest id of each goes on. The copies of one
+        # set meet their first by a salt, as they may be a large part of all rows.
+        first = table.filter("size > 0").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+        first = first.filter("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = table.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        rep = F.coalesce("first", "id").alias("rep")
+        self.members = materialise(
+            salted.join(first, ["digest", "salt"], "left").select("id", "size", "sketch", rep), "members"
+        )
         keyed = groups_of(shown_keys(texts, width, percent))
         reps = self.members.select("id", "rep").distinct()
         keyed = keyed.select("key", "id").join(reps, "id").select("key", F.col("rep").alias("id")).distinct()
@@ -288,20 +297,13 @@ class Join:
         The filter has ``FILTER_BITS`` bits at any size of input: with very many ids it lets more
         texts pass, which costs time and changes no result.
         """
-        spot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-        words = (
-            self.groups.select("id").distinct().select(F.floor(spot / 32).alias("w"), (spot % 32).cast("int").alias("s"))
-            .groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, s)")).alias("bits"))
-        )
-        table = words.toArrow()
-        bits = np.zeros(FILTER_BITS // 32, np.uint32)
-        bits[table.column("w").to_numpy()] = table.column("bits").to_numpy()
+        spot = spot_of(F.col("id"))
+        bits = spot_bits(self.groups.select("id").distinct(), spot)
 
         def run(batches):
             for batch in batches:
                 at = batch.column(2).to_numpy()
-                passing = pa.array((bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)
-                part = batch.filter(passing)
+                part = batch.filter(pa.array(holds(bits, at)))
                 yield part.columns[:2]
 
         return map_rows(texts.withColumn("spot", spot), run, "id long, body string")
@@ -333,29 +335,62 @@ class Join:
             self.classes = components(self.links)
 
     def mixed(self) -> DataFrame:
-        """Groups that still hold several classes, with the sketches of their members."""
+        """Members of groups that still hold several classes, with the size of the group."""
         classed = self.class_of(self.groups.select("key", "id"), "id", "class")
         several = classed.groupBy("key").agg(
             F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")
         ).filter("lo <> hi").select("key", "n")
-        sketches = self.members.filter(F.col("rep") == F.col("id")).select("id", "size", "sketch").dropDuplicates(["id"])
-        return materialise(classed.join(several, "key").join(sketches, "id"), "mixed")
+        firsts = self.members.filter(F.col("rep") == F.col("id")).select("id", "size").dropDuplicates(["id"])
+        return materialise(classed.join(several, "key").join(firsts, "id"), "mixed")
 
     def compare(self, mixed: DataFrame, best: bool) -> None:
-        """Verify pairs of different classes inside the mixed groups, block by block."""
+        """Verify pairs of different classes inside the mixed groups, block by block.
+
+        Small groups share most of their pairs with other groups, so their pairs are made distinct
+        before sketches are looked up; larger ones carry sketches, as most of their pairs fall.
+        """
         percent = self.percent
-        small = mixed.filter(F.col("n") <= BLOCK).select("key", "id", "class", "size", "sketch", F.lit(0).alias("part"))
-        small = small.withColumns({"x": F.lit(0), "y": F.lit(0)})
-        # Larger groups: every pair of parts is one block.
+        order = ["key", "x", "y"]
+        sketches = self.members.filter(F.col("rep") == F.col("id")).select("id", "sketch").dropDuplicates(["id"])
+        rest = mixed.filter(F.col("n") > SMALL).join(sketches, "id")
+        middle = rest.filter(F.col("n") <= BLOCK).select("key", "id", "class", "size", "sketch", F.lit(0).alias("part"))
+        middle = middle.withColumns({"x": F.lit(0), "y": F.lit(0)})
+        # Groups above one block: every pair of parts is one block.
         parts = F.ceil(F.col("n") * 2 / BLOCK).cast("int")
         part = F.pmod(F.xxhash64("id"), parts).cast("int")
-        large = mixed.filter(F.col("n") > BLOCK).select(
+        large = rest.filter(F.col("n") > BLOCK).select(
             "key", "id", "class", "size", "sketch", part.alias("part"),
             F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"),
         )
         large = large.withColumns({"x": F.least("part", "other"), "y": F.greatest("part", "other")}).drop("other")
-        blocks = small.unionByName(large).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-        self.verify(blocks.mapInArrow(compare_blocks(percent, best), "a long, b long"))
+        blocks = middle.unionByName(large).repartition(*order).sortWithinPartitions(*order)
+        pairs = blocks.mapInArrow(compare_blocks(percent, best), "a long, b long")
+        if not best:
+            small = mixed.filter(F.col("n") <= SMALL).select("key", "id", "class", "size", F.lit(0).alias("part"))
+            small = small.withColumns({"x": F.lit(0), "y": F.lit(0)}).repartition(*order).sortWithinPartitions(*order)
+            pairs = pairs.union(self.unrefuted(small.mapInArrow(compare_blocks(percent, False), "a long, b long"), sketches))
+        self.verify(pairs)
+
+    def unrefuted(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+        """Distinct pairs whose sketches differ in few enough bits."""
+        bands = Bands(self.percent)
+        sizes = self.members.select("id", "size").dropDuplicates(["id"]).join(sketches, "id")
+        sided = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        for side in "ab":
+            told = sizes.select(F.col("id").alias(side), F.col("size").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
+            sided = sided.join(told, side)
+
+        def run(batches):
+            for batch in batches:
+                a, b, na, nb, sa, sb = (batch.column(i).to_pylist() for i in range(6))
+                keep = []
+                for i in range(len(a)):
+                    words = folded([sa[i], sb[i]], min(len(sa[i]), len(sb[i])))
+                    if int(np.bitwise_count(words[0] ^ words[1]).sum()) <= bands.differing(na[i] + nb[i]):
+                        keep.append(i)
+                yield [[a[i] for i in keep], [b[i] for i in keep]]
+
+        return map_rows(sided.select("a", "b", "na", "nb", "sa", "sb"), run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
