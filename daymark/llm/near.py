@@ -334,6 +334,9 @@ class Join:
             self.links = links if self.links is None else self.links.union(links)
             self.classes = components(self.links)
 
+    def sketches(self) -> DataFrame:
+        return self.members.filter(F.col("rep") == F.col("id")).select("id", "sketch").dropDuplicates(["id"])
+
     def mixed(self) -> DataFrame:
         """Members of groups that still hold several classes, with the size of the group."""
         classed = self.class_of(self.groups.select("key", "id"), "id", "class")
@@ -351,7 +354,7 @@ class Join:
         """
         percent = self.percent
         order = ["key", "x", "y"]
-        sketches = self.members.filter(F.col("rep") == F.col("id")).select("id", "sketch").dropDuplicates(["id"])
+        sketches = self.sketches()
         rest = mixed.filter(F.col("n") > SMALL).join(sketches, "id")
         middle = rest.filter(F.col("n") <= BLOCK).select("key", "id", "class", "size", "sketch", F.lit(0).alias("part"))
         middle = middle.withColumns({"x": F.lit(0), "y": F.lit(0)})
@@ -455,7 +458,8 @@ def near_duplicates(
     join = Join(known, id_column, text, width, percent)
     # One partner each: most classes close here.
     stars = join.groups.filter("id <> pivot")
-    join.verify(stars.groupBy("id").agg(F.min("pivot").alias("b")).select(F.col("id").alias("a"), "b"))
+    nearest = stars.groupBy("id").agg(F.min("pivot").alias("b")).select(F.col("id").alias("a"), "b")
+    join.verify(join.unrefuted(nearest, join.sketches()))
     # Then the closest member of another class, and at last all that are left.
     for best in (True, False):
         join.compare(join.mixed(), best)
