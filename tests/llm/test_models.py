@@ -212,6 +212,39 @@ def test_boosted_candidates(spark):
     assert "<card>" in clean and "<phone>" in clean
 
 
+def test_candidates_without_a_base_pattern_are_added(spark):
+    """Thresholds as trained, in every kind; what only looks like personal data stays."""
+    rng = random.Random(3)
+
+    def number(n):
+        return "".join(rng.choice("0123456789") for _ in range(n))
+
+    def prose():
+        return " ".join(rng.choice(["now", "then", "the", "thing", "where"]) for _ in range(8))
+
+    rows = []
+    for i in range(400):
+        found = [f"{prose()[:3]}.{i}@mail{i % 9}.example.org", f"+1 ({number(3)}) 555-{number(4)}", with_luhn(rng)]
+        found.append(".".join(str(rng.randrange(256)) for _ in range(4)))
+        rng.shuffle(found)
+        rows.append((i, " ".join(f"{prose()} {x}" for x in found) + " " + prose()))
+    model = personal.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert set(model.thresholds) == set(personal.KINDS)
+    good = with_luhn(rng)
+    poor = good[:-1] + str((int(good[-1]) + 5) % 10)
+    dotted, wrong = (".".join(d[i : i + 4] for i in range(0, 16, 4)) for d in (good, poor))
+    wanted = [
+        ("email", "jane.doe (at) mail3.example (dot) org"), ("email", "JANE.DOE [AT] MAIL.EXAMPLE [DOT] ORG"),
+        ("email", "andr\xe9@mail4.example.org"), ("email", "jane@m\xfcller.example.org"), ("phone", "(212) 555-0143"),
+        ("phone", "1 (212) 555-0143"), ("phone", "212-555-0143"), ("card", dotted), ("ip", "10[.]20[.]30[.]40"),
+    ]
+    for kind, span in wanted:
+        found = personal.spans(f"then where {span} the thing", model)
+        assert [(s[0], s[1], s[2], s[3]) for s in found] == [(kind, 11, 11 + len(span), False)], span
+    for span in ("jane@host", "look (at) 3.50", "2019-04-17 12:30", wrong, poor, "2125550143", "10[.]20[.]300[.]40"):
+        assert not personal.spans(f"then where {span} the thing", model), span
+
+
 def test_personal_edges(edge, nothing):
     model = personal.train(edge)
     out = personal.find_personal(edge, model)
