@@ -38,8 +38,12 @@ LOOKALIKES = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e",
 }
 #: Costs of the channel in nats: a symbol read as a letter, a symbol kept, a stretch shortened, a
-#: separator dropped, a separator kept.
+#: separator dropped, a separator kept. Between spelled-out letters a gap wider than the others takes the
+#: costs of a separator the other way round, and a closing sign of ``PUNCTUATION`` is kept at SEPARATE.
 READ, KEPT, SHORTENED, DROPPED, SEPARATE = 0.7, 15.0, 1.0, 0.1, 3.0
+PUNCTUATION = "!|("
+#: A closing sign repeated more often than this is decoration.
+CLOSING = 2
 
 ALPHABET = 64
 WORD_BITS = 20
@@ -174,6 +178,15 @@ def lattice(span: str) -> list[list[tuple[int, str, float]]]:
     spelled = n >= 5 and all(
         (c.isalpha() or c in LOOKALIKES) if s else not c.isalnum() for c, s in zip(span, single)
     )
+    units = span.split()
+    blanks = len(units) >= 3 and all(len(u) == 1 and (u.isalpha() or u in LOOKALIKES) for u in units)
+    if blanks:
+        widths = [len(g) for g in re.findall(r"\s+", span)]
+        narrow = min(widths)
+    tail = n
+    while tail and not span[tail - 1].isalnum():
+        tail -= 1
+    gap = 0
     for i, c in enumerate(span):
         if c.isalpha():
             here = [(i + 1, c, 0.0)]
@@ -183,10 +196,19 @@ def lattice(span: str) -> list[list[tuple[int, str, float]]]:
                     stretch += 1
                 if stretch - i >= 3:
                     here += [(stretch, c, SHORTENED), (stretch, c * 2, SHORTENED)]
-        elif spelled and not single[i]:
+        elif blanks and c.isspace():
+            # The whole gap at its first blank; nothing arrives at the others.
+            here = []
+            if not span[i - 1].isspace():
+                width = widths[gap]
+                gap += 1
+                drop, keep = (DROPPED, SEPARATE) if width == narrow else (SEPARATE, DROPPED)
+                here = [(i + width, "", drop), (i + width, span[i : i + width], keep)]
+        elif not blanks and spelled and not single[i]:
             here = [(i + 1, "", DROPPED), (i + 1, c, SEPARATE)]
         elif c in LOOKALIKES:
-            here = [(i + 1, c, KEPT), *((i + 1, x, READ) for x in LOOKALIKES[c])]
+            kept = SEPARATE if i >= tail and c in PUNCTUATION else KEPT
+            here = [(i + 1, c, kept), *((i + 1, x, READ) for x in LOOKALIKES[c])]
         else:
             here = [(i + 1, c, 0.0)]
         edges.append(here)
@@ -196,8 +218,10 @@ def lattice(span: str) -> list[list[tuple[int, str, float]]]:
 def marked_spans(points: np.ndarray) -> list[tuple[int, int]]:
     """Spans of a lower-cased text that show a look-alike, a stretch or spelled-out letters.
 
-    A span is the core of a word, from its first to its last letter or look-alike, without closing
-    punctuation; single letters with blanks between them, three or more, are one span.
+    A span is the core of a word, from its first to its last letter or look-alike, with the closing
+    look-alikes but not with other closing punctuation; single letters with blanks between them, three
+    or more, are one span, whatever the width of the gaps. The first of them may follow punctuation and
+    the last may carry it.
     """
     letters, symbols = letter_table()[points], symbol_table()[points]
     blank = space_table()[points]
@@ -216,27 +240,38 @@ def marked_spans(points: np.ndarray) -> list[tuple[int, int]]:
         gap = ~named & ~blank
         marks[: n - 4] |= unit[:-4] & gap[1:-3] & unit[2:-2] & gap[3:-1] & unit[4:] & (points[1:-3] == points[3:-1])
     starts, ends = runs(~blank)
-    lone = (ends - starts == 1) & (letters | symbols)[starts]
-    first, last = runs(lone)
-    chains = [(int(starts[f]), int(ends[e - 1])) for f, e in zip(first, last) if e - f >= 3]
-    chains = [
-        (s, e) for s, e in chains if e - s == len(points[s:e:2]) * 2 - 1 and letters[s:e].any()
-    ]
-    total = np.concatenate(([0], np.cumsum(marks)))
-    lettered = np.concatenate(([0], np.cumsum(letters)))
-    hit = (total[ends] > total[starts]) & (lettered[ends] > lettered[starts])
-    spans = []
     core = named | symbols
+    unit = letters | symbols
+    total, lettered, names, signs = (np.concatenate(([0], np.cumsum(m))) for m in (marks, letters, named, symbols))
+    long = ends - starts > 1
+    second = np.minimum(starts + 1, n - 1)
+    lone = ~long & unit[starts]
+    carries = long & unit[starts] & (named[starts] | ~symbols[second]) & (names[ends] == names[second])
+    opened = long & letters[ends - 1] & (names[ends - 1] == names[starts])
+    chains, used = [], np.zeros(len(starts), np.bool_)
+    for f, e in zip(*(x.tolist() for x in runs(lone))):
+        before, behind = bool(f and opened[f - 1]), bool(e < len(starts) and carries[e])
+        s, t = (int(ends[f - 1]) - 1 if before else int(starts[f])), (int(starts[e]) + 1 if behind else int(ends[e - 1]))
+        if e - f + before + behind >= 3 and lettered[t] > lettered[s]:
+            chains.append((s, t))
+            used[f - before : e + behind] = True
+    hit = ~used & (lettered[ends] > lettered[starts]) & ((total[ends] > total[starts]) | (signs[ends] > signs[starts]))
+    spans = []
     for s, e in zip(starts[hit].tolist(), ends[hit].tolist()):
-        inside = np.flatnonzero(core[s:e])
+        first = s + int(core[s:e].argmax())
         tail = e
         while tail > s and not named[tail - 1]:
             tail -= 1
-        # One or two closing signs may be letters; more of them are decoration.
-        closing = np.flatnonzero(points[tail:e] != ord("$"))
-        signs = int(closing[0]) if len(closing) else e - tail
-        tail += signs if signs <= 2 else 0
-        spans.append((s + int(inside[0]), max(tail, s + int(inside[0]) + 1)))
+        # Few closing signs of one form may be letters; more of them are decoration.
+        while tail < e and symbols[tail]:
+            same = tail + 1
+            while same < e and points[same] == points[tail]:
+                same += 1
+            if same - tail > CLOSING:
+                break
+            tail = same
+        if total[e] > total[s] or signs[tail] > signs[first + 1]:
+            spans.append((first, max(tail, first + 1)))
     return sorted(spans + chains)
 
 

@@ -86,6 +86,20 @@ def test_toxicity_restores_and_scores(spark, insults):
     assert found[2]["predicted"] == 0
 
 
+def test_disguises_at_the_end_of_words_and_in_uneven_gaps_are_undone(spark, prose):
+    told = ["idiot", "scum", "ass", "piss"]
+    docs = [(i, " ".join([*prose(i, 40, "abcdefghijklmnoprstu"), *told, "you", "hello"])) for i in range(200)]
+    counts = toxicity.trigram_counts(spark.createDataFrame(docs, "doc_id long, text string"), "text")
+    decoder = toxicity.Decoder(toxicity.character_costs(counts))
+    for disguised, plain in (
+        ("a$$", "ass"), ("you a$$!", "you ass!"), ("pis$", "piss"), ("idio+", "idiot"), ("(idio+.", "idiot"),
+        ("i d i o t  s c u m", "idiot  scum"), ("you i d i o t.", "you idiot."), ("s c u m!", "scum!"),
+        ("s c u m", "scum"), ("i  d  i  o  t", "idiot"), ("i d  i o t", "idiot"), ("'i d i o t' you", "'idiot' you"),
+        ("hello!", "hello!"), ("hello!!", "hello!!"), ("hello$$$", "hello$$$"), ("hello, you", "hello, you"),
+    ):
+        assert plain in decoder.restore(disguised), (disguised, decoder.restore(disguised))
+
+
 def test_viterbi_is_the_cheapest_path(insults):
     """Against every path through small lattices."""
     docs, _ = insults
