@@ -13,15 +13,21 @@ from daymark.llm import bpe, exact, language, mixing, near
 from daymark.llm.common import spot_bits, spot_of, told_apart
 from daymark.session import materialise
 
-#: A document whose best language scores lower is rejected, like one without a letter.
-MIN_LANGUAGE_SCORE = 0.5
+#: Two scores closer than this are equal.
+SAME_SCORE = 1e-6
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents in no learned language."""
-    found = language.identify(docs, language.train(docs))
-    known = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)
-    return found.filter(known).select(docs.columns)
+    """Reject documents without a letter, and unlabelled ones in no learned language.
+
+    A labelled language is a learned one. Without a label, a text that leaves the model less certain
+    than no text at all shows none.
+    """
+    model = language.train(docs)
+    found = language.identify(docs, model)
+    unread = float(language.softmax(model.bias / model.temperature).max()) if model else 1.0
+    shown = F.col("lang").isNotNull() | (F.col("score") >= unread - SAME_SCORE)
+    return found.filter((F.col("lang_pred") != language.UNKNOWN) & shown).select(docs.columns)
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -315,3 +315,15 @@ def test_pipeline_stages(spark, edge, nothing, prose, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             some = stage(spark, some, "")
         some.count()
+
+
+def test_language_stage_keeps_short_and_mixed_texts(spark, prose):
+    alphabets = {"aa": "abcde", "mm": "fghij", "nn": "klmno", "pp": "pqrst", "uu": "uvwxy"}
+    texts = [(k, " ".join(prose(i, 40, a))) for i in range(60) for k, a in alphabets.items()]
+    mixed = [("aa", " ".join(" ".join(prose(n, 12, a)) for a in alphabets.values())) for n in range(20)]
+    short = [(k, a[n]) for k, a in alphabets.items() for n in range(5)]
+    loose = [(None, " ".join(prose(900, 40, "abcde"))), (None, "12 34"), ("aa", "12 34")]
+    rows = [(i, t, k, "s", len(t)) for i, (k, t) in enumerate(texts + mixed + short + loose)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_language(spark, docs, "").collect()}
+    assert kept == set(range(len(rows) - 2))
