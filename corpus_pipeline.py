@@ -39,8 +39,9 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies (5-word shingles, 0.8) the smallest id stays."""
     classes = near.near_duplicates(docs)
     dropped = materialise(classes.filter("doc_id <> component_id").select("doc_id").distinct(), "near-dropped")
-    # Only documents that may be among the dropped ones are joined with them.
-    clear, unsure = told_apart(docs, spot_of(F.col("doc_id")), spot_bits(dropped, spot_of(F.col("doc_id"))))
+    # Only documents that may be among the dropped ones are joined with them. Hashes differ by type.
+    spot = spot_of(F.col("doc_id").cast("long"))
+    clear, unsure = told_apart(docs, spot, spot_bits(dropped, spot))
     return clear.unionByName(unsure.join(dropped, "doc_id", "left_anti").select(docs.columns))
 
 

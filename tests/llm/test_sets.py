@@ -317,6 +317,16 @@ def test_pipeline_stages(spark, edge, nothing, prose, tmp_path):
         some.count()
 
 
+def test_near_stage_takes_ids_of_32_bits(spark, prose):
+    schema = "doc_id {}, text string, lang string, source string, n_chars long"
+    rows = [(i, t, "aa", "s", len(t)) for i, t in near_rows(prose)]
+    left = [
+        {r["doc_id"] for r in corpus_pipeline.drop_near(spark, spark.createDataFrame(rows, schema.format(t)), "").collect()}
+        for t in ("long", "int")
+    ]
+    assert left[0] == left[1] and len(left[0]) < len(rows)
+
+
 def test_language_stage_keeps_short_and_mixed_texts(spark, prose):
     alphabets = {"aa": "abcde", "mm": "fghij", "nn": "klmno", "pp": "pqrst", "uu": "uvwxy"}
     texts = [(k, " ".join(prose(i, 40, a))) for i in range(60) for k, a in alphabets.items()]
