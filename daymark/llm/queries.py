@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daymark.llm import bpe, exact, language, lines, mixing, near, personal, quality, topk, toxicity
+from daymark.llm import audit, bpe, centroids, exact, language, lines, mixing, near, personal, quality, topk, toxicity
 from daymark.llm.common import fold, read_table
 
 
@@ -100,6 +100,48 @@ def op10_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(read_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op12_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Outcomes of five filters in all their orders, by source."""
+    return audit.audit(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """Clusters of all vectors of 64 components around 40 centroids, after five rounds."""
+    return centroids.cluster(read_table(spark, folder, "embeddings"))
+
+
+def _clusters_sql(k: int = 40, rounds: int = 5, seed: int = 2, width: int = 64) -> str:
+    """The rounds written out one after the other."""
+    gap = "list_dot_product(e, e) - 2 * list_dot_product(e, c) + list_dot_product(c, c)"
+    parts = [
+        f"""with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+  where len(embedding) = {width} and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+c0 as (select row_number() over (order by h) - 1 as k, e as c from (
+  select sha256('{seed}:' || vec_id) as h, e from v order by h limit {k}
+))"""
+    ]
+    for i in range(rounds + 1):
+        # Distance and number in one integer: the smallest distance, of several the smallest number.
+        parts.append(f"a{i} as (select vec_id, any_value(e) as e, min(({gap})::hugeint * 64 + k) as m from v, c{i} group by vec_id)")
+        if i < rounds:
+            parts.append(
+                f"""s{i} as (select k, list(floor(s / n) order by d) as c from (
+  select (m % 64)::int as k, d, sum(e[d]) as s, count(*) as n from a{i}, range(1, {width + 1}) t(d) group by 1, 2
+) group by k),
+c{i + 1} as (select c{i}.k, coalesce(s{i}.c, c{i}.c) as c from c{i} left join s{i} using (k))"""
+            )
+    parts.append(
+        f"""f as (select vec_id, (m % 64)::int as cluster, (m // 64)::bigint as distance from a{rounds})
+select vec_id, cluster, distance, (sum(distance) over (partition by cluster))::bigint as cluster_inertia,
+       (sum(distance) over ())::bigint as inertia,
+       sha256(array_to_string(list_transform(c, lambda x: x::bigint), ',')) as centroid_sha256
+from f join c{rounds} on k = cluster"""
+    )
+    return ",\n".join(parts[:-1]) + ",\n" + parts[-1]
+
+
 REGISTRY = {
     "op1_language": op1_language,
     "op2_toxicity": op2_toxicity,
@@ -111,6 +153,8 @@ REGISTRY = {
     "op8_near": op8_near,
     "op9_bpe": op9_bpe,
     "op10_topk": op10_topk,
+    "op12_audit": op12_audit,
+    "op13_centroids": op13_centroids,
 }
 
 ORACLE: dict[str, str] = {
@@ -189,4 +233,51 @@ select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size,
        doc_id = min(doc_id) over w as kept, sha256(t) as text_sha256
 from body window w as (partition by t)
 """,
+    "op12_audit": """
+with body as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as t,
+         regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+') as w
+  from documents
+),
+marks as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by 1),
+fails as (
+  select part, coalesce(good, 0) = 1 as good, coalesce(toxic, 0) = 1 as toxic,
+         case when len(w) < 200 then 'A' else '' end
+         || case when 100 * len(list_distinct(w)) < 50 * len(w) then 'B' else '' end
+         || case when 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) then 'C' else '' end
+         || case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end
+         || case when doc_id > min(doc_id) over (partition by t) then 'E' else '' end as fail
+  from body left join marks using (doc_id)
+),
+counted as (select part, good, toxic, fail, count(*) as n from fails group by all),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (
+  select a.x || b.x || c.x || d.x || e.x as filter_order from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+),
+steps as (
+  select filter_order, step::int as step, substr(filter_order, step::int, 1) as f,
+         substr(filter_order, 1, step::int - 1) as earlier
+  from orders, range(1, 6) r(step)
+),
+told as (
+  select part, filter_order, step, f, n, good, toxic, fail, contains(fail, f) as fails,
+         length(translate(fail, earlier, '')) = length(fail) as here
+  from counted, steps
+),
+sums as (
+  select part, filter_order, step, f,
+         sum(case when here and not fails then n else 0 end)::bigint as kept,
+         sum(case when here and fails then n else 0 end)::bigint as removed,
+         sum(case when not here and fails then n else 0 end)::bigint as redundant,
+         sum(case when fail = f then n else 0 end)::bigint as unique_fails,
+         sum(case when here and fails and good then n else 0 end)::bigint as good_lost,
+         sum(case when here and fails and toxic then n else 0 end)::bigint as toxic_lost
+  from told group by all
+)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) over (partition by part, f))::bigint as shapley
+from sums
+""",
+    "op13_centroids": _clusters_sql(),
 }
