@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daymark.llm import audit, bpe, centroids, exact, language, lines, mixing, near, personal, quality, topk, toxicity
+from daymark.llm import audit, bpe, centroids, exact, language, lines, mixing, near, personal, pitman, quality, topk, toxicity
 from daymark.llm.common import fold, read_table
 
 
@@ -100,6 +100,15 @@ def op10_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(read_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_pitman(spark: SparkSession, folder: str) -> DataFrame:
+    """log10 probability of every document; rows whose fold is 1 stay out of training."""
+    docs = read_table(spark, folder, "documents")
+    scored = pitman.score_texts(docs, F.coalesce(fold("doc_id", 5) != 1, F.lit(True)))
+    return scored.select(
+        "doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op12_audit(spark: SparkSession, folder: str) -> DataFrame:
     """Outcomes of five filters in all their orders, by source."""
     return audit.audit(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
@@ -153,6 +162,7 @@ REGISTRY = {
     "op8_near": op8_near,
     "op9_bpe": op9_bpe,
     "op10_topk": op10_topk,
+    "op11_pitman": op11_pitman,
     "op12_audit": op12_audit,
     "op13_centroids": op13_centroids,
 }
