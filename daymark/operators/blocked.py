@@ -29,7 +29,7 @@ from daymark.session import materialise
 _ROW_BITS = 33
 
 
-class _Pieces:
+class Pieces:
     """Rows with ``_part`` and ``_at`` (number inside the partition), and a reduced row per piece.
 
     Both are written once: partition numbers must not be computed twice, and the running sums never
@@ -72,7 +72,7 @@ class _Pieces:
 
 def global_positions(df: DataFrame, keys: Sequence[str], time: str, ties: Sequence[str] = ()) -> DataFrame:
     """Zero-based ``position`` of every row in its series, by ``time`` then ``ties``."""
-    pieces = _Pieces(df, keys, time, ties)
+    pieces = Pieces(df, keys, time, ties)
     before = F.coalesce(F.sum("_n").over(pieces.earlier()), F.lit(0))
     starts = pieces.reduced.select(*pieces.all, (before - F.col("_first")).alias("_start"))
     return (
@@ -82,6 +82,21 @@ def global_positions(df: DataFrame, keys: Sequence[str], time: str, ties: Sequen
     )
 
 
+def halo_blocks(
+    df: DataFrame, keys: Sequence[str], time: str, halo: int, ties: Sequence[str] = (), block_rows: int = 4096
+) -> DataFrame:
+    """``df`` with ``position``, its block ``_own``, and the last ``halo`` rows of a block again in the next.
+
+    ``_block`` is the block a row is shown in; a copy is a row whose ``_block`` is not its own.
+    """
+    if block_rows < max(halo, 1):
+        raise ValueError("a block must hold at least the halo")
+    placed = global_positions(df, keys, time, ties)
+    near_end = F.col("position") % block_rows >= block_rows - halo
+    shown = F.when(near_end, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))
+    return placed.withColumn("_own", F.floor(F.col("position") / block_rows)).withColumn("_block", F.explode(shown))
+
+
 def blocked_window(
     df: DataFrame,
     keys: Sequence[str],
@@ -96,14 +111,7 @@ def blocked_window(
     The window may look at most ``halo`` rows back. Result: the input columns, ``position`` and
     what ``apply`` appended.
     """
-    if block_rows < max(halo, 1):
-        raise ValueError("a block must hold at least the halo")
-    placed = global_positions(df, keys, time, ties)
-    own = F.floor(F.col("position") / block_rows)
-    near_end = F.col("position") % block_rows >= block_rows - halo
-    copies = placed.withColumn("_own", own).withColumn(
-        "_block", F.explode(F.when(near_end, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own")))
-    )
+    copies = halo_blocks(df, keys, time, halo, ties, block_rows)
     w = Window.partitionBy(*keys, "_block").orderBy("position")
     return apply(copies, w).filter(F.col("_block") == F.col("_own")).drop("_own", "_block")
 
@@ -128,7 +136,7 @@ def blocked_fill(
 
     latest = [F.max(known(c)).alias(f"_last_{c}") for c in columns]
     earliest = [F.min(known(c)).alias(f"_head_{c}") for c in columns] if backward else []
-    pieces = _Pieces(df, keys, time, ties, [*latest, *earliest])
+    pieces = Pieces(df, keys, time, ties, [*latest, *earliest])
     carried = [
         F.last(F.col(f"_last_{c}")["_value"], ignorenulls=True).over(pieces.earlier()).alias(f"_in_{c}") for c in columns
     ]

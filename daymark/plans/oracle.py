@@ -351,6 +351,20 @@ ORACLE: dict[str, str] = {
         f"select series_id, event_id, {rounded(PRICE_ONLY)} from "
         f"(select *, {feature_select(PRICE_ONLY)} from events_keyed {windows('series_id', 'ts, event_id')})",
     ),
+    "event_asof_join": """
+select p.user_id, p.ts, p.event_id, p.value, o.event_id as seen_event, o.event_type as seen_type, o.ts as seen_ts
+from (select * from events where event_type = 'purchase') p
+asof left join (select * from events where event_type <> 'purchase') o on p.user_id = o.user_id and p.ts > o.ts
+""",
+    "event_rolling_mad": q(
+        EVENTS,
+        f"select series_id, event_id, {rnd('m', 6)} as mad20_lag3 from (select series_id, event_id, "
+        "case when count(price) over f = 20 then mad(price) over f end as m from events_keyed "
+        "window f as (partition by series_id order by ts, event_id rows between 22 preceding and 3 preceding))",
+    ),
+    "event_exact_median": q(
+        EVENTS, f"select series_id, count(price) as n, {rnd('median(price)', 6)} as median from events_keyed group by 1"
+    ),
     "event_fill": """
 select case when value < 10 then 'low' else 'high' end as series_id, event_id,
        coalesce(

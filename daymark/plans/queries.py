@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daymark.functions import draws, scalars as S
-from daymark.operators import align, blocked, ensemble, features, folds, labels, metrics, oversample, scenarios
+from daymark.operators import (
+    align, asof, blocked, ensemble, features, folds, labels, metrics, oversample, quantile, rolling, scenarios,
+)
 from daymark.plans import jobs
 from daymark.session import materialise, scratch_path
 from daymark.sources import files, sinks, tables
@@ -298,6 +301,38 @@ def event_fill(spark, folder):
     return filled.select(SERIES, "event_id", "last_purchase")
 
 
+@query
+def event_asof_join(spark, folder):
+    """Every purchase with its user's latest earlier event of another type."""
+    events = tables.table(spark, folder, "events")
+    bought = events.filter("event_type = 'purchase'").select("user_id", "ts", "event_id", "value")
+    other = events.filter("event_type <> 'purchase'").select(
+        "user_id", "ts", F.col("event_id").alias("seen_event"), F.col("event_type").alias("seen_type"), F.col("ts").alias("seen_ts")
+    )
+    seen = ["seen_event", "seen_type", "seen_ts"]
+    return asof.asof_join(bought, other, ["user_id"], "ts", seen, ties=["seen_event"], strict=True)
+
+
+def median_deviation(windows: np.ndarray) -> np.ndarray:
+    """Median distance from the median: no closed form over a moving window."""
+    return np.median(np.abs(windows - np.median(windows, axis=1, keepdims=True)), axis=1)
+
+
+@query
+def event_rolling_mad(spark, folder):
+    events = tables.event_stream(spark, folder)
+    found = rolling.rolling_apply(
+        events, [SERIES], "ts", "price", median_deviation, size=20, name="mad20_lag3", lag=3, ties=["event_id"]
+    )
+    return rounded(found.select(SERIES, "event_id", "mad20_lag3"), mad20_lag3=6)
+
+
+@query
+def event_exact_median(spark, folder):
+    events = tables.event_stream(spark, folder)
+    return rounded(quantile.exact_quantile(events, [SERIES], "price", 0.5, "median"), median=6)
+
+
 # ---------------------------------------------------------------- scalars
 
 
