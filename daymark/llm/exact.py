@@ -18,11 +18,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daymark.llm.common import map_rows, spot_bits, spot_of, told_apart
+from daymark.llm.common import map_rows
+from daymark.llm.sift import Sift, fresh
 from daymark.session import materialise
 
 #: Bytes of content that one bucket, or one task's first table, holds at most; bytes of one batch.
 BUCKET_BYTES, BATCH_BYTES = 16 << 20, 2 << 20
+#: Buckets of one level at most; with more content than they hold the next level takes over.
+FAN_OUT = 2_000
 
 
 class ContentTable:
@@ -191,7 +194,7 @@ def find_copies(
     while True:
         total = pending.agg(F.sum("bytes")).first()[0] or 0
         # Buckets of half the limit on average, so that few come out above it.
-        count = 1 + int(2 * total // bucket_bytes)
+        count = min(FAN_OUT, 1 + int(2 * total // bucket_bytes))
         dealt = pending.withColumn("bucket", F.pmod(F.xxhash64("hash", F.lit(level)), F.lit(count)).cast("int"))
         large = (
             dealt.groupBy("bucket")
@@ -224,13 +227,18 @@ def find_copies(
 def drop_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, with all their columns; repeated rows stay once.
 
+    Of several rows with the smallest id of a text, the one whose columns have the smallest hash stays.
     Only rows that may have been dropped are joined with the result.
     """
     found = materialise(find_copies(docs, id_column, text), "copies")
-    kept = found.filter("kept").select(F.col(id_column).alias("__id"), F.col("text_sha256").alias("__sha"))
-    bits = spot_bits(found.filter("not kept"), spot_of(F.col(id_column), F.col("text_sha256")))
-    hashed = docs.withColumn("__sha256", F.sha2(normal(F.col(text)), 256))
-    clear, unsure = told_apart(hashed, spot_of(F.col(id_column).cast("long"), F.col("__sha256")), bits)
-    same = unsure[id_column].eqNullSafe(kept["__id"]) & (unsure["__sha256"] == kept["__sha"])
-    staying = unsure.join(kept, same, "left_semi").dropDuplicates([id_column, "__sha256"])
-    return clear.unionByName(staying).drop("__sha256")
+    digest, stays, of = (fresh(docs, c) for c in ("sha256", "stays", "of"))
+    kept = found.filter("kept").select(F.col(id_column).alias(stays), F.col("text_sha256").alias(of))
+    hashed = docs.withColumn(digest, F.sha2(normal(F.col(text)), 256))
+    identity = F.col(id_column).cast("long")
+    sift = Sift(found.filter("not kept"), F.col(id_column), F.col("text_sha256"))
+    clear, unsure = sift.split(hashed, identity, F.col(digest))
+    same = identity.eqNullSafe(F.col(stays)) & (F.col(digest) == F.col(of))
+    staying = unsure.join(kept, same, "left_semi")
+    whole = F.struct(*["`" + c.replace("`", "``") + "`" for c in docs.columns])
+    one = staying.groupBy(identity.alias(stays), digest).agg(F.min_by(whole, F.xxhash64(whole)).alias(of))
+    return clear.drop(digest).unionByName(one.select(f"{of}.*"))

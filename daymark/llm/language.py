@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from daymark.llm.common import (
@@ -34,6 +34,8 @@ from daymark.llm.common import (
 BITS = 16
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
+#: Hashes that order the rows of a sample.
+HASHES = 1 << 62
 
 
 @dataclass
@@ -95,14 +97,19 @@ def document_frequencies(docs: DataFrame, text: str) -> np.ndarray:
 
 def fit_sample(docs: DataFrame, id_column: str, text: str, lang: str, rows: int) -> list:
     """Vectors of at most ``rows`` documents of each language, those of smallest id hash."""
-    order = F.xxhash64(F.col(id_column), F.lit("language"))
+    # One row a language reaches the driver.
     sizes = {r[0]: r[1] for r in docs.groupBy(lang).count().collect()}
-    # A share of the hash range that holds about twice the wanted rows; the exact cut follows.
-    shares = {k: min(1.0, (2.0 * rows + 200) / n) for k, n in sizes.items()}
-    if not shares:
+    if not sizes:
         return []
+    # A share of the hashes that holds about twice the wanted rows, in steps far finer than any table
+    # has rows; then the smallest hashes of each language, of which a task keeps only as many.
+    order = F.pmod(F.xxhash64(F.col(id_column), F.lit("language")), F.lit(HASHES))
+    wanted = 2 * rows + 200
+    shares = {k: min(HASHES, HASHES * wanted // n + 1) for k, n in sizes.items()}
     share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col(lang)]
-    near = F.pmod(order, F.lit(1 << 20)) < share * (1 << 20)
+    near = docs.select(order.alias("h"), F.col(lang).alias("lang"), F.col(text).alias("body")).filter(F.col("h") < share)
+    place = Window.partitionBy("lang").orderBy("h", F.length("body"))
+    near = near.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= 2 * wanted)
 
     def vectors(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -116,18 +123,13 @@ def fit_sample(docs: DataFrame, id_column: str, text: str, lang: str, rows: int)
                 [found[i][1].astype(np.float32) for i in keep],
             )
 
-    picked = map_rows(
-        docs.filter(near).select(order.alias("h"), lang, text),
-        vectors,
-        "h long, lang string, codes array<int>, counts array<float>",
-    )
+    picked = map_rows(near.select("h", "lang", "body"), vectors, "h long, lang string, codes array<int>, counts array<float>")
     found = collected_rows(picked.toArrow(), "lang", "h", "codes", "counts")
-    found.sort(key=lambda r: (r[0], r[1], len(r[2]), r[2].tobytes()))
     kept, seen = [], dict.fromkeys(shares, 0)
-    for lang_value, _, codes, counts in sorted(found, key=lambda r: (r[1] % (1 << 20), r[1])):
-        if seen[lang_value] < rows:
-            seen[lang_value] += 1
-            kept.append((lang_value, codes, counts))
+    for language, _, codes, counts in sorted(found, key=lambda r: (r[1], r[0], len(r[2]), r[2].tobytes())):
+        if seen[language] < rows:
+            seen[language] += 1
+            kept.append((language, codes, counts))
     return kept
 
 
@@ -226,14 +228,18 @@ def predict(text: str | None, model: LanguageModel | None) -> tuple[str, float]:
 
 
 def identify(
-    docs: DataFrame, model: LanguageModel | None, text: str = "text", keep: list[str] | None = None
+    docs: DataFrame,
+    model: LanguageModel | None,
+    text: str = "text",
+    keep: list[str] | None = None,
+    added: tuple[str, str] = ("lang_pred", "score"),
 ) -> DataFrame:
-    """Add ``lang_pred`` and ``score`` to every row of ``docs``.
+    """Add ``lang_pred`` and ``score``, or other names, to every row of ``docs``.
 
     A null text, or one without a letter, is ``und`` with score 0; so is every row without a
-    model. ``keep`` names the columns returned beside them (all by default); columns called
-    ``lang_pred`` or ``score`` are replaced.
+    model. Of equally likely languages the first by name is predicted. ``keep`` names the columns
+    returned beside them (all by default); columns called like an added one are replaced.
     """
     return with_scores(
-        docs, lambda value: predict(value, model), "lang_pred string, score double", text, keep
+        docs, lambda value: predict(value, model), f"{added[0]} string, {added[1]} double", text, keep
     )

@@ -13,9 +13,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from daymark.llm.sift import Sift, fresh
 from daymark.session import materialise
 
 #: Documents of one block, and blocks joined at each level of the tree.
@@ -34,7 +35,8 @@ def targets(sized: DataFrame, source: str = "source", size: str = "size") -> Dat
     Sources by code point, null last, weigh 1, 2, 3 and again. A target stops at ``MOST`` times the
     source's size; what is cut off goes to the others by weight, until none is above. In the order
     of size over weight the stopped sources come first, so running sums find the level at which the
-    resharing ends. The windows see one row a source.
+    resharing ends. The windows see one row a source, so there may be as many sources as one task
+    sorts (some 10^7): a source is a collection of documents, not a host or a page.
     """
     by_source = sized.groupBy(F.col(source).alias("source")).agg(
         F.count("*").alias("rows"), F.sum(size).alias("source_size")
@@ -123,7 +125,7 @@ def rounder(seed: int, level: int):
 
 
 def round_block(table: pa.Table, seed: int, level: int) -> pa.Table:
-    order = [("size", "descending"), *((c, "ascending") for c in table.column_names if c in ("id", "block"))]
+    order = [("size", "descending"), *((c, "ascending") for c in ("id", "number", "block") if c in table.column_names)]
     table = table.sort_by(order)
     sizes = table.column("size").to_numpy().astype(float)
     shares = table.column("share").to_numpy().astype(float)
@@ -153,31 +155,41 @@ def copies(
     result. A source without words has target 0 and its documents are not taken. Repeated rows
     are rounded one by one. Other columns are not looked at.
     """
+    return _rounded(docs, F.col(id_column), F.lit(0), F.col(text), F.col(source), seed).select(
+        F.col("id").alias(id_column), "source", "size", "source_size", "target", "copies"
+    )
+
+
+def _rounded(docs: DataFrame, identity: Column, number: Column, text: Column, source: Column, seed: int) -> DataFrame:
+    """Rows ``id``, ``number`` with their ``copies``; ``number`` tells rows with one id apart."""
+    spread = F.when(identity.isNotNull(), F.xxhash64(identity, F.lit("block"))).otherwise(F.xxhash64(text, F.lit("block")))
     sized = materialise(
         docs.select(
-            F.col(id_column).alias("id"),
-            F.col(source).cast("string").alias("source"),
-            F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            identity.alias("id"),
+            number.cast("long").alias("number"),
+            spread.alias("spread"),
+            source.cast("string").alias("source"),
+            F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         ),
         "sized",
     )
     aims = materialise(targets(sized), "targets")
     salted = aims.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = sized.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    rows = sized.withColumn("salt", F.pmod(F.xxhash64("spread"), F.lit(SALTS)).cast("int"))
     same = rows["source"].eqNullSafe(salted["source"]) & (rows["salt"] == salted["salt"])
-    joined = rows.join(salted, same).select("id", rows["source"], "size", "rank", "rows", "source_size", "target")
+    joined = rows.join(salted, same).select("id", "number", "spread", rows["source"], "size", "rank", "rows", "source_size", "target")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     wanted = joined.withColumn("rate", rate).select(
-        "id", "source", "size", "source_size", "target",
+        "id", "number", "source", "size", "source_size", "target",
         F.col("rank").cast("long").alias("rank"),
         F.floor("rate").alias("whole"),
         (F.col("rate") - F.floor("rate")).alias("share"),
-        F.pmod(F.xxhash64("id", F.lit("block")), F.ceil(F.col("rows") / BLOCK_ROWS)).alias("block"),
+        F.pmod("spread", F.ceil(F.col("rows") / BLOCK_ROWS)).alias("block"),
     )
     blocks = materialise(
         wanted.groupBy("rank", "block").applyInArrow(
             rounder(seed, 0),
-            "id long, source string, size long, source_size long, target double, rank long, whole long, "
+            "id long, number long, source string, size long, source_size long, target double, rank long, whole long, "
             "share double, block long, left double",
         ),
         "blocks",
@@ -206,7 +218,8 @@ def copies(
     settled = last if settled is None else settled.unionByName(last)
     settled = settled.withColumnRenamed("share", "settled")
     return blocks.join(settled, ["rank", "block"], "left").select(
-        F.col("id").alias(id_column),
+        "id",
+        "number",
         "source",
         "size",
         "source_size",
@@ -215,17 +228,34 @@ def copies(
     )
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", seed: int = 11) -> DataFrame:
-    """``docs`` with every row as often as the mixture takes it; rows not taken go.
+def mix(
+    docs: DataFrame, text: str = "text", source: str = "source", seed: int = 11, id_column: str = "doc_id"
+) -> DataFrame:
+    """``docs`` with every row as often as :func:`copies` takes it; rows not taken go.
 
-    A row is known by all its columns; equal rows are taken as often as they are together.
+    A row is known by its id. Rows that share an id, or have none, are numbered in a written table, so
+    each of them is rounded and repeated as itself, however much alike they are. Names that the
+    work needs are chosen so that no column of ``docs`` is touched.
     """
-    names = docs.columns
-    row = F.xxhash64(*("`" + c.replace("`", "``") + "`" for c in names), F.lit("mix"))
-    hashed = docs.withColumn("__row", row)
-    taken = copies(hashed, "__row", text, source, seed).groupBy("__row").agg(F.sum("copies").alias("__times"))
-    joined = hashed.dropDuplicates(["__row"]).join(taken.filter("__times > 0"), "__row")
-    # One row a copy; the array has at most a few elements.
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(
-        *("`" + c.replace("`", "``") + "`" for c in names)
-    )
+    names = ["`" + c.replace("`", "``") + "`" for c in docs.columns]
+    number, times, of = (fresh(docs, c) for c in ("number", "times", "of"))
+    identity = F.col("`" + id_column + "`").cast("long")
+    shared = docs.groupBy(identity.alias(of)).count().filter((F.col("count") > 1) | F.col(of).isNull()).select(of)
+    shared = materialise(shared, "shared-ids")
+    # A null id hashes like any other value, so rows without one are among the unsure.
+    alone, unsure = Sift(shared, F.col(of)).split(docs, identity)
+    same = identity.eqNullSafe(F.col(of))
+    alike = materialise(unsure.join(shared, same, "left_semi").withColumn(number, F.monotonically_increasing_id()), "alike")
+    alone = alone.unionByName(unsure.join(shared, same, "left_anti")).withColumn(number, F.lit(-1).cast("long"))
+    whole = alone.unionByName(alike)
+    taken = _rounded(whole, identity, F.col(number), F.col(text), F.col(source), seed).filter("copies > 0")
+    taken = taken.select("id", "number", F.col("copies").cast("int").alias(times))
+
+    def repeated(rows: DataFrame, found: DataFrame, known) -> DataFrame:
+        # One row a copy; the array has at most a few elements.
+        joined = rows.join(found, known)
+        return joined.withColumn(times, F.explode(F.sequence(F.lit(1), times))).select(*names)
+
+    one = taken.filter("number = -1").select(F.col("id").alias(of), times)
+    many = taken.filter("number >= 0").select(F.col("number").alias(of), times)
+    return repeated(alone, one, identity == F.col(of)).unionByName(repeated(alike, many, F.col(number) == F.col(of)))

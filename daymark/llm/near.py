@@ -13,23 +13,29 @@ Documents meet where a key is equal. An empty part tells nothing: P is chosen a
 and a document leaves out its empty parts as long as at most P - D - 1 of them are empty; otherwise
 it shows them too. A document near the upper end of its band also shows keys of the next band.
 
-*Verify.* A key shared by many documents is not expanded into pairs. Each document first meets the
-smallest member of its groups, and links are joined into classes. Only groups that still hold several
-classes are looked at again: inside blocks of bounded size the short sketches of members of different
-classes are compared, and what they do not refute is compared by whole sets.
+*Groups.* Keys travel packed: a task sorts the keys of a chunk of documents and sends each distinct one
+to a range of keys once, however many of its documents show it. Most keys have no partner and end
+there; of the others, every document of the key becomes a row of its group.
+
+*Verify.* A key shared by many documents is not expanded into pairs. A group is hung into a tree of
+bounded fan-out, and each document first meets the parent it shares most keys with; links are joined
+into classes. Only groups that still hold several classes are looked at again: inside blocks of bounded
+size the short sketches of members of different classes are compared. What sketches do not refute is
+compared by whole sets; only texts of such pairs are read and dealt, each to its partners.
 """
 
 from __future__ import annotations
 
 from fractions import Fraction
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daymark.llm.common import holds, map_rows, mix64, runs, spot_bits, spot_of, word_hashes
+from daymark.llm.common import map_rows, mix64, runs, word_hashes
+from daymark.llm.messages import pack, unpack
+from daymark.llm.sift import Sift
 from daymark.session import materialise
 
 #: Ratio of a band's ends; spare parts in a band, as a share of D.
@@ -40,6 +46,10 @@ FEWEST_BITS, MOST_BITS = 512, 4096
 BLOCK, SALTS = 1024, 32
 #: Groups up to this size give their pairs at once, without sketches.
 SMALL = 32
+#: Keys of one chunk of documents, keys that a range stands for, fan-out of a group's tree.
+CHUNK_KEYS, RANGE_KEYS, FAN = 1 << 21, 1_500_000, 256
+#: Bits of a key that travel; keys that agree in them by chance cost a comparison.
+KEY_BITS = 56
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -141,34 +151,120 @@ def folded(sketches: list[bytes], size: int) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, width: int) -> DataFrame:
-    """``id``, ``size``, ``digest`` (of the whole set) and short ``sketch`` of rows ``id``, ``body``."""
+    """``id``, ``size``, ``digest`` (of the whole set), ``sketch`` and its ``fold`` of rows ``id``, ``body``."""
 
     def run(batches):
         for batch in batches:
             found = [shingle_set(v, width) for v in batch.column(1).to_pylist()]
-            yield [batch.column(0), [len(h) for h in found], [_digest(h) for h in found], [short_sketch(h) for h in found]]
+            sketches = [short_sketch(h) for h in found]
+            folds = [folded([s], FEWEST_BITS // 8).tobytes() for s in sketches]
+            yield [batch.column(0), [len(h) for h in found], [_digest(h) for h in found], sketches, folds]
 
-    return map_rows(docs, run, "id long, size long, digest binary, sketch binary")
+    return map_rows(docs, run, "id long, size long, digest binary, sketch binary, fold binary")
 
 
-def shown_keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``id`` and ``key`` rows of rows ``id``, ``body``; of equal sets in one task only the first shows keys."""
-    bands = Bands(percent)
+def parents(place: np.ndarray) -> np.ndarray:
+    """Place of the parent in a tree of fan-out ``FAN``; the root, 0, is its own."""
+    step, out = np.ones_like(place), place.copy()
+    pending = place > 0
+    while pending.any():
+        above = place // (step * FAN) * (step * FAN)
+        done = pending & (above < place)
+        out[done] = above[done]
+        pending &= ~done
+        step = np.where(pending, step * FAN, step)
+    return out
+
+
+def hung(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For rows sorted by key, then id: the id each row hangs from among those of its key."""
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+    start = np.repeat(first, np.diff(first, append=len(keys)))
+    return ids[start + parents(np.arange(len(keys)) - start)]
+
+
+SENT = "to long, kind int, parts array<binary>"
+
+
+def sent_keys(docs: DataFrame, width: int, percent: int, ranges: int) -> DataFrame:
+    """Rows ``id``, ``body`` to messages: the keys of each chunk, to their ranges.
+
+    Of a key's documents in a chunk only the first goes to the range; the others hang from it and go to
+    a receiver of the chunk. Of equal sets in one task only the first shows keys.
+    """
+    bands, limit = Bands(percent), CHUNK_KEYS
+
+    def chunk(number: int, ids: list, keys: list):
+        order = np.argsort(ids, kind="stable")
+        ids = np.array(ids, np.int64)[order]
+        keys = [keys[i] for i in order]
+        doc = np.repeat(ids, [len(k) for k in keys])
+        key = np.concatenate(keys) >> np.uint64(64 - KEY_BITS)
+        order = np.argsort(key, kind="stable")
+        key, doc = key[order], doc[order]
+        first = np.concatenate(([True], key[1:] != key[:-1]))
+        several = np.diff(np.flatnonzero(first), append=len(key)) > 1
+        out = []
+        if not first.all():
+            rest = [key[~first], doc[~first], hung(key, doc)[~first]]
+            out.append((ranges + number % ranges, 1, [pack(p) for p in rest]))
+        key, doc = key[first], doc[first]
+        at = (key >> np.uint64(KEY_BITS - 24)).astype(np.int64) * ranges >> 24
+        edge = np.searchsorted(at, np.arange(ranges + 1))
+        for q in np.flatnonzero(np.diff(edge)):
+            part = slice(edge[q], edge[q + 1])
+            out.append((int(q), 0, [pack(key[part]), pack(doc[part]), pack(several[part])]))
+        return [list(c) for c in zip(*out)]
 
     def run(batches):
+        from pyspark import TaskContext
+
         seen: set[bytes] = set()
+        number, ids, keys, size = TaskContext.get().partitionId() * 7919, [], [], 0
         for batch in batches:
-            ids, keys = [], []
             for doc, value in zip(*(c.to_pylist() for c in batch.columns)):
                 hashes = shingle_set(value, width)
                 digest = _digest(hashes)
                 if len(hashes) and digest not in seen:
                     seen.add(digest)
                     ids.append(doc)
-                    keys.append(np.concatenate([part_keys(hashes, b, bands) for b in bands.of(len(hashes))]).view(np.int64))
-            yield [ids, keys]
-
-    return map_rows(docs, run, "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
+                    keys.append(np.concatenate([part_keys(hashes, b, bands) for b in bands.of(len(hashes))]))
+                    size += len(keys[-1])
+                    if size >= limit:
+                        yield chunk(number, ids, keys)
+                        number, ids, keys, size = number + 1, [], [], 0
+        if ids:
+            yield chunk(number, ids, keys)
+
+    return map_rows(docs, run, SENT)
+
+
+def gathered(table: pa.Table) -> pa.Table:
+    """One receiver's messages to rows (key, id, pivot) of the keys that several documents show."""
+    out = []
+    rows = list(zip(*(table.column(c).to_pylist() for c in ("kind", "parts"))))
+    for kind, parts in rows:
+        if kind == 1:
+            out.append([unpack(parts[0], "u8"), unpack(parts[1], "i8"), unpack(parts[2], "i8")])
+    asked = [[unpack(p) for p in parts] for kind, parts in rows if kind == 0]
+    if asked:
+        key, doc = (np.concatenate([a[i].astype(t) for a in asked]) for i, t in ((0, "u8"), (1, "i8")))
+        several = np.concatenate([a[2] for a in asked])
+        order = np.lexsort((doc, key))
+        key, doc, several = key[order], doc[order], several[order]
+        same = key[1:] == key[:-1]
+        kept = several | np.concatenate((same, [False])) | np.concatenate(([False], same))
+        key, doc = key[kept], doc[kept]
+        out.append([key, doc, hung(key, doc)])
+    columns = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 3
+    return pa.table({n: pa.array(c.astype(np.int64)) for n, c in zip(("key", "id", "pivot"), columns)})
+
+
+def groups_of(docs: DataFrame, width: int, percent: int, shingles: int) -> DataFrame:
+    """Rows (key, id, pivot) of the keys that several documents show; ``shingles`` of all rows together."""
+    # About 0.6 keys a shingle at 0.8; more at lower similarity.
+    ranges = 1 + int(shingles * 3 * (100 - percent) / 100) // RANGE_KEYS
+    return sent_keys(docs, width, percent, ranges).groupBy("to").applyInArrow(gathered, "key long, id long, pivot long")
 
 
 def _digest(hashes: np.ndarray) -> bytes:
@@ -268,45 +364,27 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 class Join:
-    """State of one run: sets and texts that still matter, and classes found so far."""
+    """State of one run: sets and groups that still matter, and classes found so far."""
 
     def __init__(self, docs: DataFrame, id_column: str, text: str, width: int, percent: int):
         self.width, self.percent = width, percent
         self.links: DataFrame | None = None
         self.classes: DataFrame | None = None
-        texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("body"))
-        table = materialise(sketched(texts, width), "sketched")
+        self.texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("body"))
+        self.sets = materialise(sketched(self.texts, width), "sketched")
         # Equal sets are one class at once; only the smallest id of each goes on. The copies of one
         # set meet their first by a salt, as they may be a large part of all rows.
-        first = table.filter("size > 0").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+        slim = self.sets.select("id", "size", "digest")
+        first = slim.filter("size > 0").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"))
         first = first.filter("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = table.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        salted = slim.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
         rep = F.coalesce("first", "id").alias("rep")
-        self.members = materialise(
-            salted.join(first, ["digest", "salt"], "left").select("id", "size", "sketch", rep), "members"
-        )
-        keyed = groups_of(shown_keys(texts, width, percent))
-        reps = self.members.select("id", "rep").distinct()
-        keyed = keyed.select("key", "id").join(reps, "id").select("key", F.col("rep").alias("id")).distinct()
-        self.groups = materialise(groups_of(keyed), "groups")
-        self.texts = materialise(self.filtered(texts), "texts")
-
-    def filtered(self, texts: DataFrame) -> DataFrame:
-        """Texts of documents in groups, and by chance a few more.
-
-        The filter has ``FILTER_BITS`` bits at any size of input: with very many ids it lets more
-        texts pass, which costs time and changes no result.
-        """
-        spot = spot_of(F.col("id"))
-        bits = spot_bits(self.groups.select("id").distinct(), spot)
-
-        def run(batches):
-            for batch in batches:
-                at = batch.column(2).to_numpy()
-                part = batch.filter(pa.array(holds(bits, at)))
-                yield part.columns[:2]
-
-        return map_rows(texts.withColumn("spot", spot), run, "id long, body string")
+        self.members = materialise(salted.join(first, ["digest", "salt"], "left").select("id", "size", rep), "members")
+        copies = self.members.filter("rep <> id").select("id").distinct()
+        clear, unsure = Sift(copies, F.col("id")).split(self.texts, F.col("id"))
+        shown = clear.unionByName(unsure.join(copies, "id", "left_anti"))
+        shingles = self.members.agg(F.sum("size")).first()[0] or 0
+        self.groups = materialise(groups_of(shown, width, percent, shingles), "groups")
 
     def class_of(self, rows: DataFrame, column: str, name: str) -> DataFrame:
         """Add the class of ``column``: the smallest id reached so far, itself without a link."""
@@ -316,46 +394,72 @@ class Join:
         return rows.join(known, column, "left").withColumn(name, F.coalesce(name, column))
 
     def verify(self, pairs: DataFrame) -> None:
-        """Compare pairs by their whole sets and join the links into classes."""
+        """Compare pairs by their whole sets and join the links into classes.
+
+        Only texts of these pairs are read. A text goes to each of its partners' groups; the tree of
+        a group and the blocks keep the number of partners small.
+        """
         width, percent = self.width, self.percent
         ordered = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-        one, two = (self.texts.select(F.col("id").alias(s), F.col("body").alias(f"t{s}")) for s in "ab")
+        ordered = materialise(ordered, "pairs")
+        if ordered.isEmpty():
+            return
+        ends = ordered.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
+        wanted = ends.filter("id = a").select("id", "b").union(ordered.select(F.col("b").alias("id"), "b").distinct())
+        texts = Sift(wanted.select("id").distinct(), F.col("id")).kept(self.texts, F.col("id"))
+        dealt = wanted.join(texts, "id").select("b", (F.col("id") != F.col("b")).alias("other"), "id", "body")
+        order = ["b", "other", "id"]
+        dealt = dealt.repartition("b").sortWithinPartitions(*order)
 
         def run(batches):
-            shingles = lru_cache(256)(lambda text: shingle_set(text, width))
+            centre, held = None, []
             for batch in batches:
-                a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
-                keep = [i for i in range(len(a)) if linked(shingles(x[i]), shingles(y[i]), percent)]
-                yield [[a[i] for i in keep], [b[i] for i in keep]]
-
-        compared = ordered.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
-        links = materialise(map_rows(compared, run, "a long, b long"), "links")
+                out = []
+                for b, other, doc, body in zip(*(c.to_pylist() for c in batch.columns)):
+                    if b != centre:
+                        centre, held = b, []
+                    hashes = shingle_set(body, width)
+                    if not other:
+                        held.append(hashes)
+                    elif any(linked(hashes, h, percent) for h in held):
+                        out.append((doc, b))
+                yield [list(c) for c in zip(*out)] if out else [[], []]
+
+        links = materialise(map_rows(dealt, run, "a long, b long"), "links")
         if not links.isEmpty():
             self.links = links if self.links is None else self.links.union(links)
             self.classes = components(self.links)
 
-    def sketches(self) -> DataFrame:
-        return self.members.filter(F.col("rep") == F.col("id")).select("id", "sketch").dropDuplicates(["id"])
+    def nearest(self) -> DataFrame:
+        """Each document with the parent it shares most keys with."""
+        met = self.groups.filter("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("n"))
+        best = met.groupBy("id").agg(F.max(F.struct("n", (-F.col("pivot")).alias("p"))).alias("best"))
+        return best.select(F.col("id").alias("a"), (-F.col("best.p")).alias("b"))
+
+    def firsts(self, sketch: str) -> DataFrame:
+        return self.sets.select("id", "size", sketch).dropDuplicates(["id"])
 
     def mixed(self) -> DataFrame:
-        """Members of groups that still hold several classes, with the size of the group."""
+        """Members of groups that still hold several classes, with the size of the group.
+
+        Classes only grow, so a group that is left out here is not looked at again.
+        """
         classed = self.class_of(self.groups.select("key", "id"), "id", "class")
         several = classed.groupBy("key").agg(
             F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")
         ).filter("lo <> hi").select("key", "n")
-        firsts = self.members.filter(F.col("rep") == F.col("id")).select("id", "size").dropDuplicates(["id"])
-        return materialise(classed.join(several, "key").join(firsts, "id"), "mixed")
+        self.groups = materialise(classed.join(several, "key"), "mixed")
+        return self.groups
 
     def compare(self, mixed: DataFrame, best: bool) -> None:
         """Verify pairs of different classes inside the mixed groups, block by block.
 
         Small groups share most of their pairs with other groups, so their pairs are made distinct
-        before sketches are looked up; larger ones carry sketches, as most of their pairs fall.
+        before sketches are looked up; larger ones carry short sketches, as most of their pairs fall.
         """
         percent = self.percent
         order = ["key", "x", "y"]
-        sketches = self.sketches()
-        rest = mixed.filter(F.col("n") > SMALL).join(sketches, "id")
+        rest = mixed.filter(F.col("n") > SMALL).join(self.firsts("fold").withColumnRenamed("fold", "sketch"), "id")
         middle = rest.filter(F.col("n") <= BLOCK).select("key", "id", "class", "size", "sketch", F.lit(0).alias("part"))
         middle = middle.withColumns({"x": F.lit(0), "y": F.lit(0)})
         # Groups above one block: every pair of parts is one block.
@@ -369,19 +473,16 @@ class Join:
         blocks = middle.unionByName(large).repartition(*order).sortWithinPartitions(*order)
         pairs = blocks.mapInArrow(compare_blocks(percent, best), "a long, b long")
         if not best:
-            small = mixed.filter(F.col("n") <= SMALL).select("key", "id", "class", "size", F.lit(0).alias("part"))
+            sized = mixed.filter(F.col("n") <= SMALL).join(self.firsts("fold").select("id", "size"), "id")
+            small = sized.select("key", "id", "class", "size", F.lit(0).alias("part"))
             small = small.withColumns({"x": F.lit(0), "y": F.lit(0)}).repartition(*order).sortWithinPartitions(*order)
-            pairs = pairs.union(self.unrefuted(small.mapInArrow(compare_blocks(percent, False), "a long, b long"), sketches))
-        self.verify(pairs)
+            pairs = pairs.union(small.mapInArrow(compare_blocks(percent, False), "a long, b long"))
+        self.verify(self.unrefuted(pairs))
 
-    def unrefuted(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-        """Distinct pairs whose sketches differ in few enough bits."""
+    def unrefuted(self, pairs: DataFrame) -> DataFrame:
+        """Distinct pairs whose sketches differ in few enough bits: the short ones first."""
         bands = Bands(self.percent)
-        sizes = self.members.select("id", "size").dropDuplicates(["id"]).join(sketches, "id")
-        sided = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        for side in "ab":
-            told = sizes.select(F.col("id").alias(side), F.col("size").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
-            sided = sided.join(told, side)
+        sided = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
 
         def run(batches):
             for batch in batches:
@@ -393,7 +494,14 @@ class Join:
                         keep.append(i)
                 yield [[a[i] for i in keep], [b[i] for i in keep]]
 
-        return map_rows(sided.select("a", "b", "na", "nb", "sa", "sb"), run, "a long, b long")
+        for sketch in ("fold", "sketch"):
+            for side in "ab":
+                told = self.firsts(sketch).select(
+                    F.col("id").alias(side), F.col("size").alias(f"n{side}"), F.col(sketch).alias(f"s{side}")
+                )
+                sided = sided.join(told, side)
+            sided = map_rows(sided.select("a", "b", "na", "nb", "sa", "sb"), run, "a long, b long")
+        return sided
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -431,19 +539,6 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
-def groups_of(keyed: DataFrame) -> DataFrame:
-    """Rows (key, id) that share their key, with ``pivot``, the smallest id of the group."""
-    order = Window.partitionBy("key").orderBy("id")
-    # Running values over sorted rows: no group is held in memory.
-    return (
-        keyed.withColumn("before", F.lag("id").over(order))
-        .withColumn("after", F.lead("id").over(order))
-        .withColumn("pivot", F.first("id").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .filter(F.col("before").isNotNull() | F.col("after").isNotNull())
-        .select("key", "id", "pivot")
-    )
-
-
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -457,9 +552,7 @@ def near_duplicates(
     known = docs.filter(F.col(id_column).isNotNull())
     join = Join(known, id_column, text, width, percent)
     # One partner each: most classes close here.
-    stars = join.groups.filter("id <> pivot")
-    nearest = stars.groupBy("id").agg(F.min("pivot").alias("b")).select(F.col("id").alias("a"), "b")
-    join.verify(join.unrefuted(nearest, join.sketches()))
+    join.verify(join.unrefuted(join.nearest()))
     # Then the closest member of another class, and at last all that are left.
     for best in (True, False):
         join.compare(join.mixed(), best)

@@ -76,7 +76,8 @@ def only_digits(text: str) -> str:
 def passes(kind: str, text: str) -> bool:
     """The check that a match of a base pattern must pass."""
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text.split("."))
+        # By length first: a part may have any number of zeros in front.
+        return all(len(p) <= 3 and int(p or "0") <= 255 for p in (part.lstrip("0") for part in text.split(".")))
     digits = only_digits(text)
     if kind == "card":
         return 14 <= len(digits) <= 19 and luhn(digits)
@@ -120,19 +121,34 @@ def plain_address(text: str) -> str:
     return _SPELLED_DOT.sub(".", _SPELLED_AT.sub("@", text))
 
 
+class Covered:
+    """Code points of a text that lie in a span, so that overlaps are found without comparing spans."""
+
+    def __init__(self, text: str, spans: list[tuple[int, int]]):
+        self.marks = bytearray(len(text))
+        for a, b in spans:
+            self.add(a, b)
+
+    def add(self, a: int, b: int) -> None:
+        self.marks[a:b] = b"\1" * (b - a)
+
+    def touches(self, a: int, b: int) -> bool:
+        return self.marks.find(1, a, b) >= 0
+
+
 def candidates(text: str) -> list[tuple[str, int, int, int]]:
     """Spans (kind, start, end, label): 1 an example, 0 a counter-example, -1 unknown."""
     held = {"0": _DIGIT.search(text) is not None, "@": "@" in text, "at": _SPELLED_AT.search(text) is not None}
     if not any(held.values()):
         return []
     spans = {(k, a, b): int(ok) for k, a, b, ok in matches(text) if ok or k != "card" or b - a >= 12}
-    taken = [(a, b) for (_, a, b), ok in spans.items() if ok]
+    taken = Covered(text, [(a, b) for (_, a, b), ok in spans.items() if ok])
     for kind, gate, pattern in _WIDE:
         if not held[gate]:
             continue
         for m in pattern.finditer(text):
             a, b = m.span()
-            if (kind, a, b) in spans or any(a < y and x < b for x, y in taken):
+            if (kind, a, b) in spans or taken.touches(a, b):
                 continue
             inside = kind != "email" and (a and text[a - 1].isalnum() or b < len(text) and text[b].isalnum())
             spans[(kind, a, b)] = 0 if inside or fails(kind, m.group()) else -1
@@ -154,7 +170,7 @@ def rewritten(kind: str, text: str, cued: bool) -> list[tuple[str, int]]:
         bad = [f"{local}@{labels[0]}", f"{local[:-1]}\xe9@{labels[0]}", f"{local}\xe9@{number}"]
         bad += [f"{local} (at) {number}", f"{local}[at]{number}"]
     elif kind == "ip":
-        parts = [str(int(p)) for p in text.split(".")]
+        parts = [p.lstrip("0") or "0" for p in text.split(".")]
         wrong = [str(256 + int(parts[0])), *parts[1:]]
         signs = ("[.]", "(.)", " [dot] ", " (dot) ", "[dot]")
         # Short numbers are rare in random addresses, not in those of hosts.
@@ -410,9 +426,11 @@ def spans(text: str | None, model: PersonalModel) -> list[tuple[str, int, int, b
     more = [c for c in found if c[3] != 1 and c[0] in model.thresholds and not fails(c[0], text[c[1] : c[2]])]
     if more:
         p = model.probabilities(np.array([features(text, *c[:3]) for c in more]))
+        taken = Covered(text, [(a, b) for _, a, b, _, _ in out])
         for i in np.argsort(-p, kind="stable"):
             kind, a, b, _ = more[i]
-            if p[i] >= model.thresholds[kind] and not any(a < s[2] and s[1] < b for s in out):
+            if p[i] >= model.thresholds[kind] and not taken.touches(a, b):
+                taken.add(a, b)
                 out.append((kind, a, b, False, float(p[i])))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

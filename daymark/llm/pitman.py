@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daymark.llm.common import mix64, runs, slices, word_hashes
+from daymark.llm.messages import pack, unpack
 from daymark.session import scratch_path
 
 #: Tokens of a chunk of texts, tokens that a shard stands for, words of a range.
@@ -50,27 +51,6 @@ _MESSAGE = pa.schema([("kind", pa.string()), ("to", pa.int64()), ("src", pa.int6
 ENCODED = "tokens long, words long, heavy array<struct<word:long,n:long>>, " + MESSAGE
 
 
-def pack(values: np.ndarray) -> bytes:
-    """An array as bytes: its smallest integer type, byte planes, compressed."""
-    values = np.ascontiguousarray(values)
-    if values.dtype.kind in "iu" and values.itemsize > 1 and len(values):
-        values = values.astype(np.promote_types(np.min_scalar_type(values.min()), np.min_scalar_type(values.max())))
-    if not len(values):
-        return f"{values.dtype.str}:0:".encode()
-    planes = values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
-    return f"{values.dtype.str}:{len(values)}:".encode() + pa.compress(planes, codec="zstd", asbytes=True)
-
-
-def unpack(blob: bytes, kind: str | None = None) -> np.ndarray:
-    dtype, size, planes = blob.split(b":", 2)
-    dtype, size = np.dtype(dtype.decode()), int(size)
-    if not size:
-        return np.empty(0, kind or dtype)
-    flat = pa.decompress(planes, decompressed_size=size * dtype.itemsize, codec="zstd", asbytes=True)
-    values = np.frombuffer(flat, np.uint8).reshape(dtype.itemsize, size).T.copy().view(dtype).reshape(size)
-    return values.astype(kind) if kind else values
-
-
 def batch_of(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _MESSAGE)] if rows else
                                       [pa.array([], f.type) for f in _MESSAGE], schema=_MESSAGE)

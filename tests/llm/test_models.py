@@ -259,6 +259,47 @@ def test_candidates_without_a_base_pattern_are_added(spark):
         assert not personal.spans(f"then where {span} the thing", model), span
 
 
+def test_addresses_with_very_many_zeros():
+    text = "host " + "0" * 5000 + "10.0.0.1 and 1." + "0" * 6000 + ".2.3 but not 1." + "9" * 5000 + ".2.3"
+    found = [(text[a:b], k) for k, a, b, base, _ in personal.spans(text, personal.PersonalModel()) if base]
+    assert [k for _, k in found] == ["ip", "ip"] and found[0][0].endswith("10.0.0.1")
+    assert list(personal.examples(text))
+
+
+def test_long_contact_lists_take_seconds():
+    import time
+
+    line = "Ann Lee, ann.lee{0}@example.org, +49 30 1234{1:04}, 10.0.{2}.{3}, bob (at) host (dot) org\n"
+    text = "".join(line.format(i, i % 9000, i % 256, i % 199) for i in range(110_000))
+    assert len(text) > 9_000_000
+    start = time.perf_counter()
+    found = personal.spans(text, personal.PersonalModel())
+    assert len(found) == 330_000 and time.perf_counter() - start < 120
+
+
+def test_selected_spans_by_brute_force(spark):
+    """Base spans, then candidates by falling score that overlap nothing chosen so far."""
+    rng = random.Random(7)
+    pieces = ["ann@ex.org", "+49 30 1234567", "10.0.0.1", "4111 1111 1111 1111", "bob (at) host (dot) org", "1[.]2[.]3[.]4",
+              "call 030 1234567", "+1 (555) 010-9999 12", "2024-01-02 10", "\xe9va@\xfcmit.de", "x", "tel 0049301234567"]
+    docs = spark.createDataFrame(
+        [(i, " ".join(rng.choice(pieces) for _ in range(8))) for i in range(400)], "doc_id long, text string"
+    )
+    model = personal.train(docs)
+    model.thresholds = {k: 0.2 for k in personal.KINDS}
+    for row in docs.limit(60).collect():
+        text = row["text"]
+        found = personal.candidates(text)
+        want = [(k, a, b, True) for k, a, b, label in found if label == 1]
+        rest = [(k, a, b) for k, a, b, label in found if label != 1 and not personal.fails(k, text[a:b])]
+        scored = sorted(((-model.probabilities(np.array([personal.features(text, *c)]))[0], n) for n, c in enumerate(rest)))
+        for score, n in scored:
+            k, a, b = rest[n]
+            if -score >= 0.2 and all(b <= x or y <= a for _, x, y, _ in want):
+                want.append((k, a, b, False))
+        assert sorted(want) == sorted((k, a, b, base) for k, a, b, base, _ in personal.spans(text, model))
+
+
 def test_personal_edges(edge, nothing):
     model = personal.train(edge)
     out = personal.find_personal(edge, model)

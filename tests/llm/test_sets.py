@@ -11,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-import corpus_pipeline
 from daymark.llm import bpe, exact, lines, mixing, near, topk
+from daymark.llm import pipeline as corpus_pipeline
 
 BLANK = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -54,6 +54,25 @@ def test_exact_edges(edge, nothing):
     assert exact.find_copies(nothing).count() == 0 and exact.drop_copies(nothing).count() == 0
 
 
+def test_exact_copies_over_three_levels(spark, monkeypatch):
+    """Few buckets a level: what does not fit is spilled and dealt again, twice."""
+    monkeypatch.setattr(exact, "FAN_OUT", 3)
+    written, real = [], exact.materialise
+    monkeypatch.setattr(exact, "materialise", lambda df, name: written.append(name) or real(df, name))
+    texts = [f"text {i % 90} " * 20 for i in range(180)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = exact.find_copies(docs, bucket_bytes=2000).collect()
+    assert written.count("spilled") >= 2
+    assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in got} == {(i, i % 90, 2) for i in range(180)}
+
+
+def test_which_of_equal_rows_stays(spark):
+    rows = [(1, "same", f"note {i}") for i in range(6)] + [(2, "same", "later"), (None, "lone", "a"), (None, "lone", "b")]
+    schema = "doc_id long, text string, __sha256 string"
+    one, two = (sorted(map(str, exact.drop_copies(spark.createDataFrame(r, schema).repartition(3)).collect())) for r in (rows, rows[::-1]))
+    assert one == two and len(one) == 2
+
+
 def shingle_strings(text, width):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
     if not words:
@@ -173,6 +192,38 @@ def test_mixture_meets_targets_and_repeats(spark, monkeypatch):
     assert mixed.columns == docs.columns and mixed.count() == sum(r[5] for r in first)
 
 
+def test_mixed_rows_are_the_copies(spark):
+    """Each row as often as its document is taken; rows that differ in one column only stay apart."""
+    rows = [(i, "w " * (1 + i % 9), f"s{i % 3}", None if i % 5 else "x") for i in range(400)]
+    rows += [(1000, "w w w w", "s0", None), (1000, "w w w w", None, "s0"), (None, "w w", "s1", "a"), (None, "w w", "s1", None), (None, "w w", "s1", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __number string").repartition(5)
+    taken = {r["doc_id"]: r["copies"] for r in mixing.copies(docs).collect() if r["doc_id"] is not None and r["doc_id"] < 1000}
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    seen = defaultdict(int)
+    for r in mixed.collect():
+        seen[tuple(r)] += 1
+    assert set(seen) <= set(rows)
+    assert all(seen[r] == taken[r[0]] for r in rows[:400])
+    # Everything three times where the target allows it, so no row can hide another.
+    every = spark.createDataFrame([(7, "w w", "a", None), (7, "w w", "a", "x"), (8, "v " * 400, "b", None)], docs.schema)
+    assert {tuple(r) for r in mixing.mix(every).collect()} >= {(7, "w w", "a", None), (7, "w w", "a", "x")}
+
+
+def test_taken_words_meet_targets_on_the_tables(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    taken, target, size = defaultdict(int), {}, defaultdict(int)
+    for r in mixing.copies(docs).collect():
+        assert 0 <= r["copies"] <= 3
+        taken[r["source"]] += r["copies"] * r["size"]
+        size[r["source"]] += r["size"]
+        target[r["source"]] = r["target"]
+    assert sum(target.values()) == pytest.approx(sum(size.values())) and len(target) > 5
+    for s in target:
+        assert taken[s] == pytest.approx(target[s], rel=0.05)
+
+
 def test_rounding_keeps_words_and_expectations():
     rng = np.random.default_rng(0)
     sizes = np.sort(rng.integers(1, 50, 12).astype(float))[::-1]
@@ -317,6 +368,31 @@ def test_pipeline_stages(spark, edge, nothing, prose, tmp_path):
         some.count()
 
 
+def test_stages_leave_other_columns_alone(spark, prose, nothing):
+    """Columns that are called like those the stages work with come back as they were."""
+    extra = ["score", "lang_pred", "__row", "__times", "__copy", "__held", "__sha256", "__number", "id", "n_tokens"]
+    rows = [(i, " ".join(prose(i, 30)), "aa", "s", 5, *[float(i * 100 + k) for k in range(len(extra))]) for i in range(40)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` double" for c in extra)
+    docs = spark.createDataFrame(rows, schema)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        assert {tuple(r) for r in out.collect()} <= set(rows) and out.count() > 10
+    assert {tuple(r) for r in corpus_pipeline.keep_language(spark, docs, "").collect()} == set(rows)
+
+
+def test_a_group_hangs_in_a_tree(monkeypatch):
+    monkeypatch.setattr(near, "FAN", 3)
+    at = np.arange(40)
+    up = near.parents(at)
+    assert (up[1:] < at[1:]).all() and up[0] == 0 and np.bincount(up[1:]).max() <= 2 * 4
+    keys = np.array([5] * 10 + [7] + [9] * 30)
+    ids = np.arange(41) * 2
+    hung = near.hung(keys, ids)
+    assert hung[0] == 0 and hung[10] == 20 and hung[11] == 22 and (hung <= ids).all()
+    assert ((hung >= 22) == (ids >= 22)).all()
+
+
 def test_near_stage_takes_ids_of_32_bits(spark, prose):
     schema = "doc_id {}, text string, lang string, source string, n_chars long"
     rows = [(i, t, "aa", "s", len(t)) for i, t in near_rows(prose)]
