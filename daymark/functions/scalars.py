@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping
 
 from pyspark.sql import Column
@@ -38,6 +39,14 @@ def years_before(day: Column, years: int) -> Column:
     return F.add_months(day, -12 * years)
 
 
+def years_back(day: dt.date, years: int) -> dt.date:
+    """Like :func:`years_before`, of a plain date."""
+    try:
+        return day.replace(year=day.year - years)
+    except ValueError:
+        return day.replace(year=day.year - years, day=28)
+
+
 def days_after(day: Column, days: Column | int) -> Column:
     return F.date_add(day, days)
 

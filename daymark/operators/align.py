@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from daymark.functions import scalars as S
@@ -64,6 +64,37 @@ def check_has_values(df: DataFrame, columns: Sequence[str], keys: Sequence[str]
     return df
 
 
+def observed(
+    df: DataFrame, columns: Sequence[str], keys: Sequence[str] = SERIES, order: str = "date"
+) -> tuple[DataFrame, Observation]:
+    """``df`` unchanged, and what the job that writes it finds out on the way.
+
+    For filled frames: a series whose last row lacks a value has none at all. :func:`raise_for` turns the
+    findings into the errors of :func:`check_unique` and :func:`check_has_values`, without a job.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    repeated = F.coalesce(F.lag(order).over(w) == F.col(order), F.lit(False))
+    marked = df.withColumns({"_repeated": repeated, "_last": F.lead(order).over(w).isNull()})
+    series = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+    place = F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), F.col(k).cast("string")) for k in (*keys, order)])
+    findings = [F.count("*").alias("rows"), F.min(F.when(F.col("_repeated"), place)).alias("repeated")]
+    findings += [F.min(F.when(F.col("_last") & F.col(c).isNull(), series)).alias(f"empty {c}") for c in columns]
+    seen = Observation()
+    return marked.observe(seen, *findings).drop("_repeated", "_last"), seen
+
+
+def raise_for(seen: Observation) -> None:
+    """Raise what an observed write has found."""
+    found = seen.get
+    if found["repeated"] is not None:
+        raise ValueError(f"duplicate rows for {found['repeated']}")
+    empty = {k.removeprefix("empty "): v for k, v in found.items() if k.startswith("empty ") and v is not None}
+    if empty:
+        series = min(empty.values())
+        names = [c for c, v in empty.items() if v == series]
+        raise ValueError(f"no value in column(s) {', '.join(names)} of series {series}")
+
+
 def left_align(spine: DataFrame, *series: DataFrame, on: Sequence[str] = ("date",)) -> DataFrame:
     """Left equi-joins of ``series`` onto ``spine``.
 

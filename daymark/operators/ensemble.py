@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel, inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -17,8 +20,8 @@ from pyspark.sql import functions as F
 
 from daymark.functions import draws
 from daymark.functions import scalars as S
+from daymark.operators import foldfit, oversample
 from daymark.operators import folds as fd
-from daymark.operators import oversample
 from daymark.session import materialise, scratch_path, shared_folder
 
 # Learner settings and vote weights.
@@ -39,8 +42,15 @@ MAX_FIT_ROWS = 50_000
 
 def soft_vote(p_lr: Column, p_gbm: Column, p_rf: Column) -> Column:
     """Weighted mean of the members' P(up)."""
-    w = VOTE_WEIGHTS
-    return (p_lr * w["lr"] + p_gbm * w["gbm"] + p_rf * w["rf"]) / sum(w.values())
+    return vote_of({"lr": p_lr, "gbm": p_gbm, "rf": p_rf})
+
+
+def vote_of(probabilities: dict[str, Column]) -> Column:
+    """Weighted mean of P(up) of the members that are present."""
+    total = F.lit(0.0)
+    for member, p in probabilities.items():
+        total = total + p * VOTE_WEIGHTS[member]
+    return total / sum(VOTE_WEIGHTS[m] for m in probabilities)
 
 
 def voted_class(p_up: Column) -> Column:
@@ -195,6 +205,11 @@ def fold_rows(
     return rows.select("features", "target", weight.alias("weight")), weights.n_train, PipelineModel([scaler, assembler])
 
 
+def fit_linear(data: FoldData, folds: Sequence[int] | None = None) -> dict[int, foldfit.Linear]:
+    """The logistic member of all folds, fitted side by side in shared passes over the rows."""
+    return foldfit.fit_folds(data, folds, C, L1_RATIO)
+
+
 def fit_fold(
     data: FoldData,
     fold: int,
@@ -202,36 +217,44 @@ def fit_fold(
     smote: bool = False,
     task_bytes: int = TASK_BYTES,
     max_fit_rows: int = MAX_FIT_ROWS,
+    linear: dict[int, foldfit.Linear] | None = None,
 ) -> PipelineModel:
-    """Fit the chosen members for one fold and chain them behind the fold's standardiser."""
+    """Fit the chosen members for one fold and chain them behind the fold's standardiser.
+
+    ``linear`` holds regressions fitted for several folds at once. Oversampled rows are a fold's own,
+    so there the logistic member is fitted by itself.
+    """
+    shared: dict[str, object] = {}
+    if "lr" in members and not smote:
+        shared["lr"] = (linear or fit_linear(data, [fold]))[fold].stage(data.columns)
+    alone = [m for m in members if m not in shared]
     rows, n_train, prepared = fold_rows(data, fold, smote, task_bytes, max_fit_rows)
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    n = len(data.columns)
-    learners = {
-        "lr": lambda: logistic(n_train),
-        "gbm": lambda: boosted_trees(n),
-        "rf": lambda: random_forest(n),
-    }
-    rows.count()
-    fit = inheritable_thread_target(rows.sparkSession)(lambda m: learners[m]().fit(rows))
-    try:
-        with ThreadPoolExecutor(max_workers=len(members)) as pool:
-            fitted: list[Model] = list(pool.map(fit, members))
-    finally:
-        rows.unpersist()
-    return PipelineModel([*prepared.stages, *fitted])
+    if alone:
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        n = len(data.columns)
+        learners = {
+            "lr": lambda: logistic(n_train),
+            "gbm": lambda: boosted_trees(n),
+            "rf": lambda: random_forest(n),
+        }
+        rows.count()
+        fit = inheritable_thread_target(rows.sparkSession)(lambda m: learners[m]().fit(rows))
+        try:
+            with ThreadPoolExecutor(max_workers=len(alone)) as pool:
+                shared |= dict(zip(alone, pool.map(fit, alone)))
+        finally:
+            rows.unpersist()
+    return PipelineModel([*prepared.stages, *[shared[m] for m in members]])
 
 
 def score(model: PipelineModel, df: DataFrame, members: Sequence[str] = MEMBERS) -> DataFrame:
-    """Add ``p_<member>`` for each member, and the vote when all members are present."""
-    scored = model.transform(df).withColumns(
-        {f"p_{m}": vector_to_array(F.col(f"prob_{m}"))[1] for m in members}
+    """Add ``p_<member>`` for each member, their weighted vote and its class."""
+    scored = model.transform(df)
+    # The shared regression gives its probability itself.
+    scored = scored.withColumns(
+        {f"p_{m}": vector_to_array(F.col(f"prob_{m}"))[1] for m in members if f"p_{m}" not in scored.columns}
     )
-    if set(members) == set(MEMBERS):
-        p_up = soft_vote(F.col("p_lr"), F.col("p_gbm"), F.col("p_rf"))
-        scored = scored.withColumn("probability_up", p_up)
-    else:
-        scored = scored.withColumn("probability_up", F.col(f"p_{members[0]}"))
+    scored = scored.withColumn("probability_up", vote_of({m: F.col(f"p_{m}") for m in members}))
     return scored.withColumn("predicted", voted_class(F.col("probability_up")))
 
 
@@ -251,6 +274,37 @@ def use_checkpoints(spark) -> None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
+def fold_keys(data: FoldData, members: Sequence[str], smote: bool, max_fit_rows: int) -> dict[int, str]:
+    """A name for each fold that changes with the settings, the fold's years and the rows in them.
+
+    A new year leaves the names of earlier folds as they are; a corrected row changes those of its own
+    year and of all later ones.
+    """
+    columns = [c for c in ("series_id", "date", "target") if c in data.frame.columns] + data.columns
+    # Sums of row hashes do not depend on the order of the rows.
+    summed = F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))
+    years = {r.year: (r.n, str(r.h)) for r in data.frame.groupBy("year").agg(F.count("*").alias("n"), summed.alias("h")).collect()}
+    learners = [C, L1_RATIO, GBM_DEPTH, GBM_RATE, GBM_TREES, GBM_SUBSAMPLE, GBM_LEAF, RF_TREES, RF_DEPTH, RF_LEAF, SEED]
+    settings = [list(members), smote, max_fit_rows if smote else 0, data.columns, learners, SMOTE_RATIO]
+    keys = {}
+    for fold in data.folds:
+        y = data.years
+        taken = [v for v in sorted(years) if y.train_from <= v <= y.train_to or y.test_from <= v <= min(y.test_to, fold)]
+        told = json.dumps([settings, fold, [(v, *years[v]) for v in taken]])
+        keys[fold] = f"{fold}-{hashlib.sha256(told.encode()).hexdigest()[:24]}"
+    return keys
+
+
+def finished_folds(spark, folder: str) -> set[str]:
+    """Names of the folds whose mark has been written; it is written after everything else."""
+    try:
+        return {r.value for r in spark.read.text(f"{folder}/*/done").collect()}
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return set()
+
+
 def walk_forward(
     data: FoldData,
     members: Sequence[str] = MEMBERS,
@@ -258,21 +312,28 @@ def walk_forward(
     concurrent_folds: int = 4,
     task_bytes: int = TASK_BYTES,
     max_fit_rows: int = MAX_FIT_ROWS,
+    resume: str | None = None,
 ) -> WalkForward:
     """Fit and test every fold.
 
     Fits on daily data are short jobs, so a few folds run side by side to keep executors busy.
-    A fold writes its test rows as soon as it is scored: the result is a table, not the union
-    of many live plans.
+    A fold writes its test rows and its model as soon as it is scored: the result is a table, not the
+    union of many live plans. With ``resume``, a shared folder, folds that were finished there with the
+    same settings and rows are read instead of fitted.
     """
     spark = data.frame.sparkSession
     use_checkpoints(spark)
-    out = scratch_path(spark, "oof")
+    out = resume or scratch_path(spark, "oof")
+    keys = fold_keys(data, members, smote, max_fit_rows) if resume else {f: str(f) for f in data.folds}
+    done = finished_folds(spark, out) if resume else set()
+    missing = [f for f in data.folds if keys[f] not in done]
+    linear = fit_linear(data, missing) if "lr" in members and not smote and missing else None
 
     def run(fold: int) -> PipelineModel:
-        model = fit_fold(data, fold, members, smote, task_bytes, max_fit_rows)
+        model = fit_fold(data, fold, members, smote, task_bytes, max_fit_rows, linear)
         test = data.frame.filter(F.col("year") == fold)
         kept = [c for c in ("series_id", "date") if c in test.columns]
+        folder = f"{out}/{keys[fold]}"
         (
             score(model, test, members)
             .select(
@@ -283,13 +344,19 @@ def walk_forward(
                 "probability_up",
                 *[f"p_{m}" for m in members],
             )
-            .write.parquet(f"{out}/fold={fold}")
-        )
+            .write.mode("overwrite").parquet(f"{folder}/rows")
+        )
+        if resume:
+            model.write().overwrite().save(f"{folder}/model")
+            spark.createDataFrame([(keys[fold],)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/done")
         return model
 
     with ThreadPoolExecutor(max_workers=concurrent_folds) as pool:
-        models = list(pool.map(inheritable_thread_target(spark)(run), data.folds))
-    return WalkForward(spark.read.parquet(out).drop("fold"), models[-1], data.columns, data.folds)
+        fitted = dict(zip(missing, pool.map(inheritable_thread_target(spark)(run), missing)))
+    last = data.folds[-1]
+    model = fitted[last] if last in fitted else PipelineModel.load(f"{out}/{keys[last]}/model")
+    rows = spark.read.parquet(*[f"{out}/{keys[f]}/rows" for f in data.folds])
+    return WalkForward(rows, model, data.columns, data.folds)
 
 
 def history_report(predictions: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,22 +128,26 @@ def class_weights(df: DataFrame, folds: Sequence[int], years: Years) -> DataFram
 def year_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, squared deviations and range of each column in each year.
 
-    Columns become rows first: five narrow aggregates with a map-side combine, where one wide
-    aggregate per column would outgrow generated code.
+    A year's columns are summarised as one vector, with a map-side combine that merges means and
+    deviations; only the small result has a row for each column. Values are taken from the columns'
+    overall means, a scalar subquery, so that large ones do not cost digits of the deviations.
     """
-    clean = df.select("year", *[S.finite_or_zero(F.col(c).cast("double")).alias(c) for c in columns])
-    return (
-        clean.unpivot("year", list(columns), "feature", "v")
-        .groupBy("year", "feature")
-        .agg(
-            F.count("*").alias("n"),
-            F.avg("v").alias("mean"),
-            F.var_pop("v").alias("var"),
-            F.min("v").alias("lo"),
-            F.max("v").alias("hi"),
-        )
-        .withColumn("m2", F.col("var") * F.col("n"))
+    usable = {c: S.finite_or_zero(F.col(c).cast("double")) for c in columns}
+    centre = df.agg(F.array(*[F.avg(v) for v in usable.values()]).alias("c")).scalar()
+    placed = df.select("year", *[v.alias(f"_{i}") for i, v in enumerate(usable.values())], centre.alias("_centre"))
+    shifted = F.array(*[F.col(f"_{i}") - F.col("_centre")[i] for i in range(len(columns))])
+    wanted = Summarizer.metrics("mean", "variance", "min", "max").summary(array_to_vector(shifted))
+    per_year = placed.groupBy("year").agg(
+        F.count("*").alias("n"), wanted.alias("found"), F.first("_centre").alias("centre")
     )
+    parts = {"mean": "mean", "var": "variance", "lo": "min", "hi": "max"}
+    arrays = [vector_to_array(F.col(f"found.{c}")).alias(a) for a, c in parts.items()]
+    named = F.array(*[F.lit(c) for c in columns]).alias("feature")
+    rows = per_year.select("year", "n", *arrays, named, "centre")
+    rows = rows.select("year", "n", F.inline(F.arrays_zip("feature", *parts, "centre")))
+    back = {c: F.col(c) + F.col("centre") for c in ("mean", "lo", "hi")}
+    # The summary's variance is the sample's.
+    return rows.withColumns({**back, "m2": F.col("var") * (F.col("n") - 1)}).drop("centre")
 
 
 def scaler_stats(df: DataFrame, columns: Sequence[str], folds: Sequence[int], years: Years) -> DataFrame:

@@ -1,150 +1,248 @@
 """Optional minority oversampling: interpolate between a minority row and one of its neighbours.
 
-Neighbours are exact. Minority rows are cut into cells by vector norm. By the triangle inequality
-two rows are at least as far apart as their norms, so once a row knows some five neighbours, it
-only has to visit cells whose norms lie within the fifth distance. A task compares one bounded
-chunk of rows with one bounded cell and returns five candidates per row, never the pairs.
+Neighbours are exact, found by pivots. Some points are drawn as pivots and every point belongs to the
+nearest one; a pivot's points are cut into rings by their distance from it. A probe's nearest pivots,
+and its own ring, give it a first radius. It then only visits pivots and rings that can hold something
+closer: by the triangle inequality from the ring's distances, and by the plane halfway between the
+ring's pivot and its own. Inside a ring it is compared only with points whose distance from the
+pivot lies within the radius of its own. Pivots, rings and visits are tables; a task compares one
+bounded chunk of probes with one bounded ring and returns candidates, never the pairs.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark.accumulators import Accumulator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from daymark.functions import draws
+from daymark.operators import blocked
 from daymark.session import materialise
 
 # Fixed value: neighbours considered per minority row.
 NEIGHBOURS = 5
 
-CELL_ROWS = 2_000
-CHUNK_ROWS = 2_000
-INDEX_BUCKETS = 1_024
-# Probes compared with a cell at once: a distance table of a few megabytes.
-PROBE_STEP = 256
-
-
-def indexed(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Add a dense zero-based ``idx`` decided by the keys alone, without sorting all rows together."""
-    placed = rows.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(INDEX_BUCKETS)))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        placed.groupBy("_bucket")
-        .count()
-        .select("_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    )
-    inside = Window.partitionBy("_bucket").orderBy(*keys)
-    # At most INDEX_BUCKETS rows on the right.
-    return (
-        placed.join(F.broadcast(starts), "_bucket")
-        .withColumn("idx", F.col("_start") + F.row_number().over(inside) - 1)
-        .drop("_bucket", "_start")
-    )
+RING_ROWS, CHUNK_ROWS = 2_000, 4_000
+#: Most pivots; each chunk of points is compared with all of them.
+MOST_PIVOTS = 1_024
+#: Pairs compared at once, and the share by which bounds are widened for rounding.
+PAIR_STEP, SLACK = 1 << 19, 1e-9
+
+
+def indexed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add a dense zero-based ``idx``: the place of the row in the order of ``keys``."""
+    first, *ties = keys
+    placed = blocked.global_positions(rows.withColumn("_all", F.lit(0)), ["_all"], first, ties)
+    return placed.drop("_all").withColumnRenamed("position", "idx")
+
+
+def _matrix(table: pa.Table, name: str = "v") -> np.ndarray:
+    column = table.column(name).combine_chunks()
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of equally many rows, components added in order."""
+    out = np.zeros(len(a))
+    for column in range(a.shape[1]):
+        out += (a[:, column] - b[:, column]) ** 2
+    return out
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(a), len(b)))
+    for column in range(a.shape[1]):
+        out += (a[:, column, None] - b[None, :, column]) ** 2
+    return np.sqrt(out)
+
+
+PLACED = "idx bigint, v array<double>, pivot int, d double, radius double"
+
+
+def _place(k: int):
+    """Points of a chunk to their nearest pivot; ``radius`` holds at least ``k`` other pivots."""
+
+    def run(points: pa.Table, pivots: pa.Table) -> pa.Table:
+        pivots = pivots.sort_by("no")
+        gaps = _distances(_matrix(points), _matrix(pivots))
+        best = gaps.argmin(axis=1)
+        own = points.column("idx").to_numpy()[:, None] == pivots.column("pivot_idx").to_numpy()[None, :]
+        others = np.sort(np.where(own, np.inf, gaps), axis=1)
+        radius = others[:, k - 1] if others.shape[1] >= k else np.full(len(gaps), np.inf)
+        return pa.table(
+            {
+                "idx": points.column("idx"), "v": points.column("v"),
+                "pivot": pivots.column("no").to_numpy()[best].astype(np.int32),
+                "d": gaps[np.arange(len(gaps)), best], "radius": radius,
+            }
+        )
+
+    return run
+
+
+VISITS = "idx bigint, v array<double>, own int, own_ring bigint, pivot int, d double, radius double"
+
+
+def _visits(probes: pa.Table, pivots: pa.Table) -> pa.Table:
+    """Pivots whose points may lie within a probe's radius."""
+    pivots = pivots.sort_by("no")
+    a, b = _matrix(probes), _matrix(pivots)
+    gaps, radius = _distances(a, b), probes.column("radius").to_numpy()
+    number = pivots.column("no").to_numpy()
+    own = np.searchsorted(number, probes.column("pivot").to_numpy())
+    lo, hi = pivots.column("lo").to_numpy(), pivots.column("hi").to_numpy()
+    least = np.maximum(gaps - hi, lo - gaps)
+    between = _distances(b, b)[own]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        plane = (gaps**2 - gaps[np.arange(len(a)), own][:, None] ** 2) / (2 * between)
+    least = np.maximum(least, np.where(between > 0, plane, 0.0))
+    row, at = np.nonzero(least <= (radius * (1 + SLACK))[:, None] + SLACK * (1 + gaps))
+    return pa.table(
+        {
+            "idx": probes.column("idx").take(pa.array(row)), "v": probes.column("v").take(pa.array(row)),
+            "own": number[own[row]].astype(np.int32), "own_ring": probes.column("ring").take(pa.array(row)),
+            "pivot": number[at].astype(np.int32), "d": gaps[row, at], "radius": radius[row],
+        }
+    )
 
 
-def _closest(probes: pd.DataFrame, points: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The ``k`` nearest points of each probe, itself excluded, ties by index."""
-    if probes.empty or points.empty:
-        return pd.DataFrame({"idx": [], "neighbour": [], "distance": []})
-    points = points.sort_values("idx")
-    a, b = np.stack(probes["v"].to_numpy()), np.stack(points["v"].to_numpy())
-    left, right = probes["idx"].to_numpy(), points["idx"].to_numpy()
-    out = []
-    for start in range(0, len(a), PROBE_STEP):
-        ids, rows = left[start : start + PROBE_STEP], a[start : start + PROBE_STEP]
-        squared = np.zeros((len(rows), len(b)))
-        for column in range(b.shape[1]):
-            squared += (rows[:, column, None] - b[None, :, column]) ** 2
-        squared[ids[:, None] == right[None, :]] = np.inf
-        best = np.argsort(squared, axis=1, kind="stable")[:, :k]
-        distance = np.sqrt(np.take_along_axis(squared, best, axis=1)).ravel()
-        found = np.isfinite(distance)
-        out.append(
-            pd.DataFrame(
-                {
-                    "idx": np.repeat(ids, best.shape[1])[found],
-                    "neighbour": right[best].ravel()[found],
-                    "distance": distance[found],
-                }
-            )
-        )
-    return pd.concat(out, ignore_index=True)
-
-
-def _search(probes: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """Candidates for probes that carry the ``cell`` to visit."""
-    chunked = probes.withColumn("_chunk", F.floor(F.col("idx") / CHUNK_ROWS))
-    wanted = chunked.select("cell", "_chunk").distinct()
+FOUND = "idx bigint, neighbour bigint, square double"
+
+
+def _closest(k: int, counter: Accumulator | None):
+    """The ``k`` nearest points of a ring for each probe, itself excluded, ties by index.
+
+    ``d`` is the distance from the ring's pivot on both sides, so only points whose ``d`` lies within
+    the probe's radius of its own are compared.
+    """
+
+    def run(probes: pa.Table, points: pa.Table) -> pa.Table:
+        points = points.sort_by([("d", "ascending"), ("idx", "ascending")])
+        a, b = _matrix(probes), _matrix(points)
+        left, right = probes.column("idx").to_numpy(), points.column("idx").to_numpy()
+        ring, centre, radius = points.column("d").to_numpy(), probes.column("d").to_numpy(), probes.column("radius").to_numpy()
+        reach = radius * (1 + SLACK) + SLACK * (1 + centre)
+        first, stop = np.searchsorted(ring, centre - reach, "left"), np.searchsorted(ring, centre + reach, "right")
+        sizes = np.maximum(stop - first, 0)
+        if counter is not None:
+            counter.add(int(sizes.sum()))
+        out, start = [], 0
+        while start < len(a):
+            end = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), PAIR_STEP, "right")))
+            n = sizes[start:end]
+            row = np.repeat(np.arange(start, start + len(n)), n)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[row]
+            apart = left[row] != right[at]
+            row, at = row[apart], at[apart]
+            square = _squares(a[row], b[at])
+            order = np.lexsort((right[at], square, row))
+            row, at, square = row[order], at[order], square[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row, "left")
+            best = rank < k
+            out.append((left[row[best]], right[at[best]], square[best]))
+            start = end
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 2 + [np.empty(0)]
+        return pa.table(dict(zip(("idx", "neighbour", "square"), columns)))
+
+    return run
+
+
+def _both(one, other, function, keys: Sequence[str], schema: str, empty: pa.Schema) -> DataFrame:
+    """``function`` of the rows of both sides that share ``keys``; nothing where one side is missing."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return function(left, right) if left.num_rows and right.num_rows else empty.empty_table()
+
+    return one.groupBy(*keys).cogroup(other.groupBy(*keys)).applyInArrow(run, schema)
+
+
+_EMPTY = {
+    PLACED: pa.schema([("idx", pa.int64()), ("v", pa.list_(pa.float64())), ("pivot", pa.int32()), ("d", pa.float64()), ("radius", pa.float64())]),
+    VISITS: pa.schema([("idx", pa.int64()), ("v", pa.list_(pa.float64())), ("own", pa.int32()), ("own_ring", pa.int64()),
+                       ("pivot", pa.int32()), ("d", pa.float64()), ("radius", pa.float64())]),
+    FOUND: pa.schema([("idx", pa.int64()), ("neighbour", pa.int64()), ("square", pa.float64())]),
+}
+
+
+def _search(probes: DataFrame, points: DataFrame, k: int, counter: Accumulator | None) -> DataFrame:
+    """Candidates for probes that carry the ``pivot`` and ``ring`` to visit."""
+    keys = ["pivot", "ring", "_chunk"]
+    probes = probes.withColumn("_chunk", F.floor(F.col("idx") / CHUNK_ROWS))
+    wanted = probes.select(*keys).distinct()
     # Fresh column names for the right side: both sides descend from the same table.
-    copies = points.join(wanted, "cell").select(*[F.col(c).alias(c) for c in ("cell", "_chunk", "idx", "v")])
-    return (
-        chunked.select("cell", "_chunk", "idx", "v")
-        .groupBy("cell", "_chunk")
-        .cogroup(copies.groupBy("cell", "_chunk"))
-        .applyInPandas(lambda a, b: _closest(a, b, k), "idx bigint, neighbour bigint, distance double")
-    )
+    copies = points.join(wanted, ["pivot", "ring"]).select(*[F.col(c).alias(c) for c in (*keys, "idx", "v", "d")])
+    sent = probes.select(*keys, "idx", "v", "d", "radius")
+    return _both(sent, copies, _closest(k, counter), keys, FOUND, _EMPTY[FOUND])
 
 
 def _best(candidates: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("idx").orderBy("distance", "neighbour")
+    w = Window.partitionBy("idx").orderBy("square", "neighbour")
     return candidates.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
 
 
-def nearest(points: DataFrame, probes: DataFrame, k: int = NEIGHBOURS, cell_rows: int = CELL_ROWS) -> DataFrame:
+def nearest(
+    points: DataFrame,
+    probes: DataFrame,
+    k: int = NEIGHBOURS,
+    ring_rows: int = RING_ROWS,
+    counter: Accumulator | None = None,
+) -> DataFrame:
     """Exact ``k`` nearest ``points`` of every probe: idx, neighbour, distance, rank.
 
-    Both sides have ``idx`` and ``v`` (array of double); probes are some of the points.
+    Both sides have a unique ``idx`` (points ``v``, array of double, too); probes are some of the points.
+    With fewer than ``k`` others a probe has all of them. ``counter`` adds up the pairs compared.
     """
-    spark = points.sparkSession
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x))
-    ordered = (
-        points.withColumn("norm", norm)
-        .repartitionByRange("norm", "idx")
-        .select("idx", "v", "norm", F.spark_partition_id().alias("_part"))
+    points = points.select("idx", "v")
+    n, last = points.agg(F.count("*"), F.max("idx")).first()
+    count = min(MOST_PIVOTS, n, max(k + 1, math.isqrt(n)))
+    chunk = F.floor(F.col("idx") / CHUNK_ROWS)
+    drawn = points.orderBy(F.xxhash64("idx", F.lit("pivot")), "idx").limit(count)
+    numbered = drawn.select(
+        (F.row_number().over(Window.orderBy("idx")) - 1).alias("no"), F.col("idx").alias("pivot_idx"), "v"
+    )
+    # At most MOST_PIVOTS rows; each chunk of CHUNK_ROWS points gets a copy of them.
+    pivots = materialise(numbered, "pivots")
+    chunks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit((last or 0) // CHUNK_ROWS).cast("bigint")))
+    placed = _both(
+        points.withColumn("_chunk", chunk), pivots.withColumn("_chunk", chunks), _place(k), ["_chunk"], PLACED, _EMPTY[PLACED]
+    )
+    ordered = materialise(blocked.global_positions(placed, ["pivot"], "d", ["idx"]), "placed")
+    # Rings of a pivot hold equally many points, or one less.
+    rings = F.ceil(F.col("members") / ring_rows)
+    members = ordered.groupBy("pivot").agg(
+        F.count("*").alias("members"), F.min("d").alias("lo"), F.max("d").alias("hi")
     )
-    ordered = materialise(ordered, "knn-ranges")
-    by_part = Window.partitionBy("_part").orderBy("norm", "idx")
     cells = materialise(
-        ordered.withColumn("_n", F.floor((F.row_number().over(by_part) - 1) / cell_rows)).select(
-            "idx", "v", "norm", F.format_string("%d-%d", "_part", "_n").alias("cell")
+        ordered.join(members.select("pivot", "members"), "pivot").select(
+            "idx", "v", "pivot", "d", "radius", F.floor(F.col("position") * rings / F.col("members")).alias("ring")
         ),
-        "knn-cells",
+        "rings",
+    )
+    spans = cells.groupBy("pivot", "ring").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    asked = cells.join(probes.select("idx").distinct(), "idx", "left_semi")
+
+    first = materialise(_best(_search(asked, cells, k, counter), k), "first-neighbours")
+    kth = first.groupBy("idx").agg(F.count("*").alias("_found"), F.max("square").alias("_far"))
+    nearer = F.when(F.col("_found") == k, F.sqrt("_far"))
+    told = asked.join(kth, "idx", "left").withColumn("radius", F.least("radius", F.coalesce(nearer, F.col("radius"))))
+    bounds = pivots.join(members.select(F.col("pivot").alias("no"), "lo", "hi"), "no").withColumn("_chunk", chunks)
+    visits = _both(
+        told.select("idx", "v", "pivot", "ring", "radius", chunk.alias("_chunk")), bounds, _visits, ["_chunk"], VISITS, _EMPTY[VISITS]
     )
-    spans = cells.groupBy("cell").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi"))
-    placed = cells.join(probes.select("idx"), "idx", "left_semi")
-
-    first = _best(_search(placed, cells, k), k)
-    # A probe whose own cell held fewer than k others has no radius yet and visits every cell.
-    radius = first.groupBy("idx").agg(F.count("*").alias("_found"), F.max("distance").alias("_far"))
-    reach = F.when(F.col("_found") == k, F.col("_far")).otherwise(F.lit(float("inf")))
-    # One row per cell: a few numbers for thousands of rows, kept on the driver in norm order.
-    table = spans.orderBy("lo", "hi").collect()
-    names = [r.cell for r in table]
-    lo, top = np.array([r.lo for r in table]), np.maximum.accumulate([r.hi for r in table])
-
-    @F.pandas_udf("struct<first: int, last: int>")
-    def visited(centre: pd.Series, distance: pd.Series) -> pd.DataFrame:
-        slack = 1e-9 * (1.0 + centre.abs())
-        start = np.searchsorted(top, centre - distance - slack, side="left")
-        stop = np.searchsorted(lo, centre + distance + slack, side="right") - 1
-        return pd.DataFrame({"first": start, "last": stop})
-
-    numbered = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "_no int, _to string")
-    outside = (
-        placed.join(radius, "idx", "left")
-        .withColumn("_span", visited("norm", F.coalesce(reach, F.lit(float("inf")))))
-        .filter("_span.first <= _span.last")
-        .withColumn("_no", F.explode(F.sequence("_span.first", "_span.last")))
-        .join(numbered, "_no")
-        .filter(F.col("_to") != F.col("cell"))
-        .select("idx", "v", F.col("_to").alias("cell"))
+    reach = F.col("radius") * (1 + SLACK) + SLACK * (1 + F.col("d"))
+    near = (F.col("d") - reach <= F.col("hi")) & (F.col("d") + reach >= F.col("lo"))
+    searched = (F.col("pivot") == F.col("own")) & (F.col("ring") == F.col("own_ring"))
+    elsewhere = visits.join(spans, "pivot").filter(near & ~searched).select("idx", "v", "pivot", "ring", "d", "radius")
+    more = _search(elsewhere, cells, k, counter)
+    return _best(first.select("idx", "neighbour", "square").unionByName(more), k).select(
+        "idx", "neighbour", F.sqrt("square").alias("distance"), "rank"
     )
-    return _best(first.select("idx", "neighbour", "distance").unionByName(_search(outside, cells, k)), k)
 
 
 def synthesise(minority: DataFrame, n_rows: int, wanted: int, seed: int, k: int = NEIGHBOURS) -> DataFrame:

@@ -51,27 +51,32 @@ def combine_sources(
     """Read the four series, check them, and bring them onto the price dates.
 
     Price and exchange rate look back from their own latest date, the rate from ``as_of``. The result
-    is written once and checked as written, so the sources are not read again for it.
+    is written once, and the job that writes it finds duplicates and columns without a value.
     """
     as_of = as_of or dt.date.today()
     keys = [sources.series_column] if sources.series_column else []
-    price = files.require_rows(files.read_price_csv(spark, sources.price_csv, keys=keys), "price series")
-    fx = files.require_rows(files.read_fx_csv(spark, sources.fx_csv), "exchange-rate series")
-    rate = files.read_observations_json(spark, sources.rate_json, multi_line=sources.multi_line_json)
+    price = files.read_price_csv(spark, sources.price_csv, keys=keys)
+    fx_rows = files.read_fx_csv(spark, sources.fx_csv)
+    asked = (S.years_back(as_of, LOOKBACK_YEARS), as_of)
+    rate = files.read_observations_json(spark, sources.rate_json, multi_line=sources.multi_line_json, dates=asked)
     trend = files.read_timeline_json(spark, sources.trend_json, multi_line=sources.multi_line_json)
 
     series = F.col(sources.series_column) if sources.series_column else F.lit(sources.series_id)
     price = align.lookback(price, LOOKBACK_YEARS).select(series.alias("series_id"), "date", "price")
-    fx = align.lookback(fx, LOOKBACK_YEARS)
-    rate = align.lookback(rate, LOOKBACK_YEARS, as_of=as_of).filter(F.col("date") <= F.lit(as_of))
+    fx = align.lookback(fx_rows, LOOKBACK_YEARS)
 
     daily_trend = align.upsample_daily(trend, ["trend_a", "trend_b"])
     combined = align.combine_daily(price, rate, fx, daily_trend, backward=backward)
     values = ["price", "rate", "fx", "trend_a", "trend_b"]
-    combined = materialise(combined.select("series_id", "date", *values), "combined")
     # A duplicate on any side has multiplied rows of the result.
-    align.check_unique(combined)
-    return align.check_has_values(combined, values)
+    checked, seen = align.observed(combined.select("series_id", "date", *values), values)
+    written = materialise(checked, "combined")
+    if not seen.get["rows"]:
+        raise ValueError("price series has no rows")
+    if seen.get["empty fx"] is not None:
+        files.require_rows(fx_rows, "exchange-rate series")
+    align.raise_for(seen)
+    return written
 
 
 def engineer(combined: DataFrame) -> DataFrame:
@@ -126,15 +131,17 @@ def train(
     members: Sequence[str] = ensemble.MEMBERS,
     stamp: dt.datetime | None = None,
     max_fit_rows: int = ensemble.MAX_FIT_ROWS,
+    resume: str | None = None,
 ) -> Trained:
     """Walk-forward training on an engineered frame (see :func:`engineer`).
 
-    With ``smote`` at most about ``max_fit_rows`` labelled rows of a fold are used for its fit.
+    With ``smote`` at most about ``max_fit_rows`` labelled rows of a fold are used for its fit. Folds that
+    an earlier training with the same settings and rows finished below ``resume`` are not fitted again.
     """
     rows = labels.binary_target(engineered)
     columns = features.model_columns(rows, feature_set)
     data = ensemble.prepare(rows, columns, years)
-    result = ensemble.walk_forward(data, members, smote, max_fit_rows=max_fit_rows)
+    result = ensemble.walk_forward(data, members, smote, max_fit_rows=max_fit_rows, resume=resume)
     summary, details = summarise_training(
         result.predictions, engineered, len(columns), years, stamp or dt.datetime.now()
     )
@@ -197,8 +204,16 @@ def latest(combined: DataFrame) -> DataFrame:
 
 
 def saved_metrics(spark: SparkSession, out: str) -> dict:
-    """First record of the saved summary, or a message if there is none."""
-    return sinks.first_record(spark, out, sinks.SUMMARY, SUMMARY_SCHEMA)
+    """First record of the published summary, or a message if there is none."""
+    run = sinks.published_run(spark, out)
+    if run is None:
+        return {"message": f"no finished run at {out}: train first"}
+    return sinks.first_record(spark, sinks.run_folder(out, run), sinks.SUMMARY, SUMMARY_SCHEMA)
+
+
+def published_model(spark: SparkSession, out: str) -> PipelineModel:
+    """The model of the published run; a missing one is a clear error."""
+    return load_model(spark, f"{sinks.published(spark, out)}/model")
 
 
 def run_pipeline(
@@ -211,19 +226,23 @@ def run_pipeline(
     feature_set: str = "all",
     smote: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """Combine, label, engineer, train, forecast, and write the six output tables and the model.
+    """Combine, label, engineer, train, forecast, and publish the six output tables and the model.
 
     Returns the engineered frame and the forecast. The two frames everything else is derived
-    from are written once and read back, so no later step repeats the source scans.
+    from are written once and read back, so no later step repeats the source scans. The tables go to
+    a folder of this run below ``out``, which readers see when all of them are there; finished folds
+    are kept beside the runs, so a stopped run is taken up where it stopped.
     """
     as_of = as_of or dt.date.today()
     combined = combine_sources(spark, sources, as_of)
     # The last test year is the current one.
     years = dataclasses.replace(years, test_to=min(years.test_to, as_of.year))
     engineered = materialise(engineer(combined), "engineered")
-    trained = train(engineered, years, feature_set, smote)
+    trained = train(engineered, years, feature_set, smote, resume=f"{out}/folds")
     predicted = forecast(trained.model, engineered, seed)
 
+    run = sinks.new_run()
+    root, out = out, sinks.run_folder(out, run)
     sinks.write_csv(combined.orderBy("series_id", "date"), out, sinks.COMBINED)
     sinks.write_csv(labels.add_target(combined).orderBy("series_id", "date"), out, sinks.WITH_TARGET)
     sinks.write_csv(engineered.orderBy("series_id", "date"), out, sinks.ENGINEERED)
@@ -232,4 +251,6 @@ def run_pipeline(
     sinks.write_csv(predicted.orderBy("series_id", "date"), out, sinks.FORECAST)
     sinks.write_csv(trained.summary, out, sinks.SUMMARY)
     save_model(trained.model, f"{out}/model")
+    names = [sinks.COMBINED, sinks.WITH_TARGET, sinks.ENGINEERED, sinks.HISTORY, sinks.FORECAST, sinks.SUMMARY, "model"]
+    sinks.publish(spark, root, run, names)
     return engineered, predicted

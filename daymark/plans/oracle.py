@@ -240,6 +240,34 @@ EVENTS = """
 events_keyed as (select event_type as series_id, ts, event_id, value as price from events)"""
 
 
+def fraction(what: str) -> str:
+    return f"((('0x' || substr(md5(concat_ws('|', id::varchar, '{what}', '{SEED}')), 1, 13))::bigint + 0.5) / 4503599627370496.0)"
+
+
+SMOTE = f"""{SCORED},
+points as (
+  select row_id::varchar as series_id, date, actual as target, probability_up as f0, dayofyear(date) / 366.0::double as f1,
+         (year - 1995) / 7.0::double as f2 from scored),
+classes as (
+  select count(*) filter (where target = 1) as up, count(*) filter (where target = 0) as down,
+         case when up > down then 0 else 1 end as minority, least(up, down) as few, greatest(up, down) as many
+  from points),
+few as (
+  select row_number() over (order by series_id, date) - 1 as idx, points.* from points, classes where target = minority),
+picks as (
+  select id, floor({fraction('row')} * few)::bigint as idx, floor({fraction('neighbour')} * 5)::int as rank,
+         {fraction('step')} as step
+  from classes, range(0, greatest(0, floor(many * 0.9::double - few))::bigint) r(id)),
+near as (
+  select a.idx, b.idx as neighbour,
+         row_number() over (partition by a.idx order by (a.f0 - b.f0) * (a.f0 - b.f0) + (a.f1 - b.f1) * (a.f1 - b.f1)
+           + (a.f2 - b.f2) * (a.f2 - b.f2), b.idx) - 1 as rank
+  from few a join few b on a.idx <> b.idx where a.idx in (select idx from picks) qualify rank < 5),
+made as (
+  select id, {', '.join(f'a.f{i} + step * (b.f{i} - a.f{i}) as f{i}' for i in range(3))}
+  from picks join near using (idx, rank) join few a on a.idx = picks.idx join few b on b.idx = near.neighbour)"""
+
+
 def q(ctes: str, select: str) -> str:
     return f"with {ctes.strip()} {select}"
 
@@ -375,6 +403,12 @@ select case when value < 10 then 'low' else 'high' end as series_id, event_id,
            partition by case when value < 10 then 'low' else 'high' end order by ts, event_id
            rows between current row and unbounded following)) as last_purchase
 from events""",
+    "smote_oversample": q(
+        SMOTE,
+        "select series_id, date, f0 as feature_0, f1 as feature_1, f2 as feature_2, target from points union all "
+        "select 'synthetic-' || (id // 1000000), date '1970-01-01' + (id % 1000000)::int, f0, f1, f2, minority "
+        "from made, classes",
+    ),
     # scalars
     "scalar_dates": q(
         MARKET,
@@ -517,6 +551,11 @@ from (select o_orderkey, (p_lr * 2.0 + p_gbm * 1.0 + p_rf * 1.0) / 4.0 as p
         "select 'Ensemble (LR + GBM + RF)' as model, '1995-1997' as training_period, count(*) as test_samples, "
         f"{len(INPUTS)} as features_used, true as agrees, true as auc_fits from members where role = 'test'",
     ),
+    "wf_logistic_facts": q(
+        FOLDS,
+        "select fold_year, count(*) as n_train, sum(target)::bigint as n_up, true as is_minimum from members "
+        "where role = 'train' group by 1",
+    ),
     "forecast_facts": q(
         PATHS,
         "select s.series_id, cast(any_value(l.last_date) as date) + cast(s.day as int) as date, "

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from daymark.functions import draws, scalars as S
 from daymark.operators import (
-    align, asof, blocked, ensemble, features, folds, labels, metrics, oversample, quantile, rolling, scenarios,
+    align, asof, blocked, ensemble, features, foldfit, folds, labels, metrics, oversample, quantile, rolling, scenarios,
 )
 from daymark.plans import jobs
 from daymark.session import materialise, scratch_path
@@ -487,7 +487,8 @@ def smote_oversample(spark, folder):
     )
     counts = metrics.class_counts(scored)
     balanced, _ = oversample.balance(rows, counts.first(), ensemble.SMOTE_RATIO, SEED)
-    return balanced.select("series_id", "date", vector_to_array("features").alias("features"), "target")
+    values = vector_to_array("features")
+    return balanced.select("series_id", "date", *[values[i].alias(f"feature_{i}") for i in range(len(parts))], "target")
 
 
 # ---------------------------------------------------------------- scenarios
@@ -577,6 +578,17 @@ REGISTRY["wf_gbt"] = _member("gbm")
 REGISTRY["wf_random_forest"] = _member("rf")
 
 
+@query
+def wf_logistic_facts(spark, folder):
+    """The regression of every fold: its training rows, and whether it is the minimum of its objective."""
+    rows = labels.binary_target(training_frame(spark, folder))
+    data = ensemble.prepare(rows, features.model_columns(rows), YEARS)
+    off = foldfit.violations(data, ensemble.fit_linear(data))
+    found = spark.createDataFrame([(f, v < 1e-6) for f, v in off.items()], "fold_year int, is_minimum boolean")
+    weights = folds.class_weights(data.frame, data.folds, YEARS).select("fold_year", "n_train", "n_up")
+    return weights.join(found, "fold_year")
+
+
 @query
 def oof_predictions(spark, folder):
     return ensemble.history_report(jobs.train(training_frame(spark, folder), YEARS).predictions)

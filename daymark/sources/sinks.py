@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -47,4 +50,50 @@ def first_record(spark: SparkSession, folder: str, name: str, schema: StructType
         if "PATH_NOT_FOUND" not in str(error):
             raise
         row = None
-    return row.asDict() if row else {"message": "Metrics not available. Train the model first."}
+    return row.asDict() if row else {"message": f"table {name} has not been written yet"}
+
+
+# ---------------------------------------------------------------- runs and their manifests
+
+MANIFEST_SCHEMA = "run string, published timestamp, tables array<string>"
+
+
+def new_run() -> str:
+    """Name of a run folder; names sort by time."""
+    return f"{dt.datetime.now(dt.timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+
+
+def run_folder(out: str, run: str) -> str:
+    return f"{out}/runs/{run}"
+
+
+def publish(spark: SparkSession, out: str, run: str, tables: list[str]) -> None:
+    """Make a finished run the one that readers see.
+
+    A run's tables lie in a folder of their own, and its manifest is written last. Spark shows the file
+    of a manifest only when its job is committed, so a run that stops anywhere before leaves the
+    earlier result as it was.
+    """
+    now = dt.datetime.now(dt.timezone.utc)
+    row = spark.createDataFrame([(run, now, tables)], MANIFEST_SCHEMA)
+    row.coalesce(1).write.json(f"{out}/manifests/{run}")
+
+
+def published_run(spark: SparkSession, out: str) -> str | None:
+    """The run published last, or None."""
+    try:
+        manifests = spark.read.schema(MANIFEST_SCHEMA).json(f"{out}/manifests/*")
+        row = manifests.agg(F.max(F.struct("published", "run")).alias("last")).first()
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return None
+    return row["last"]["run"] if row["last"] else None
+
+
+def published(spark: SparkSession, out: str) -> str:
+    """Folder of the tables that readers should see."""
+    run = published_run(spark, out)
+    if run is None:
+        raise FileNotFoundError(f"no finished run at {out}")
+    return run_folder(out, run)

@@ -55,7 +55,7 @@ def outcome(spark, sources, tmp_path_factory):
 
 
 def saved(spark, out, name):
-    return spark.read.option("header", True).option("inferSchema", True).csv(f"{out}/{name}")
+    return spark.read.option("header", True).option("inferSchema", True).csv(f"{sinks.published(spark, out)}/{name}")
 
 
 def test_combined_has_no_gap_and_no_old_row(spark, outcome):
@@ -96,7 +96,7 @@ def test_forecast_invariants(outcome):
 
 def test_forecast_repeats_from_the_saved_model(spark, outcome):
     out, engineered, forecast = outcome
-    model = jobs.load_model(spark, f"{out}/model")
+    model = jobs.published_model(spark, out)
     assert jobs.model_inputs(model) == features.model_columns(engineered)
     again = jobs.forecast(model, engineered, seed=5)
     assert sorted(map(str, again.collect())) == sorted(map(str, forecast.collect()))
@@ -124,6 +124,98 @@ def test_duplicate_price_dates_are_an_error(spark, sources, tmp_path):
         jobs.combine_sources(spark, dataclasses.replace(sources, price_csv=str(path)), AS_OF)
 
 
+def test_empty_sources_are_errors(spark, sources, tmp_path):
+    for name, header, what in (("price_csv", "Date,Open,Close", "price"), ("fx_csv", "Date;Close", "exchange-rate")):
+        path = tmp_path / f"{name}.csv"
+        path.write_text(header + "\n")
+        with pytest.raises(ValueError, match=f"{what} series has no rows"):
+            jobs.combine_sources(spark, dataclasses.replace(sources, **{name: str(path)}), AS_OF)
+    path = tmp_path / "dots.json"
+    path.write_text(json.dumps({"observations": [{"date": "2020-01-01", "value": "."}]}))
+    with pytest.raises(ValueError, match="no value in column.s. rate of series price"):
+        jobs.combine_sources(spark, dataclasses.replace(sources, rate_json=str(path)), AS_OF)
+
+
+def test_checks_ride_on_the_write(spark, sources, monkeypatch):
+    """One job for data and checks: no frame is collected, counted or asked whether it is empty."""
+    frame = type(spark.range(1))
+
+    def never(*_, **__):
+        raise AssertionError("a job of its own")
+
+    for name in ("collect", "count", "isEmpty", "first", "take", "toPandas"):
+        monkeypatch.setattr(frame, name, never)
+    monkeypatch.setattr("daymark.sources.files._headers", lambda *_: {})
+    combined = jobs.combine_sources(spark, sources, AS_OF)
+    monkeypatch.undo()
+    assert combined.count() == DAYS
+
+
+def test_a_stopped_run_leaves_the_earlier_result(spark, outcome, sources, monkeypatch):
+    out = outcome[0]
+    before, run = jobs.saved_metrics(spark, out), sinks.published_run(spark, out)
+    real = sinks.write_csv
+
+    def stop(df, folder, name):
+        if name == sinks.FORECAST:
+            raise InterruptedError
+        return real(df, folder, name)
+
+    monkeypatch.setattr(sinks, "write_csv", stop)
+    with pytest.raises(InterruptedError):
+        jobs.run_pipeline(spark, sources, out, seed=6, as_of=AS_OF, years=YEARS)
+    monkeypatch.undo()
+    assert sinks.published_run(spark, out) == run and jobs.saved_metrics(spark, out) == before
+    assert saved(spark, out, sinks.FORECAST).count() == 7
+    # The next run takes the finished folds, publishes, and is what readers see.
+    monkeypatch.setattr(ensemble, "fit_fold", lambda *_, **__: pytest.fail("a fold was fitted again"))
+    jobs.run_pipeline(spark, sources, out, seed=6, as_of=AS_OF, years=YEARS)
+    assert sinks.published_run(spark, out) > run
+    after = jobs.saved_metrics(spark, out)
+    assert {k: v for k, v in after.items() if k != "timestamp"} == {k: v for k, v in before.items() if k != "timestamp"}
+
+
+def test_nothing_published_yet(spark, tmp_path):
+    assert "no finished run" in jobs.saved_metrics(spark, str(tmp_path))["message"]
+    with pytest.raises(FileNotFoundError, match="no finished run"):
+        jobs.published_model(spark, str(tmp_path))
+
+
+def test_training_is_taken_up_where_it_stopped(spark, outcome, tmp_path, monkeypatch):
+    rows = labels.binary_target(outcome[1])
+    years = folds.Years(2019, 2019, 2020, 2021)
+    columns = features.model_columns(rows, "lagged_only")[:4]
+    rows = rows.withColumn("year", F.col("year") + F.when(F.month("date") > 6, 1).otherwise(0))
+    data = ensemble.prepare(rows, columns, folds.Years(2019, 2019, 2020, 2022))
+    assert len(data.folds) == 3
+    real, fitted = ensemble.fit_fold, []
+
+    def stops(data, fold, *rest, **named):
+        if len(fitted) == 2:
+            raise InterruptedError
+        fitted.append(fold)
+        return real(data, fold, *rest, **named)
+
+    monkeypatch.setattr(ensemble, "fit_fold", stops)
+    with pytest.raises(InterruptedError):
+        ensemble.walk_forward(data, ["lr"], concurrent_folds=1, resume=str(tmp_path))
+    assert fitted == data.folds[:2]
+    again = []
+    monkeypatch.setattr(ensemble, "fit_fold", lambda d, f, *r, **n: again.append(f) or real(d, f, *r, **n))
+    whole = ensemble.walk_forward(data, ["lr"], concurrent_folds=1, resume=str(tmp_path))
+    assert again == data.folds[2:]
+    fresh = ensemble.walk_forward(data, ["lr"])
+    close = whole.predictions.join(fresh.predictions.withColumnRenamed("p_lr", "p"), ["series_id", "date"])
+    assert close.count() == fresh.predictions.count() == whole.predictions.count()
+    assert close.filter(F.abs(F.col("p") - F.col("p_lr")) > 1e-6).isEmpty()
+    # Everything is there: the model is read. Another setting, or a changed row, is another training.
+    again.clear()
+    assert len(ensemble.walk_forward(data, ["lr"], resume=str(tmp_path)).model.stages) == 3 and not again
+    changed = ensemble.prepare(rows.withColumn(columns[0], F.when(F.col("date") == "2020-08-03", 0.0).otherwise(F.col(columns[0]))), columns, data.years)
+    ensemble.walk_forward(changed, ["lr"], concurrent_folds=1, resume=str(tmp_path))
+    assert again == [f for f in data.folds if f >= 2021]
+
+
 def test_latest_row(spark, outcome):
     combined = saved(spark, outcome[0], sinks.COMBINED).withColumn("date", F.col("date").cast("date"))
     row = jobs.latest(combined).first()
@@ -227,7 +319,7 @@ def test_a_forecast_needs_all_members(outcome):
 def test_the_last_test_year_is_the_current_one(spark, sources, tmp_path, monkeypatch):
     seen = {}
 
-    def stop(engineered, years, *rest):
+    def stop(engineered, years, *rest, **named):
         seen["years"] = years
         raise InterruptedError
 

@@ -15,7 +15,7 @@ from daymark.plans.oracle import ORACLE  # noqa: E402
 from daymark.plans.queries import REGISTRY  # noqa: E402
 
 pytestmark = pytest.mark.skipif(not Path(SMOKE_FOLDER).exists(), reason="no test tables")
-TRAINED = {"wf_logistic", "wf_gbt", "wf_random_forest", "oof_predictions", "model_summary", "forecast_7day", "smote_oversample"}
+TRAINED = {"wf_logistic", "wf_gbt", "wf_random_forest", "oof_predictions", "model_summary", "forecast_7day"}
 
 
 @pytest.fixture(scope="module")

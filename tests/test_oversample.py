@@ -28,7 +28,7 @@ def brute_force(points, i):
 def test_neighbours_are_exact(spark, cloud):
     rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(cloud)], "idx bigint, v array<double>")
     probes = rows.filter("idx % 3 = 0").select("idx")
-    found = oversample.nearest(rows, probes, cell_rows=16).toPandas()
+    found = oversample.nearest(rows, probes, ring_rows=16).toPandas()
     assert found.groupby("idx").size().eq(oversample.NEIGHBOURS).all()
     assert set(found["idx"]) == {i for i in range(N) if i % 3 == 0}
     for i, group in found.groupby("idx"):
@@ -36,6 +36,40 @@ def test_neighbours_are_exact(spark, cloud):
         assert i not in set(group["neighbour"])
 
 
+def test_few_of_all_pairs_are_compared(spark, monkeypatch):
+    """31 features in clusters: exact, by a small part of the pairs, also where a third of the rows are equal."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(25, 31)) * 10
+    points = centres[rng.integers(0, 25, 3000)] + rng.normal(size=(3000, 31)) * rng.uniform(0.01, 0.3, size=(3000, 1))
+    points[2000:] = points[7]
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(points)], "idx bigint, v array<double>")
+    monkeypatch.setattr(oversample, "CHUNK_ROWS", 500)
+    counter = spark.sparkContext.accumulator(0)
+    probes = rows.filter("idx < 2000").select("idx")
+    found = oversample.nearest(rows, probes, ring_rows=100, counter=counter).toPandas().sort_values(["idx", "rank"])
+    assert counter.value < 0.15 * 2000 * 3000
+    for i in range(0, 2000, 7):
+        square = np.zeros(3000)
+        for c in range(31):
+            square += (points[i, c] - points[:, c]) ** 2
+        square[i] = np.inf
+        want = np.lexsort((np.arange(3000), square))[: oversample.NEIGHBOURS]
+        assert found["neighbour"][found["idx"] == i].tolist() == want.tolist()
+
+
+def test_fewer_points_than_neighbours(spark):
+    rows = spark.createDataFrame([(i, [float(i)]) for i in range(3)], "idx bigint, v array<double>")
+    found = {(r["idx"], r["neighbour"], r["rank"]) for r in oversample.nearest(rows, rows.select("idx")).collect()}
+    assert found == {(0, 1, 0), (0, 2, 1), (1, 0, 0), (1, 2, 1), (2, 1, 0), (2, 0, 1)}
+    assert oversample.nearest(rows.limit(0), rows.select("idx").limit(0)).count() == 0
+
+
+def test_index_is_the_sorted_place(spark):
+    rows = spark.createDataFrame([(str(i), i % 7) for i in range(200)], "a string, b int").repartition(6)
+    got = [(r["a"], r["b"]) for r in oversample.indexed(rows, ["a", "b"]).orderBy("idx").collect()]
+    assert got == sorted((str(i), i % 7) for i in range(200))
+
+
 def labelled(spark, cloud, n_up):
     day = dt.date(2000, 1, 1)
     rows = [
