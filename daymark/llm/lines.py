@@ -3,7 +3,8 @@
 A line is boilerplate on a host when the share of the host's pages that hold it exceeds a ratio. Pages
 are counted once for each distinct line, so counting is a plain aggregate with partial sums; of a host's
 lines at most (mean lines a page) / ratio can exceed the ratio, so its list of lines to drop is short.
-Pages meet that list by host and a salt, so a host with very many pages is no hot key.
+Pages meet that list by host and part: a host with a large share of all pages has as many parts as its
+pages need, so it is no hot key at any size.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Parts of a host when its pages meet its list.
-SALTS = 32
+#: Pages of one part of a host, and the share of all pages (1 in so many) above which a host has parts:
+#: at most so many hosts are broadcast.
+PART_PAGES, LARGE_HOSTS = 500, 1 << 16
 #: Tags that begin or end a line of a page.
 BLOCK_TAGS = (
     r"(?i)</?(?:p|div|br|li|ul|ol|nav|h[1-6]|article|footer|header|section|title|table|tr|td|script|style"
@@ -45,6 +47,14 @@ def boilerplate(pages: DataFrame, ratio: float, min_pages: int) -> DataFrame:
     return frequent.groupBy("host").agg(F.collect_set("digest").alias("drops"))
 
 
+def large_hosts(rows: DataFrame) -> DataFrame:
+    """``host`` and ``parts`` of hosts with more than 1 in ``LARGE_HOSTS`` of all pages: fewer than that many."""
+    total = rows.agg(F.count("*").alias("n")).scalar()
+    counts = rows.filter(F.col("host").isNotNull()).groupBy("host").agg(F.count("*").alias("pages"))
+    parts = F.ceil(F.col("pages") / PART_PAGES).cast("int")
+    return counts.filter((F.col("pages") * LARGE_HOSTS > total) & (parts > 1)).select("host", parts.alias("parts"))
+
+
 def drop_boilerplate(
     pages: DataFrame,
     id_column: str,
@@ -61,9 +71,14 @@ def drop_boilerplate(
     """
     rows = pages.select(F.col(id_column), host.alias("host"), lines.alias("lines"))
     drops = boilerplate(rows, ratio, min_pages)
-    salted = drops.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64(id_column), F.lit(SALTS)).cast("int"))
-    joined = rows.join(salted, ["host", "salt"], "left")
+    large = large_hosts(rows)
+    parts = F.coalesce("parts", F.lit(1))
+    # Both joins with the large hosts are broadcasts of a bounded table.
+    spread = drops.join(F.broadcast(large), "host", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.join(F.broadcast(large), "host", "left").withColumn(
+        "part", F.pmod(F.monotonically_increasing_id(), parts).cast("int")
+    )
+    joined = rows.drop("parts").join(spread.drop("parts"), ["host", "part"], "left")
     kept = F.when(F.col("drops").isNull(), F.col("lines")).otherwise(
         F.filter("lines", lambda x: ~F.array_contains("drops", F.md5(x.cast("binary"))))
     )

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from daymark.llm.parts import joined_by_parts
 from daymark.llm.sift import Sift, fresh
 from daymark.session import materialise
 
@@ -24,8 +25,6 @@ BLOCK_ROWS, FAN_IN = 4096, 256
 #: Copies of a document's source that the mix takes at most.
 MOST = 3.0
 WORD = r"[^\x20\x09-\x0D]+"
-#: Parts of a source when its rows meet its target, so that a large source is no hot key.
-SALTS = 16
 _EDGE = 1e-9
 
 
@@ -174,10 +173,8 @@ def _rounded(docs: DataFrame, identity: Column, number: Column, text: Column, so
         "sized",
     )
     aims = materialise(targets(sized), "targets")
-    salted = aims.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = sized.withColumn("salt", F.pmod(F.xxhash64("spread"), F.lit(SALTS)).cast("int"))
-    same = rows["source"].eqNullSafe(salted["source"]) & (rows["salt"] == salted["salt"])
-    joined = rows.join(salted, same).select("id", "number", "spread", rows["source"], "size", "rank", "rows", "source_size", "target")
+    # A source with many rows meets its target in parts.
+    joined = joined_by_parts(sized, aims, "source", "rows")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     wanted = joined.withColumn("rate", rate).select(
         "id", "number", "source", "size", "source_size", "target",

@@ -17,11 +17,12 @@ it shows them too. A document near the upper end of its band also shows keys of
 to a range of keys once, however many of its documents show it. Most keys have no partner and end
 there; of the others, every document of the key becomes a row of its group.
 
-*Verify.* A key shared by many documents is not expanded into pairs. A group is hung into a tree of
-bounded fan-out, and each document first meets the parent it shares most keys with; links are joined
-into classes. Only groups that still hold several classes are looked at again: inside blocks of bounded
+*Verify.* A key shared by many documents is not expanded into pairs. Each document first meets the
+smallest member of the group it shares most keys with: that of its chunk, and that of all; links are
+joined into classes. Only groups that still hold several classes are looked at again: inside blocks of bounded
 size the short sketches of members of different classes are compared. What sketches do not refute is
-compared by whole sets; only texts of such pairs are read and dealt, each to its partners.
+compared by whole sets; only texts of such pairs are read and dealt, each to its partners. A document
+with very many partners is dealt in parts.
 """
 
 from __future__ import annotations
@@ -35,19 +36,20 @@ from pyspark.sql import functions as F
 
 from daymark.llm.common import map_rows, mix64, runs, word_hashes
 from daymark.llm.messages import pack, unpack
-from daymark.llm.sift import Sift
+from daymark.llm.parts import joined_by_parts
+from daymark.llm.sift import Sift, bits_at
 from daymark.session import materialise
 
 #: Ratio of a band's ends; spare parts in a band, as a share of D.
 BAND, SPARE = Fraction(3, 2), Fraction(1, 50)
 #: Bits of a short sketch: twice the set size as a power of two, between these two.
 FEWEST_BITS, MOST_BITS = 512, 4096
-#: Members of one block of a group; parts of the copies of one set.
-BLOCK, SALTS = 1024, 32
+#: Members of one block of a group; partners of one part of a document.
+BLOCK, PARTNERS = 1024, 500
 #: Groups up to this size give their pairs at once, without sketches.
 SMALL = 32
-#: Keys of one chunk of documents, keys that a range stands for, fan-out of a group's tree.
-CHUNK_KEYS, RANGE_KEYS, FAN = 1 << 21, 1_500_000, 256
+#: Keys of one chunk of documents, keys that a range stands for.
+CHUNK_KEYS, RANGE_KEYS = 1 << 19, 400_000
 #: Bits of a key that travel; keys that agree in them by chance cost a comparison.
 KEY_BITS = 56
 
@@ -163,33 +165,21 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
     return map_rows(docs, run, "id long, size long, digest binary, sketch binary, fold binary")
 
 
-def parents(place: np.ndarray) -> np.ndarray:
-    """Place of the parent in a tree of fan-out ``FAN``; the root, 0, is its own."""
-    step, out = np.ones_like(place), place.copy()
-    pending = place > 0
-    while pending.any():
-        above = place // (step * FAN) * (step * FAN)
-        done = pending & (above < place)
-        out[done] = above[done]
-        pending &= ~done
-        step = np.where(pending, step * FAN, step)
-    return out
-
-
-def hung(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For rows sorted by key, then id: the id each row hangs from among those of its key."""
+def roots(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For rows sorted by key, then id: the smallest id of each row's key."""
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
-    start = np.repeat(first, np.diff(first, append=len(keys)))
-    return ids[start + parents(np.arange(len(keys)) - start)]
+    return np.repeat(ids[first], np.diff(first, append=len(keys)))
 
 
 SENT = "to long, kind int, parts array<binary>"
 
 
-def sent_keys(docs: DataFrame, width: int, percent: int, ranges: int) -> DataFrame:
+def sent_keys(docs: DataFrame, width: int, percent: int, ranges: int, words: np.ndarray | None = None) -> DataFrame:
     """Rows ``id``, ``body`` to messages: the keys of each chunk, to their ranges.
 
-    Of a key's documents in a chunk only the first goes to the range; the others hang from it and go to
+    Rows of a third column ``spot`` whose bit is set in ``words`` show none.
+
+    Of a key's documents in a chunk only the first goes to the range; the others point to it and go to
     a receiver of the chunk. Of equal sets in one task only the first shows keys.
     """
     bands, limit = Bands(percent), CHUNK_KEYS
@@ -206,7 +196,7 @@ def sent_keys(docs: DataFrame, width: int, percent: int, ranges: int) -> DataFra
         several = np.diff(np.flatnonzero(first), append=len(key)) > 1
         out = []
         if not first.all():
-            rest = [key[~first], doc[~first], hung(key, doc)[~first]]
+            rest = [key[~first], doc[~first], roots(key, doc)[~first]]
             out.append((ranges + number % ranges, 1, [pack(p) for p in rest]))
         key, doc = key[first], doc[first]
         at = (key >> np.uint64(KEY_BITS - 24)).astype(np.int64) * ranges >> 24
@@ -222,7 +212,9 @@ def sent_keys(docs: DataFrame, width: int, percent: int, ranges: int) -> DataFra
         seen: set[bytes] = set()
         number, ids, keys, size = TaskContext.get().partitionId() * 7919, [], [], 0
         for batch in batches:
-            for doc, value in zip(*(c.to_pylist() for c in batch.columns)):
+            if words is not None:
+                batch = batch.filter(pa.array(~bits_at(words, batch.column(2).to_numpy())))
+            for doc, value in zip(*(c.to_pylist() for c in batch.columns[:2])):
                 hashes = shingle_set(value, width)
                 digest = _digest(hashes)
                 if len(hashes) and digest not in seen:
@@ -255,16 +247,23 @@ def gathered(table: pa.Table) -> pa.Table:
         same = key[1:] == key[:-1]
         kept = several | np.concatenate((same, [False])) | np.concatenate(([False], same))
         key, doc = key[kept], doc[kept]
-        out.append([key, doc, hung(key, doc)])
+        out.append([key, doc, roots(key, doc)])
     columns = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 3
     return pa.table({n: pa.array(c.astype(np.int64)) for n, c in zip(("key", "id", "pivot"), columns)})
 
 
-def groups_of(docs: DataFrame, width: int, percent: int, shingles: int) -> DataFrame:
-    """Rows (key, id, pivot) of the keys that several documents show; ``shingles`` of all rows together."""
-    # About 0.6 keys a shingle at 0.8; more at lower similarity.
+def groups_of(texts: DataFrame, copies: DataFrame, width: int, percent: int, shingles: int) -> DataFrame:
+    """Rows (key, id, pivot) of the keys that several documents show; ``copies`` (id) show none.
+
+    ``shingles`` of all rows together decide how many ranges there are: about 0.6 keys a shingle at a
+    similarity of 0.8, more at a lower one.
+    """
     ranges = 1 + int(shingles * 3 * (100 - percent) / 100) // RANGE_KEYS
-    return sent_keys(docs, width, percent, ranges).groupBy("to").applyInArrow(gathered, "key long, id long, pivot long")
+    sift = Sift(copies, F.col("id"))
+    sent = sent_keys(texts.select("id", "body", sift.spot(F.col("id")).alias("spot")), width, percent, ranges, sift.words)
+    unsure = sift.kept(texts, F.col("id")).join(copies, "id", "left_anti").select("id", "body")
+    sent = sent.unionByName(sent_keys(unsure, width, percent, ranges))
+    return sent.groupBy("to").applyInArrow(gathered, "key long, id long, pivot long")
 
 
 def _digest(hashes: np.ndarray) -> bytes:
@@ -373,18 +372,14 @@ class Join:
         self.texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("body"))
         self.sets = materialise(sketched(self.texts, width), "sketched")
         # Equal sets are one class at once; only the smallest id of each goes on. The copies of one
-        # set meet their first by a salt, as they may be a large part of all rows.
+        # set, which may be a large part of all rows, meet their first in parts.
         slim = self.sets.select("id", "size", "digest")
         first = slim.filter("size > 0").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-        first = first.filter("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = slim.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-        rep = F.coalesce("first", "id").alias("rep")
-        self.members = materialise(salted.join(first, ["digest", "salt"], "left").select("id", "size", rep), "members")
+        told = joined_by_parts(slim, first.filter("n > 1"), "digest", "n", "left")
+        self.members = materialise(told.select("id", "size", F.coalesce("first", "id").alias("rep")), "members")
         copies = self.members.filter("rep <> id").select("id").distinct()
-        clear, unsure = Sift(copies, F.col("id")).split(self.texts, F.col("id"))
-        shown = clear.unionByName(unsure.join(copies, "id", "left_anti"))
         shingles = self.members.agg(F.sum("size")).first()[0] or 0
-        self.groups = materialise(groups_of(shown, width, percent, shingles), "groups")
+        self.groups = materialise(groups_of(self.texts, copies, width, percent, shingles), "groups")
 
     def class_of(self, rows: DataFrame, column: str, name: str) -> DataFrame:
         """Add the class of ``column``: the smallest id reached so far, itself without a link."""
@@ -404,20 +399,26 @@ class Join:
         ordered = materialise(ordered, "pairs")
         if ordered.isEmpty():
             return
-        ends = ordered.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
-        wanted = ends.filter("id = a").select("id", "b").union(ordered.select(F.col("b").alias("id"), "b").distinct())
+        # A centre with many partners has parts, and its text is there once for each.
+        centres = ordered.groupBy("b").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / PARTNERS).cast("int"))
+        parted = joined_by_parts(ordered, centres, "b", "n").withColumn("part", F.pmod(F.xxhash64("a"), "parts").cast("int"))
+        wanted = parted.select(F.col("a").alias("id"), "b", "part").unionByName(
+            centres.select(F.col("b").alias("id"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        )
+        wanted = materialise(wanted, "wanted")
         texts = Sift(wanted.select("id").distinct(), F.col("id")).kept(self.texts, F.col("id"))
-        dealt = wanted.join(texts, "id").select("b", (F.col("id") != F.col("b")).alias("other"), "id", "body")
-        order = ["b", "other", "id"]
-        dealt = dealt.repartition("b").sortWithinPartitions(*order)
+        # The text of a centre with many parts is sent that often, from one place: parts are PARTNERS large.
+        dealt = wanted.join(texts, "id").select("b", "part", (F.col("id") != F.col("b")).alias("other"), "id", "body")
+        order = ["b", "part", "other", "id"]
+        dealt = dealt.repartition("b", "part").sortWithinPartitions(*order)
 
         def run(batches):
             centre, held = None, []
             for batch in batches:
                 out = []
-                for b, other, doc, body in zip(*(c.to_pylist() for c in batch.columns)):
-                    if b != centre:
-                        centre, held = b, []
+                for b, part, other, doc, body in zip(*(c.to_pylist() for c in batch.columns)):
+                    if (b, part) != centre:
+                        centre, held = (b, part), []
                     hashes = shingle_set(body, width)
                     if not other:
                         held.append(hashes)
@@ -431,10 +432,13 @@ class Join:
             self.classes = components(self.links)
 
     def nearest(self) -> DataFrame:
-        """Each document with the parent it shares most keys with."""
+        """Each document with the member it shares most keys with, and with that one's own."""
         met = self.groups.filter("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("n"))
         best = met.groupBy("id").agg(F.max(F.struct("n", (-F.col("pivot")).alias("p"))).alias("best"))
-        return best.select(F.col("id").alias("a"), (-F.col("best.p")).alias("b"))
+        best = materialise(best.select(F.col("id").alias("a"), (-F.col("best.p")).alias("b")), "nearest")
+        degrees = best.groupBy("b").agg(F.count("*").alias("n"))
+        further = degrees.join(best.select(F.col("a").alias("b"), F.col("b").alias("beyond")), "b")
+        return best.unionByName(joined_by_parts(best, further, "b", "n").select("a", F.col("beyond").alias("b")))
 
     def firsts(self, sketch: str) -> DataFrame:
         return self.sets.select("id", "size", sketch).dropDuplicates(["id"])
@@ -495,11 +499,14 @@ class Join:
                 yield [[a[i] for i in keep], [b[i] for i in keep]]
 
         for sketch in ("fold", "sketch"):
+            sided = materialise(sided, "sided")
             for side in "ab":
                 told = self.firsts(sketch).select(
                     F.col("id").alias(side), F.col("size").alias(f"n{side}"), F.col(sketch).alias(f"s{side}")
                 )
-                sided = sided.join(told, side)
+                # A document that is in very many pairs is looked up in parts.
+                often = sided.groupBy(side).agg(F.count("*").alias("often"))
+                sided = joined_by_parts(sided, often.join(told, side), side, "often").drop("often")
             sided = map_rows(sided.select("a", "b", "na", "nb", "sa", "sb"), run, "a long, b long")
         return sided
 

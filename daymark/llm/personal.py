@@ -9,8 +9,9 @@ No table marks personal data, so the trees learn from the patterns: matches that
 examples, matches of the same shape that fail it, and digits inside longer tokens, are
 counter-examples. No pattern matches what the generators add, so each match that passes is also written
 as they look for it (sign removed, @ spelled out, other separators), and as what only looks like it (no
-dotted domain, a wrong check digit, a date). Thresholds are calibrated without the matches themselves,
-which need none. The number of training candidates is bounded.
+dotted domain, a wrong check digit, a date). Whole forms of that writing are kept out of the trees; the
+thresholds are calibrated on those, so that they hold for forms nobody wrote down. The matches
+themselves need no threshold. The number of training candidates is bounded.
 """
 
 from __future__ import annotations
@@ -73,11 +74,16 @@ def only_digits(text: str) -> str:
     return "".join([c for c in text if "0" <= c <= "9"])
 
 
+def octet(part: str) -> bool:
+    """Whether digits are at most 255: by length first, as any number of zeros may be in front."""
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or "0") <= 255
+
+
 def passes(kind: str, text: str) -> bool:
     """The check that a match of a base pattern must pass."""
     if kind == "ip":
-        # By length first: a part may have any number of zeros in front.
-        return all(len(p) <= 3 and int(p or "0") <= 255 for p in (part.lstrip("0") for part in text.split(".")))
+        return all(map(octet, text.split(".")))
     digits = only_digits(text)
     if kind == "card":
         return 14 <= len(digits) <= 19 and luhn(digits)
@@ -111,7 +117,7 @@ def fails(kind: str, text: str) -> bool:
     """Whether a generated span of this shape cannot be what its kind asks for."""
     if kind == "ip":
         groups = _GROUPS.findall(text)
-        return len(groups) != 4 or any(int(g) > 255 for g in groups)
+        return len(groups) != 4 or not all(map(octet, groups))
     if kind == "email":
         return "." not in plain_address(text).rpartition("@")[2]
     return not passes(kind, text)
@@ -155,68 +161,81 @@ def candidates(text: str) -> list[tuple[str, int, int, int]]:
     return [(*k, v) for k, v in spans.items()]
 
 
-def rewritten(kind: str, text: str, cued: bool) -> list[tuple[str, int]]:
-    """A passing match as the generators look for it (1), and as what only looks like it (0).
+#: Forms that no tree sees: thresholds are set, and recall is measured, on these alone.
+HELD_FORMS = {
+    "email": {"[at]", "(at) and (dot)", "wide domain", "[at] number", "wide number"},
+    "ip": {"(.)", " [dot] ", "(.) short", "[dot] short 100", " [dot] wrong", "(.) wrong short"},
+    "card": {"/", "/ wrong"},
+    "phone": {"double zero", "/", "national /", "national -", "date .", "thirds .", "decimal 3"},
+}
+
+
+def rewritten(kind: str, text: str, cued: bool) -> list[tuple[str, str, int]]:
+    """A passing match as the generators look for it (1), and as what only looks like it (0), by form.
 
     ``cued``: a word before the match names its kind. A bare run of digits is a phone only then.
     """
+    good, bad = [], []
     if kind == "email":
         local, _, domain = text.rpartition("@")
         labels = domain.split(".")
-        dots = [d.join(labels) for d in (" (dot) ", "[dot]", " [DOT] ")]
         number = f"{len(local)}.{10 + len(text) % 90}"
-        good = [f"{local} (at) {domain}", f"{local}[at]{domain}", f"{local} (at) {dots[0]}", f"{local}[at]{dots[1]}"]
-        good += [f"{local} [AT] {dots[2]}".upper(), f"{local[:-1]}\xe9@{domain}", f"{local}@\xfc{domain[1:]}"]
-        bad = [f"{local}@{labels[0]}", f"{local[:-1]}\xe9@{labels[0]}", f"{local}\xe9@{number}"]
-        bad += [f"{local} (at) {number}", f"{local}[at]{number}"]
+        good += [("(at)", f"{local} (at) {domain}"), ("[at]", f"{local}[at]{domain}")]
+        good += [("(at) and (dot)", f"{local} (at) {' (dot) '.join(labels)}"), ("[at] and [dot]", f"{local}[at]{'[dot]'.join(labels)}")]
+        good += [("capitals", f"{local} [AT] {' [DOT] '.join(labels)}".upper())]
+        good += [("wide local", f"{local[:-1]}\xe9@{domain}"), ("wide domain", f"{local}@\xfc{domain[1:]}")]
+        bad += [("no dot", f"{local}@{labels[0]}"), ("wide, no dot", f"{local[:-1]}\xe9@{labels[0]}")]
+        bad += [("wide number", f"{local}\xe9@{number}"), ("(at) number", f"{local} (at) {number}"), ("[at] number", f"{local}[at]{number}")]
     elif kind == "ip":
         parts = [p.lstrip("0") or "0" for p in text.split(".")]
         wrong = [str(256 + int(parts[0])), *parts[1:]]
-        signs = ("[.]", "(.)", " [dot] ", " (dot) ", "[dot]")
         # Short numbers are rare in random addresses, not in those of hosts.
-        short = [[str(int(p) % n) for p in parts] for n in (10, 100)]
-        good = [s.join(p) for s in signs for p in (parts, *short)]
-        bad = [s.join(p) for s in signs for p in (wrong, [*short[0][:3], wrong[0]])]
+        short, longer = ([str(int(p) % n) for p in parts] for n in (10, 100))
+        for sign in ("[.]", "(.)", " [dot] ", " (dot) ", "[dot]"):
+            good += [(sign, sign.join(parts)), (f"{sign} short", sign.join(short)), (f"{sign} short 100", sign.join(longer))]
+            bad += [(f"{sign} wrong", sign.join(wrong)), (f"{sign} wrong short", sign.join([*short[:3], wrong[0]]))]
     elif kind == "card":
         digits = only_digits(text)
-        good, bad = [], []
-        for made, digits in ((good, digits), (bad, digits[:-1] + str((int(digits[-1]) + 5) % 10))):
-            groups = [digits[i : i + 4] for i in range(0, len(digits), 4)]
-            made += [s.join(groups) for s in (".", "/", "  ", " - ")]
+        for made, told, d in ((good, "", digits), (bad, " wrong", digits[:-1] + str((int(digits[-1]) + 5) % 10))):
+            groups = [d[i : i + 4] for i in range(0, len(d), 4)]
+            made += [(sign.strip() + told or "spaces", sign.join(groups)) for sign in (".", "/", "  ", " - ")]
     else:
         digits, groups = only_digits(text), _GROUPS.findall(text)
-        good = [text[1:], "00" + text[1:], *(s.join(groups) for s in (".", "-", "/", " "))]
+        good += [("unsigned", text[1:]), ("double zero", "00" + text[1:]), *((s, s.join(groups)) for s in (".", "-", "/", " "))]
         if len(groups) > 2 and len(digits) - len(groups[0]) >= 10:
-            national = text[1 + len(groups[0]) :].lstrip(" .-")
-            good += [national, *(s.join(groups[1:]) for s in (".", "-", "/", " "))]
+            good += [("national", text[1 + len(groups[0]) :].lstrip(" .-"))]
+            good += [(f"national {s}", s.join(groups[1:])) for s in (".", "-", "/", " ")]
         month, day, hour = (1 + int(digits[1:3]) % 12, 1 + int(digits[3:5]) % 28, int(digits[5:7]) % 24)
         year = 1950 + int(digits[7:10]) % 100
-        bad = [f"{year}-{month:02}-{day:02} {hour:02}", f"{day:02}.{month:02}.{year} {hour:02}", " ".join(digits)]
-        bad += [f"{day:02}/{month:02}/{year} {hour:02}", f"{digits[0]}.{digits[1:]}", f"{digits[:3]}.{digits[3:]}"]
+        bad += [("date -", f"{year}-{month:02}-{day:02} {hour:02}"), ("date .", f"{day:02}.{month:02}.{year} {hour:02}")]
+        bad += [("date /", f"{day:02}/{month:02}/{year} {hour:02}"), ("digit by digit", " ".join(digits))]
+        bad += [("decimal 1", f"{digits[0]}.{digits[1:]}"), ("decimal 3", f"{digits[:3]}.{digits[3:]}")]
         first = len(digits) % 3 or 3
         thirds = [digits[:first], *(digits[i : i + 3] for i in range(first, len(digits), 3))]
-        bad += [s.join(thirds) for s in (" ", ".")]
-        bare = [digits, digits[-10:]]
-        good = [g for g in good if not g.isdigit()] + bare * cued
-        bad += bare * (not cued)
-    return [(t, 1) for t in good] + [(t, 0) for t in bad]
+        bad += [(f"thirds {s}", s.join(thirds)) for s in (" ", ".")]
+        good = [(f, g) for f, g in good if not g.isdigit()]
+        (good if cued else bad).extend([("bare", digits), ("bare national", digits[-10:])])
+    return [(f, t, 1) for f, t in good] + [(f, t, 0) for f, t in bad]
 
 
-def examples(text: str) -> Iterator[tuple[str, int, int, int, bool, list[float]]]:
-    """Training rows (kind, start, end, label, whether a base span, features) of one text."""
+def examples(text: str) -> Iterator[tuple[str, int, int, int, bool, str, list[float]]]:
+    """Training rows (kind, start, end, label, whether a base span, form, features) of one text."""
     cues = dict(_CUES)
     for kind, a, b, label in candidates(text):
         if label >= 0:
-            yield kind, a, b, label, label == 1, features(text, kind, a, b)
+            yield kind, a, b, label, label == 1, "", features(text, kind, a, b)
         if label != 1:
             continue
         left, right = text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT]
-        for made, wanted in rewritten(kind, text[a:b], cues[kind].search(left) is not None):
+        for form, made, wanted in rewritten(kind, text[a:b], cues[kind].search(left) is not None):
             body, start, stop = left + made + right, len(left), len(left) + len(made)
             # Only what a generator finds there, and no base pattern, is a row; of other kinds what fails.
             for k, *at, told in candidates(body):
                 if at == [start, stop] and told != 1 and (k == kind or told == 0):
-                    yield k, a, b, wanted if k == kind else 0, False, features(body, k, start, stop)
+                    yield k, a, b, wanted if k == kind else 0, False, f"{kind} {form}", features(body, k, start, stop)
+
+
+HELD = {f"{kind} {form}" for kind, forms in HELD_FORMS.items() for form in forms}
 
 
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
@@ -401,14 +420,21 @@ def train(
             out = []
             for h, body in zip(*(c.to_pylist() for c in batch.columns)):
                 out += [(h, *row[1:]) for row in examples(body or "")]
-            yield [list(c) for c in zip(*out)] if out else [[], [], [], [], [], []]
+            yield [list(c) for c in zip(*out)] if out else [[], [], [], [], [], [], []]
 
-    schema = "h long, start int, stop int, label int, base boolean, x array<double>"
+    schema = "h long, start int, stop int, label int, base boolean, form string, x array<double>"
     found = map_rows(sample, rows, schema).orderBy("h", "start", "stop", "x", "label").limit(max_fit_rows)
-    table = collected_rows(found.toArrow(), "h", "label", "x", "base")
+    return fit(collected_rows(found.toArrow(), "h", "label", "x", "base", "form"), precision)
+
+
+def fit(table: list[tuple], precision: float = 0.99) -> PersonalModel:
+    """Trees from rows (hash, label, features, base, form); thresholds from forms the trees never see.
+
+    Rows that were not rewritten are kept back by hash.
+    """
     if len({t[1] for t in table}) < 2:
         return PersonalModel()
-    back = np.array([t[0] % 4 == 0 for t in table])
+    back = np.array([t[4] in HELD or not t[4] and t[0] % 4 == 0 for t in table])
     y, x = np.array([t[1] for t in table], float), np.array([t[2] for t in table])
     if len(set(y[~back])) < 2:
         return PersonalModel()
@@ -417,6 +443,20 @@ def train(
     return model
 
 
+def held_recall(table: list[tuple], model: PersonalModel) -> dict[str, tuple[int, float, float]]:
+    """By kind, on the forms kept back: examples, share of them found, share of the found that are right."""
+    out = {}
+    for i, kind in enumerate(KINDS):
+        rows = [t for t in table if t[4] in HELD and t[2][0] == i]
+        wanted = np.array([t[1] == 1 for t in rows], bool)
+        if not wanted.any() or kind not in model.thresholds:
+            out[kind] = (int(wanted.sum()), 0.0, 1.0)
+            continue
+        found = model.probabilities(np.array([t[2] for t in rows])) >= model.thresholds[kind]
+        out[kind] = (int(wanted.sum()), float(found[wanted].mean()), float(wanted[found].mean()) if found.any() else 1.0)
+    return out
+
+
 def spans(text: str | None, model: PersonalModel) -> list[tuple[str, int, int, bool, float]]:
     """(kind, start, end, base, score) by start, then kind; null is the empty text."""
     if not text:

@@ -41,15 +41,18 @@ class Sift:
             start = piece * _PIECE // 8
             self.words[start : start + _PIECE // 8] = np.frombuffer(bits, np.uint8)
 
+    def spot(self, *columns: Column) -> Column:
+        """Where a row's bit is."""
+        return F.pmod(F.xxhash64(*columns), F.lit(self.bits))
+
     def _marked(self, docs: DataFrame, columns: tuple[Column, ...], name: str) -> DataFrame:
         words = self.words
 
         @F.pandas_udf("boolean")
         def held(spots: pd.Series) -> pd.Series:
-            at = spots.to_numpy()
-            return pd.Series((words[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+            return pd.Series(bits_at(words, spots.to_numpy()))
 
-        return docs.withColumn(name, held(F.pmod(F.xxhash64(*columns), F.lit(self.bits))))
+        return docs.withColumn(name, held(self.spot(*columns)))
 
     def split(self, docs: DataFrame, *columns: Column) -> tuple[DataFrame, DataFrame]:
         """Rows of ``docs`` that are surely not held, and the others."""
@@ -62,6 +65,11 @@ class Sift:
         return self.split(docs, *columns)[1]
 
 
+def bits_at(words: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    """For each spot, whether its bit is set."""
+    return (words[spots >> 3] >> (spots & 7).astype(np.uint8)) & 1 == 1
+
+
 def fresh(docs: DataFrame, name: str) -> str:
     """A column name that ``docs`` does not have."""
     taken = {c.lower() for c in docs.columns}

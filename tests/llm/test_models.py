@@ -1,14 +1,17 @@
 """Language, toxicity, quality and personal data."""
 
 import dataclasses
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from daymark.llm import language, personal, quality, toxicity
+from daymark.llm.common import code_points, gram_codes, word_hashes
 
 
 def rows_by_id(df):
@@ -56,6 +59,41 @@ def test_document_frequencies_count_every_document(two_languages):
     assert counts.max() == 80
 
 
+def gram_code(text):
+    points = code_points(text)
+    return int(gram_codes(points, (len(text),), language.BITS)[0][0])
+
+
+def test_language_scores_by_hand(two_languages, prose):
+    """Every n-gram of the normalised text, counted, weighed and added up one by one."""
+    model = language.train(two_languages)
+    texts = ["Ab cd, 12 ef!", "mnop  qrst?ab", *(" ".join(prose(i, 12, "abcdmnop")) for i in range(12))]
+    for text in texts:
+        plain = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+        plain = re.sub(" +", " ", plain)
+        counts = Counter(gram_code(plain[i : i + n]) for n in language.ORDERS for i in range(len(plain) - n + 1))
+        x = {c: (1 + math.log(n)) * float(model.idf[c]) for c, n in counts.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        margins = [
+            (sum(v / norm * float(model.weights[c, k]) for c, v in x.items()) + float(model.bias[k])) / model.temperature
+            for k in range(len(model.languages))
+        ]
+        shares = [math.exp(m - max(margins)) for m in margins]
+        told, score = language.predict(text, model)
+        assert score == pytest.approx(max(shares) / sum(shares), abs=1e-5)
+        assert told == model.languages[margins.index(max(margins))]
+    # Equally likely languages: the first by name.
+    even = dataclasses.replace(model, weights=np.zeros_like(model.weights), bias=np.zeros_like(model.bias))
+    assert language.predict("abc", even) == (model.languages[0], 0.5)
+
+
+def test_language_sample_is_bounded(spark):
+    rows = [(i % 7, f"word {i}", "aa") for i in range(3000)] + [(i, "wort", "bb") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    found = language.fit_sample(docs, "doc_id", "text", "lang", 10)
+    assert Counter(r[0] for r in found) == {"aa": 10, "bb": 10}
+
+
 @pytest.fixture(scope="module")
 def insults(spark, prose):
     rng = random.Random(4)
@@ -144,6 +182,22 @@ def test_quality_learns_from_words_and_parts(spark, prose):
     assert np.array_equal(model.odds, again.odds)
 
 
+def test_quality_scores_by_hand(prose):
+    """The mean over words and the n-grams inside them, one by one."""
+    rng = np.random.default_rng(5)
+    model = quality.QualityModel(rng.normal(size=1 << quality.BITS).astype(np.float32), 0.3)
+    for text in ["One two,  three.\n x", "a", *(" ".join(prose(i, 9)) for i in range(10))]:
+        values = []
+        for word in text.split():
+            points = code_points(word)
+            code = word_hashes(points, np.array([0]), np.array([len(points)])) >> np.uint64(64 - quality.BITS)
+            values.append(float(model.odds[int(code[0])]))
+            marked = f" {word} "
+            values += [float(model.odds[gram_code(marked[i : i + n])]) for n in quality.ORDERS for i in range(len(marked) - n + 1)]
+        want = 1 / (1 + math.exp(-(model.prior + sum(values) / len(values))))
+        assert quality.probability(text, model) == pytest.approx(want, abs=1e-5)
+
+
 @pytest.mark.parametrize("operator", ["toxicity", "quality"])
 def test_scores_on_edges(spark, edge, nothing, insults, operator):
     docs, labels = insults

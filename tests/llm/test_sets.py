@@ -1,9 +1,11 @@
 """Exact copies, near copies, mixture, lines, tokens, nearest vectors, and the pipeline."""
 
 import hashlib
+import math
 import random
 import re
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -271,6 +273,20 @@ def test_lines_by_hand(spark):
         assert got[i] == (len(body or []), len(body or []) - len(kept), text)
 
 
+def test_lines_of_a_very_large_host(spark, monkeypatch):
+    """Parts of hosts change nothing: repeated rows, rows without an id, a very long page, one host with most pages."""
+    rows = [(None if i % 9 == 0 else i % 300, "h" if i % 4 else f"g{i % 40}", ["nav", f"own {i}", "x" * 50_000 if i == 5 else "foot"]) for i in range(1200)]
+    pages = spark.createDataFrame([(*r, 1, 2) for r in rows], "page_id long, site string, body array<string>, part int, parts int").repartition(6)
+    found = []
+    for size in (lines.PART_PAGES, 7):
+        monkeypatch.setattr(lines, "PART_PAGES", size)
+        out = lines.drop_boilerplate(pages, "page_id", F.col("site"), F.col("body"))
+        found.append(sorted(map(str, out.collect())))
+    assert found[0] == found[1] and len(found[0]) == 1200
+    host = [r for r in lines.drop_boilerplate(pages, "page_id", F.col("site"), F.col("body")).collect() if r["host"] == "h"]
+    assert {r["n_dropped"] for r in host} == {1, 2} and sum(r["n_dropped"] == 1 for r in host) == 1
+
+
 def test_lines_edges(spark):
     schema = "page_id long, url string, html string, host string, text string"
     rows = [(None, None, None, "x", "y"), (1, "http://U@Ex.org:80/p", "<p>a</p>b<br/>", None, None), (2, "nope", "", "", "")]
@@ -333,6 +349,57 @@ def test_top_k_by_brute_force(spark, monkeypatch, shard_rows):
     assert got == sorted(want)
 
 
+def brute_top_k(rows, is_query, k):
+    whole = [(i, [math.floor(256 * Fraction(x)) for x in v]) for i, v in rows if i is not None and v]
+    out = []
+    for q in sorted({i for i, _ in whole if is_query(i)}):
+        v = min(list(x) for i, x in rows if i == q and x)
+        ints = [math.floor(256 * Fraction(x)) for x in v]
+        scored = sorted((-sum(a * b for a, b in zip(ints, w)), i) for i, w in whole if i != q and len(w) == len(ints))
+        out += [(q, n + 1, i, max(-topk.LARGEST, min(topk.LARGEST, -s))) for n, (s, i) in enumerate(scored[:k])]
+    return out
+
+
+@pytest.mark.parametrize("shard_rows", [topk.SHARD_ROWS, 12])
+def test_top_k_edges(spark, shard_rows):
+    """Null and repeated ids, clashing columns, integers beyond 64 bits, negative ones, equal rows."""
+    rng = random.Random(9)
+    rows = [(i, [rng.uniform(-9, 9) for _ in range(4)]) for i in range(60)]
+    rows += [(None, [1.0] * 4), (7, [0.5] * 4), (7, [0.5] * 4), (100, [1e200, 0.0, 1.0, 2.0]), (105, [-1e200, 1.0, 0.0, 3.0])]
+    rows += [(110, [2.0**58, 1.0, 0.0, 0.0]), (111, [2.0**58, 1.0, 0.0, 0.0]), (115, [3e30, -2e30, 1e9, 0.25]), (5, None)]
+    docs = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "vec_id long, embedding array<double>, id int, width int, floor string")
+    got = sorted(map(tuple, topk.top_k(docs.repartition(3), F.col("vec_id") % 5 == 0, k=3, shard_rows=shard_rows).collect()))
+    # Scores beyond 64 bits are ranked by their nearest doubles, which differ here.
+    assert got == sorted(brute_top_k(rows, lambda i: i % 5 == 0, 3))
+
+
+def test_queries_visit_few_shards_and_leaves(spark, monkeypatch):
+    """Vectors in directions: most shards cannot reach the k-th score, nor most leaves of a shard."""
+    rng = np.random.default_rng(3)
+    data = rng.normal(size=(4000, 16)) * 0.05
+    data[:, :4] += 5 * rng.choice([-1, 1], (4000, 4))
+    docs = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    visits, real = [], topk.materialise
+
+    def counted(df, name):
+        out = real(df, name)
+        if name in ("second-shards", "visits"):
+            visits.append(out.count())
+        return out
+
+    monkeypatch.setattr(topk, "materialise", counted)
+    got = topk.top_k(docs, F.col("vec_id") % 40 == 0, shard_rows=250).collect()
+    assert len(got) == 500 and sum(visits) < 0.35 * 100 * 16
+    ints = np.floor(256 * data)
+    for r in got[:50]:
+        scores = ints @ ints[r["query_id"]]
+        scores[r["query_id"]] = -np.inf
+        assert r["score"] == np.sort(scores)[-r["rank"]]
+    compared = []
+    topk.search(ints, np.arange(4000), ints[:50], list(range(50)), [-np.inf] * 50, 5, compared)
+    assert compared[0] < 0.3 * 50 * 4000
+
+
 def test_top_k_of_nothing(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, score int")
     assert topk.top_k(none, F.col("vec_id") % 50 == 0).count() == 0
@@ -381,16 +448,28 @@ def test_stages_leave_other_columns_alone(spark, prose, nothing):
     assert {tuple(r) for r in corpus_pipeline.keep_language(spark, docs, "").collect()} == set(rows)
 
 
-def test_a_group_hangs_in_a_tree(monkeypatch):
-    monkeypatch.setattr(near, "FAN", 3)
-    at = np.arange(40)
-    up = near.parents(at)
-    assert (up[1:] < at[1:]).all() and up[0] == 0 and np.bincount(up[1:]).max() <= 2 * 4
-    keys = np.array([5] * 10 + [7] + [9] * 30)
-    ids = np.arange(41) * 2
-    hung = near.hung(keys, ids)
-    assert hung[0] == 0 and hung[10] == 20 and hung[11] == 22 and (hung <= ids).all()
-    assert ((hung >= 22) == (ids >= 22)).all()
+def test_rows_point_to_the_smallest_of_their_key():
+    keys, ids = np.array([5] * 3 + [7] + [9] * 2), np.array([4, 6, 8, 1, 2, 9])
+    assert near.roots(keys, ids).tolist() == [4, 4, 4, 1, 2, 2]
+    assert not len(near.roots(keys[:0], ids[:0]))
+
+
+def test_a_large_family_and_many_chunks(spark, prose, monkeypatch):
+    """One text with many near copies: chunks of a few documents, partners and copies in parts."""
+    from daymark.llm import parts
+
+    for module, name, value in ((near, "CHUNK_KEYS", 2000), (near, "RANGE_KEYS", 5000), (near, "PARTNERS", 7), (parts, "PART_ROWS", 9)):
+        monkeypatch.setattr(module, name, value)
+    rng, base = random.Random(4), prose(1, 120)
+    rows = []
+    for i in range(220):
+        words = list(base)
+        words[rng.randrange(120)] = f"new{i}"
+        rows.append(" ".join(words) if i % 3 else " ".join(base).upper())
+    rows += [" ".join(prose(100 + i, 80)) for i in range(30)]
+    rows = list(enumerate(rows))
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), width=5, percent=80).collect()
+    assert {tuple(r) for r in got} == classes_by_hand(rows, 5, 80)
 
 
 def test_near_stage_takes_ids_of_32_bits(spark, prose):
