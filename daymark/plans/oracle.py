@@ -37,22 +37,22 @@ def rnd(expression: str, digits: int) -> str:
     return f"(round({expression}, {digits}) + 0.0)"
 
 
-def digits_of(name: str) -> int | None:
+def digits_of(name: str, std: int) -> int | None:
     """Decimals a feature is compared at; None where both engines do the same single operation."""
     if name.startswith("ma"):
         return 5
     if name.startswith("std"):
-        return 2
+        return std
     return 8 if name.startswith("volatility") else None
 
 
-def shown(name: str) -> str:
-    digits = digits_of(name)
+def shown(name: str, std: int) -> str:
+    digits = digits_of(name, std)
     return name if digits is None else f"{rnd(name, digits)} as {name}"
 
 
-def rounded(names) -> str:
-    return ", ".join(shown(n) for n in names)
+def rounded(names, std: int = 2) -> str:
+    return ", ".join(shown(n, std) for n in names)
 
 
 def pct(cur: str, prev: str) -> str:
@@ -289,6 +289,7 @@ ORACLE: dict[str, str] = {
     "src_csv_roundtrip": PRICE_ROWS,
     "src_csv_semicolon": q(RATES, f"select date, fx from rates"),
     "src_json_observations": q(RATES, f"select date, rate from rates"),
+    "src_json_range": q(RATES, "select date, rate from rates where date between date '1996-03-10' and date '1998-09-20'"),
     "src_json_timeline": q(
         TREND,
         "select cast(date as timestamp) as date, cast(trend_a as int) as trend_a, cast(trend_b as int) as trend_b "
@@ -376,7 +377,7 @@ ORACLE: dict[str, str] = {
     ),
     "event_features": q(
         EVENTS,
-        f"select series_id, event_id, {rounded(PRICE_ONLY)} from "
+        f"select series_id, event_id, {rounded(PRICE_ONLY, std=6)} from "
         f"(select *, {feature_select(PRICE_ONLY)} from events_keyed {windows('series_id', 'ts, event_id')})",
     ),
     "event_asof_join": """
@@ -585,3 +586,6 @@ from (select o_orderkey, (p_lr * 2.0 + p_gbm * 1.0 + p_rf * 1.0) / 4.0 as p
         f"where {' and '.join(f'{c} is not null' for c in INPUTS)}",
     ),
 }
+
+# A table that was brought up to date in steps is the table.
+ORACLE["features_incremental"] = ORACLE["features_full"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from daymark.functions import draws, scalars as S
 from daymark.operators import (
-    align, asof, blocked, ensemble, features, foldfit, folds, labels, metrics, oversample, quantile, rolling, scenarios,
+    align, asof, blocked, ensemble, features, foldfit, folds, incremental, labels, metrics, oversample, quantile, rolling, scenarios,
 )
 from daymark.plans import jobs
 from daymark.session import materialise, scratch_path
@@ -35,9 +36,12 @@ def rounded(df: DataFrame, **digits: int) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), n) + 0.0 for c, n in digits.items()})
 
 
-def rounded_features(df: DataFrame) -> DataFrame:
-    """Round sums and deviations; lags, differences and single ratios are exact in any engine."""
-    digits = {"ma": 5, "std": 2, "volatility": 8}
+def rounded_features(df: DataFrame, std: int = 2) -> DataFrame:
+    """Round sums and deviations; lags, differences and single ratios are exact in any engine.
+
+    ``std`` decimals of a deviation: daily prices have nine digits before the point, events two.
+    """
+    digits = {"ma": 5, "std": std, "volatility": 8}
     found = {c: n for c in df.columns for prefix, n in digits.items() if c.startswith(prefix)}
     return rounded(df, **found)
 
@@ -265,6 +269,41 @@ def features_full(spark, folder):
     return rounded_features(engineered(spark, folder).drop("n_orders"))
 
 
+@query
+def features_incremental(spark, folder):
+    """The feature frame of a table that came in steps: early rows, some of them wrong; corrections; the rest."""
+    names = ["rate", "fx", *TRENDS]
+    rows = materialise(aligned(spark, folder).select(SERIES, "date", "price", *names), "landed")
+
+    def build(df, w):
+        return features.add_features(labels.label_over(df, w), w)
+
+    store = incremental.FeatureStore(
+        spark, scratch_path(spark, "features"), rows.schema, [SERIES], "date", build, features.HALO, names, backward=True
+    )
+    early, wrong = F.col("date") < "2000-07-01", F.dayofyear("date") == 200
+    store.update(rows.filter(early).withColumn("price", F.when(wrong, 0.0).otherwise(F.col("price"))))
+    store.update(rows.filter(early & wrong))
+    store.update(rows.filter(~early))
+    return rounded_features(features.drop_incomplete(folds.with_year(store.read())))
+
+
+@query
+def src_json_range(spark, folder):
+    """A range of landed documents, a folder for each year: the other folders are not opened."""
+    path = scratch_path(spark, "rate-json")
+    value = F.coalesce(F.col("rate").cast("string"), F.lit("."))
+    entry = F.struct(S.iso_date(F.col("date")).alias("date"), value.alias("value"))
+    documents = (
+        tables.ship_rates(tables.ship_daily(spark, folder))
+        .groupBy(F.year("date").alias("year"))
+        .agg(F.collect_list(entry).alias("observations"))
+    )
+    documents.write.partitionBy("year").json(path)
+    dates = (dt.date(1996, 3, 10), dt.date(1998, 9, 20))
+    return files.read_observations_json(spark, path, multi_line=False, dates=dates)
+
+
 # ---------------------------------------------------------------- the same over raw events
 
 
@@ -290,7 +329,7 @@ def event_features(spark, folder):
     events = tables.event_stream(spark, folder)
     wide = blocked.blocked_window(events, [SERIES], "ts", apply, features.HALO, ties=["event_id"])
     names = [c for c in wide.columns if c not in (*events.columns, "position")]
-    return rounded_features(wide.select(SERIES, "event_id", *names))
+    return rounded_features(wide.select(SERIES, "event_id", *names), std=6)
 
 
 @query

@@ -11,6 +11,7 @@ import datetime as dt
 import re
 from collections.abc import Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +62,11 @@ def _year_holds(year: int, dates: Dates | None) -> bool:
     return (first is None or first.year <= year) and (last is None or year <= last.year)
 
 
+def _folder(path: str) -> str:
+    """Folder of a file, written the same way whoever lists it."""
+    return re.sub(r"^file:/+", "file:/", unquote(path)).rpartition("/")[0]
+
+
 def _headers(spark: SparkSession, files: Sequence[str]) -> dict[str, str]:
     """First line of each file, found in one job; a folder's name leads to it."""
     lines = spark.read.text(list(files)).select(
@@ -71,7 +77,7 @@ def _headers(spark: SparkSession, files: Sequence[str]) -> dict[str, str]:
     )
     # A file's first line is the first one of the block that starts it.
     first = lines.filter("start = 0").groupBy("path").agg(F.min_by("value", "at").alias("header"))
-    return {row.path.rpartition("/")[0]: row.header for row in first.collect()}
+    return {_folder(row.path): row.header for row in first.collect()}
 
 
 def read_csv_series(
@@ -97,7 +103,7 @@ def read_csv_series(
     for file in spark.read.text(path).inputFiles():
         year = YEAR_FOLDER.search(file)
         if year is None or _year_holds(int(year[1]), dates):
-            folders.setdefault(file.rpartition("/")[0], []).append(file)
+            folders.setdefault(_folder(file), []).append(file)
     if not folders:
         raise ValueError(f"no file at {path}")
     found = _headers(spark, [min(same) for same in folders.values()])

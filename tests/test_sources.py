@@ -66,7 +66,7 @@ def test_absent_timeline_gives_no_rows(spark, tmp_path, document):
 
 def test_first_record_or_message(spark, tmp_path):
     schema = "model string, accuracy double"
-    assert "message" in sinks.first_record(spark, str(tmp_path), "nothing", schema)
+    assert "nothing" in sinks.first_record(spark, str(tmp_path), "nothing", schema)["message"]
     frame = spark.createDataFrame([("m", 0.5)], schema)
     sinks.write_csv(frame, str(tmp_path), "summary")
     sinks.write_csv(frame, str(tmp_path), "summary")
@@ -121,3 +121,57 @@ def test_cut_off_timeline_stops_the_run_and_fractions_stay(spark, tmp_path):
     point = {"timestamp": "1704067200", "values": [{"extracted_value": 7.5}, {"extracted_value": 9}]}
     good = write(tmp_path, "g.json", json.dumps({"interest_over_time": {"timeline_data": [point]}}))
     assert files.read_timeline_json(spark, good).first().trend_a == 7.5
+
+
+def landed_years(tmp_path, years, suffix, text):
+    for year in years:
+        folder = tmp_path / f"year={year}"
+        folder.mkdir()
+        (folder / f"part{suffix}").write_text(text(year))
+    return str(tmp_path)
+
+
+def test_documents_outside_the_range_are_not_opened(spark, tmp_path):
+    def text(year):
+        if year in (1990, 2003):
+            return '{"observations": [{"date": '  # cut off: opening it is an error
+        return json.dumps({"observations": [{"date": f"{year}-0{m}-15", "value": str(m)} for m in (1, 5, 9)]})
+
+    path = landed_years(tmp_path, (1990, 2000, 2001, 2002, 2003), ".json", text)
+    found = files.read_observations_json(spark, path, multi_line=False, dates=(D(2000, 5, 15), D(2002, 5, 14)))
+    assert sorted(r.date for r in found.collect()) == [
+        D(2000, 5, 15), D(2000, 9, 15), D(2001, 1, 15), D(2001, 5, 15), D(2001, 9, 15), D(2002, 1, 15),
+    ]
+    with pytest.raises(Exception):
+        files.read_observations_json(spark, path, multi_line=False, dates=(None, D(2002, 5, 14))).collect()
+    one = tmp_path / "one.json"
+    one.write_text(text(2001))
+    assert files.read_observations_json(spark, str(one), dates=(D(2001, 5, 15), None)).count() == 2
+
+
+def test_timeline_range_counts_the_last_day_to_its_end(spark, tmp_path):
+    points = [{"timestamp": str(1704067200 + 3600 * h), "values": [{"extracted_value": h}, {"extracted_value": 0}]} for h in range(0, 72, 6)]
+    path = write(tmp_path, "t.json", json.dumps({"interest_over_time": {"timeline_data": points}}))
+    found = files.read_timeline_json(spark, path, dates=(D(2024, 1, 1), D(2024, 1, 2)))
+    assert sorted(r.trend_a for r in found.collect()) == list(range(0, 48, 6))
+
+
+def test_csv_folders_of_other_years_are_not_opened(spark, tmp_path):
+    def text(year):
+        return "Date;Close\n" if year == 1990 else f"Date,Close\n{year}-03-01,{year}.5\n"
+
+    path = landed_years(tmp_path, (1990, 2000, 2001), ".csv", text)
+    found = files.read_price_csv(spark, path, dates=(D(2000, 1, 1), None))
+    assert sorted((r.date, r.price) for r in found.collect()) == [(D(2000, 3, 1), 2000.5), (D(2001, 3, 1), 2001.5)]
+
+
+def test_folders_with_one_header_are_one_branch(spark, tmp_path):
+    for i in range(12):
+        folder = tmp_path / f"day{i:02}"
+        folder.mkdir()
+        head, row = ("Date,Close", f"2024-01-{i + 1:02},{i}.5") if i % 3 else ("Close,Date", f"{i}.5,2024-01-{i + 1:02}")
+        (folder / "a.csv").write_text(f"{head}\n{row}\n")
+        (folder / "b.csv").write_text(f"{head}\n")
+    frame = files.read_price_csv(spark, str(tmp_path / "*"))
+    assert {(r.date.day, r.price) for r in frame.collect()} == {(i + 1, i + 0.5) for i in range(12)}
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
