@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import SparkContext, StorageLevel, inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -205,6 +205,19 @@ def fold_rows(
     return rows.select("features", "target", weight.alias("weight")), weights.n_train, PipelineModel([scaler, assembler])
 
 
+def shippable(model: Model) -> Model:
+    """A fitted model without its training summary.
+
+    A summary refers to the session, and a session that has observed a write cannot be serialised, so
+    a model that keeps its summary could not be sent to the tasks that score with it.
+    """
+    model = model.copy()
+    if getattr(model, "hasSummary", False):
+        jvm = SparkContext._active_spark_context._jvm
+        model._java_obj.setSummary(jvm.scala.Option.empty())
+    return model
+
+
 def fit_linear(data: FoldData, folds: Sequence[int] | None = None) -> dict[int, foldfit.Linear]:
     """The logistic member of all folds, fitted side by side in shared passes over the rows."""
     return foldfit.fit_folds(data, folds, C, L1_RATIO)
@@ -238,7 +251,7 @@ def fit_fold(
             "rf": lambda: random_forest(n),
         }
         rows.count()
-        fit = inheritable_thread_target(rows.sparkSession)(lambda m: learners[m]().fit(rows))
+        fit = inheritable_thread_target(rows.sparkSession)(lambda m: shippable(learners[m]().fit(rows)))
         try:
             with ThreadPoolExecutor(max_workers=len(alone)) as pool:
                 shared |= dict(zip(alone, pool.map(fit, alone)))
