@@ -11,6 +11,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def local_session(app_name: str = "daymark", cpus: str | int = "*", **conf: str) -> SparkSession:
@@ -33,6 +34,16 @@ def local_session(app_name: str = "daymark", cpus: str | int = "*", **conf: str)
     return spark
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let a batch of rows for Python take few megabytes, unless the session says otherwise.
+
+    The default (64 MB or 10,000 rows) holds a batch of long texts several times in each task: in the
+    JVM, in Python, and while buffers grow.
+    """
+    if spark.conf.get(BATCH_CONF, None) in (None, "67108864b", "64MB"):
+        spark.conf.set(BATCH_CONF, BATCH_BYTES)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the cluster in ``spark.checkpoint.dir``.
 
