@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from daymark.session import small_batches
+
 #: Rows turned into Python objects at once, so that a batch of long texts stays small.
 SLICE = 128
 
@@ -196,6 +198,7 @@ def told_apart(docs: DataFrame, spot: Column, bits: np.ndarray) -> tuple[DataFra
 
 def map_rows(df: DataFrame, function: Callable, schema: str | T.StructType) -> DataFrame:
     """``function`` turns an iterator of small Arrow batches into an iterator of column lists."""
+    small_batches(df.sparkSession)
     out = arrow_schema(schema)
 
     def run(batches):
