@@ -499,14 +499,17 @@ class Join:
                 yield [[a[i] for i in keep], [b[i] for i in keep]]
 
         for sketch in ("fold", "sketch"):
-            sided = materialise(sided, "sided")
             for side in "ab":
                 told = self.firsts(sketch).select(
                     F.col("id").alias(side), F.col("size").alias(f"n{side}"), F.col(sketch).alias(f"s{side}")
                 )
-                # A document that is in very many pairs is looked up in parts.
-                often = sided.groupBy(side).agg(F.count("*").alias("often"))
-                sided = joined_by_parts(sided, often.join(told, side), side, "often").drop("often")
+                if (sketch, side) == ("fold", "b"):
+                    # The smaller id of a pair may be that of very many; it is looked up in parts.
+                    sided = materialise(sided, "sided")
+                    often = sided.groupBy("b").agg(F.count("*").alias("often"))
+                    sided = joined_by_parts(sided, often.join(told, "b"), "b", "often").drop("often")
+                else:
+                    sided = sided.join(told, side)
             sided = map_rows(sided.select("a", "b", "na", "nb", "sa", "sb"), run, "a long, b long")
         return sided
 
