@@ -46,8 +46,8 @@ BAND, SPARE = Fraction(3, 2), Fraction(1, 50)
 FEWEST_BITS, MOST_BITS = 512, 4096
 #: Members of one block of a group; partners of one part of a document.
 BLOCK, PARTNERS = 1024, 500
-#: Groups up to this size give their pairs at once, without sketches.
-SMALL = 32
+#: Groups above this size first give each member's closest partner, by one key in so many.
+SMALL, FIRST_KEYS = 32, 16
 #: Keys of one chunk of documents, keys that a range stands for.
 CHUNK_KEYS, RANGE_KEYS = 1 << 19, 400_000
 #: Bits of a key that travel; keys that agree in them by chance cost a comparison.
@@ -137,10 +137,10 @@ def part_keys(hashes: np.ndarray, band: int, bands: Bands) -> np.ndarray:
     return mix64(keys ^ mix64(shown + np.uint64(band << 32) + np.uint64(0x5851F42D4C957F2D)))
 
 
-def short_sketch(hashes: np.ndarray) -> bytes:
+def short_sketch(hashes: np.ndarray, bits_a_shingle: float = 2.0) -> bytes:
     """Parity of the set in a power of two of bits."""
     bits = FEWEST_BITS
-    while bits < min(2 * len(hashes), MOST_BITS):
+    while bits < min(bits_a_shingle * len(hashes), MOST_BITS):
         bits *= 2
     flips = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8)).tobytes()
@@ -159,7 +159,8 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             found = [shingle_set(v, width) for v in batch.column(1).to_pylist()]
             sketches = [short_sketch(h) for h in found]
-            folds = [folded([s], FEWEST_BITS // 8).tobytes() for s in sketches]
+            # Enough bits to refute most pairs, few enough to travel with every row of a group.
+            folds = [short_sketch(h, 0.75) for h in found]
             yield [batch.column(0), [len(h) for h in found], [_digest(h) for h in found], sketches, folds]
 
     return map_rows(docs, run, "id long, size long, digest binary, sketch binary, fold binary")
@@ -458,12 +459,15 @@ class Join:
     def compare(self, mixed: DataFrame, best: bool) -> None:
         """Verify pairs of different classes inside the mixed groups, block by block.
 
-        Small groups share most of their pairs with other groups, so their pairs are made distinct
-        before sketches are looked up; larger ones carry short sketches, as most of their pairs fall.
+        Rows carry short sketches, as most pairs fall by them. ``best`` joins large families cheaply, by each
+        member's closest partner in some of the large groups; every pair of classes that this leaves is
+        met without it.
         """
         percent = self.percent
         order = ["key", "x", "y"]
-        rest = mixed.filter(F.col("n") > SMALL).join(self.firsts("fold").withColumnRenamed("fold", "sketch"), "id")
+        if best:
+            mixed = mixed.filter((F.col("n") > SMALL) & (F.pmod(F.xxhash64("key"), F.lit(FIRST_KEYS)) == 0))
+        rest = mixed.join(self.firsts("fold").withColumnRenamed("fold", "sketch"), "id")
         middle = rest.filter(F.col("n") <= BLOCK).select("key", "id", "class", "size", "sketch", F.lit(0).alias("part"))
         middle = middle.withColumns({"x": F.lit(0), "y": F.lit(0)})
         # Groups above one block: every pair of parts is one block.
@@ -476,14 +480,10 @@ class Join:
         large = large.withColumns({"x": F.least("part", "other"), "y": F.greatest("part", "other")}).drop("other")
         blocks = middle.unionByName(large).repartition(*order).sortWithinPartitions(*order)
         pairs = blocks.mapInArrow(compare_blocks(percent, best), "a long, b long")
-        if not best:
-            sized = mixed.filter(F.col("n") <= SMALL).join(self.firsts("fold").select("id", "size"), "id")
-            small = sized.select("key", "id", "class", "size", F.lit(0).alias("part"))
-            small = small.withColumns({"x": F.lit(0), "y": F.lit(0)}).repartition(*order).sortWithinPartitions(*order)
-            pairs = pairs.union(small.mapInArrow(compare_blocks(percent, False), "a long, b long"))
-        self.verify(self.unrefuted(pairs))
+        # The short sketches have been compared.
+        self.verify(self.unrefuted(pairs, ("sketch",)))
 
-    def unrefuted(self, pairs: DataFrame) -> DataFrame:
+    def unrefuted(self, pairs: DataFrame, sketches: tuple[str, ...] = ("fold", "sketch")) -> DataFrame:
         """Distinct pairs whose sketches differ in few enough bits: the short ones first."""
         bands = Bands(self.percent)
         sided = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
@@ -498,7 +498,7 @@ class Join:
                         keep.append(i)
                 yield [[a[i] for i in keep], [b[i] for i in keep]]
 
-        for sketch in ("fold", "sketch"):
+        for sketch in sketches:
             for side in "ab":
                 told = self.firsts(sketch).select(
                     F.col("id").alias(side), F.col("size").alias(f"n{side}"), F.col(sketch).alias(f"s{side}")
