@@ -144,7 +144,7 @@ def test_one_crowded_instant_is_split(spark):
     # Adaptive execution would put so few rows back together.
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        pieces = blocked._Pieces(source, ["series_id"], "ts", ["event_id"])
+        pieces = blocked.Pieces(source, ["series_id"], "ts", ["event_id"])
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert pieces.reduced.count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
