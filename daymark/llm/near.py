@@ -283,6 +283,15 @@ def close_pairs(rows: dict[str, np.ndarray], sketches: list[bytes] | None, perce
     block, ids, classes, sizes, parts, across = (rows[c] for c in ("block", "id", "class", "size", "part", "across"))
     n, found = len(ids), []
     words = folded(sketches, FEWEST_BITS // 8) if sketches is not None else None
+    lengths = np.array([len(x) for x in sketches]) if sketches is not None else None
+    # Rows whose sketch is that long, folded to each length that two of them may share.
+    longer = {}
+    if sketches is not None:
+        for size in np.unique(lengths[lengths > FEWEST_BITS // 8]):
+            have = np.flatnonzero(lengths >= size)
+            place = np.full(n, -1)
+            place[have] = np.arange(len(have))
+            longer[int(size)] = (place, folded([sketches[i] for i in have], int(size)))
     closest = np.full(n, 1 << 30)
     partner = np.full(n, -1)
     i = np.arange(n)
@@ -303,12 +312,13 @@ def close_pairs(rows: dict[str, np.ndarray], sketches: list[bytes] | None, perce
         differing = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64)
         fits = differing <= most
         a, b, most, differing = a[fits], b[fits], most[fits], differing[fits]
-        for k in range(len(a)):
-            # Long sketches say more than their folded form.
-            size = min(len(sketches[a[k]]), len(sketches[b[k]]))
-            if size > FEWEST_BITS // 8:
-                pair = folded([sketches[a[k]], sketches[b[k]]], size)
-                differing[k] = np.bitwise_count(pair[0] ^ pair[1]).sum(dtype=np.int64)
+        # Long sketches say more than their folded form.
+        shared = np.minimum(lengths[a], lengths[b])
+        for size in np.unique(shared[shared > FEWEST_BITS // 8]):
+            at = np.flatnonzero(shared == size)
+            place, rows_of = longer[int(size)]
+            gap = rows_of[place[a[at]]] ^ rows_of[place[b[at]]]
+            differing[at] = np.bitwise_count(gap).sum(axis=1, dtype=np.int64)
         fits = differing <= most
         a, b, differing = a[fits], b[fits], differing[fits]
         if not best:
