@@ -1,12 +1,14 @@
 """Optional minority oversampling: interpolate between a minority row and one of its neighbours.
 
-Neighbours are exact, found by pivots. Some points are drawn as pivots and every point belongs to the
-nearest one; a pivot's points are cut into rings by their distance from it. A probe's nearest pivots,
+Neighbours are exact. Of equal points only the first few can be neighbours of anything, so a point with
+enough copies has its neighbours among them, and no more than these few are searched. The others'
+neighbours are found by pivots. Some points are drawn as pivots and every point belongs to the nearest one; a pivot's points are cut into rings by their distance from it. A probe's nearest pivots,
 and its own ring, give it a first radius. It then only visits pivots and rings that can hold something
 closer: by the triangle inequality from the ring's distances, and by the plane halfway between the
 ring's pivot and its own. Inside a ring it is compared only with points whose distance from the
 pivot lies within the radius of its own. Pivots, rings and visits are tables; a task compares one
-bounded chunk of probes with one bounded ring and returns candidates, never the pairs.
+bounded chunk of a ring's probes with the ring and returns candidates within the radius, never the pairs. A
+ring is sent once for each such chunk, so what is sent grows with points and visits alone.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from daymark.functions import draws
-from daymark.operators import blocked
+from daymark.operators import asof, blocked
 from daymark.session import materialise
 
 # Fixed value: neighbours considered per minority row.
@@ -144,7 +146,7 @@ def _closest(k: int, counter: Accumulator | None):
             order = np.lexsort((right[at], square, row))
             row, at, square = row[order], at[order], square[order]
             rank = np.arange(len(row)) - np.searchsorted(row, row, "left")
-            best = rank < k
+            best = (rank < k) & (square <= reach[row] ** 2)
             out.append((left[row[best]], right[at[best]], square[best]))
             start = end
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 2 + [np.empty(0)]
@@ -172,12 +174,16 @@ _EMPTY = {
 
 def _search(probes: DataFrame, points: DataFrame, k: int, counter: Accumulator | None) -> DataFrame:
     """Candidates for probes that carry the ``pivot`` and ``ring`` to visit."""
-    keys = ["pivot", "ring", "_chunk"]
-    probes = probes.withColumn("_chunk", F.floor(F.col("idx") / CHUNK_ROWS))
-    wanted = probes.select(*keys).distinct()
+    cell, keys = ["pivot", "ring"], ["pivot", "ring", "_chunk"]
+    # A ring goes to chunks of its own probes: most rings have one.
+    asked = probes.groupBy(*cell).agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("_chunks"))
+    asked = materialise(asked, "ring-chunks")
     # Fresh column names for the right side: both sides descend from the same table.
-    copies = points.join(wanted, ["pivot", "ring"]).select(*[F.col(c).alias(c) for c in (*keys, "idx", "v", "d")])
-    sent = probes.select(*keys, "idx", "v", "d", "radius")
+    copies = points.join(asked, cell).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+    copies = copies.select(*[F.col(c).alias(c) for c in (*keys, "idx", "v", "d")])
+    several = asked.filter("_chunks > 1")
+    number = F.pmod(F.xxhash64("idx"), F.coalesce("_chunks", F.lit(1))).cast("int")
+    sent = probes.join(several, cell, "left").select(*cell, number.alias("_chunk"), "idx", "v", "d", "radius")
     return _both(sent, copies, _closest(k, counter), keys, FOUND, _EMPTY[FOUND])
 
 
@@ -198,7 +204,30 @@ def nearest(
     Both sides have a unique ``idx`` (points ``v``, array of double, too); probes are some of the points.
     With fewer than ``k`` others a probe has all of them. ``counter`` adds up the pairs compared.
     """
-    points = points.select("idx", "v")
+    wanted = probes.select("idx").distinct()
+    equal = Window.partitionBy("v").orderBy("idx")
+    whole = equal.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # The first k + 1 of equal points; ``equal`` has them where there are that many.
+    firsts = points.select("idx", "v", F.row_number().over(equal).alias("copy")).filter(F.col("copy") <= k + 1)
+    firsts = firsts.withColumn("_same", F.collect_list("idx").over(whole))
+    firsts = materialise(
+        firsts.select(
+            "idx", "v", "copy", (F.size("_same") > k).alias("full"),
+            F.when((F.col("copy") == 1) & (F.size("_same") > k), F.col("_same")).alias("equal"),
+        ),
+        "firsts",
+    )
+    # The first of very many equal points is carried to all of them in their order, not joined by one key.
+    heads = firsts.filter("equal is not null").select("v", F.col("idx").alias("_at"), "equal")
+    copies = points.select("idx", "v", F.col("idx").alias("_at")).join(wanted, "idx", "left_semi")
+    among = asof.asof_join(copies, heads, ["v"], "_at", ["equal"], how="inner")
+    others = F.slice(F.filter("equal", lambda x: x != F.col("idx")), 1, k)
+    crowded = among.select("idx", F.posexplode(others).alias("rank", "neighbour")).select(
+        "idx", "neighbour", F.lit(0.0).alias("distance"), "rank"
+    )
+
+    points = firsts.filter(F.col("copy") <= k).select("idx", "v")
+    wanted = firsts.filter("not full").select("idx").join(wanted, "idx", "left_semi")
     n, last = points.agg(F.count("*"), F.max("idx")).first()
     count = min(MOST_PIVOTS, n, max(k + 1, math.isqrt(n)))
     chunk = F.floor(F.col("idx") / CHUNK_ROWS)
@@ -225,7 +254,7 @@ def nearest(
         "rings",
     )
     spans = cells.groupBy("pivot", "ring").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-    asked = cells.join(probes.select("idx").distinct(), "idx", "left_semi")
+    asked = materialise(cells.join(wanted, "idx", "left_semi"), "asked")
 
     first = materialise(_best(_search(asked, cells, k, counter), k), "first-neighbours")
     kth = first.groupBy("idx").agg(F.count("*").alias("_found"), F.max("square").alias("_far"))
@@ -239,10 +268,9 @@ def nearest(
     near = (F.col("d") - reach <= F.col("hi")) & (F.col("d") + reach >= F.col("lo"))
     searched = (F.col("pivot") == F.col("own")) & (F.col("ring") == F.col("own_ring"))
     elsewhere = visits.join(spans, "pivot").filter(near & ~searched).select("idx", "v", "pivot", "ring", "d", "radius")
-    more = _search(elsewhere, cells, k, counter)
-    return _best(first.select("idx", "neighbour", "square").unionByName(more), k).select(
-        "idx", "neighbour", F.sqrt("square").alias("distance"), "rank"
-    )
+    more = _search(materialise(elsewhere, "visits"), cells, k, counter)
+    searched = _best(first.select("idx", "neighbour", "square").unionByName(more), k)
+    return searched.select("idx", "neighbour", F.sqrt("square").alias("distance"), "rank").unionByName(crowded)
 
 
 def synthesise(minority: DataFrame, n_rows: int, wanted: int, seed: int, k: int = NEIGHBOURS) -> DataFrame:

@@ -97,3 +97,51 @@ def test_data_that_cannot_be_oversampled_is_unchanged(spark, cloud, n_up):
     frame, weights = labelled(spark, cloud, n_up)
     balanced, new = oversample.balance(frame, weights, 0.9, 42)
     assert balanced is frame and new is weights
+
+
+def sent_points(monkeypatch):
+    """Right sides of the comparisons, as they are planned."""
+    sent, plain = [], oversample._both
+
+    def both(one, other, function, keys, schema, empty):
+        if schema == oversample.FOUND:
+            sent.append(other)
+        return plain(one, other, function, keys, schema, empty)
+
+    monkeypatch.setattr(oversample, "_both", both)
+    return sent
+
+
+@pytest.mark.parametrize("copied", [False, True])
+def test_rings_are_sent_once_for_a_chunk_of_their_probes(spark, monkeypatch, copied):
+    """The points sent follow the points, not their product with the chunks of all probes."""
+    rng = np.random.default_rng(3)
+    points = rng.uniform(size=(1500, 3))
+    if copied:
+        points[300:] = points[rng.integers(0, 300, 1200)]
+        points[600:900] = points[5]
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(points)], "idx bigint, v array<double>")
+    monkeypatch.setattr(oversample, "CHUNK_ROWS", 30)
+    sent = sent_points(monkeypatch)
+    found = oversample.nearest(rows, rows.select("idx"), ring_rows=30).toPandas().sort_values(["idx", "rank"])
+    # Before, a ring went to the chunks that its probes had among all probes.
+    assert sum(df.count() for df in sent) < 14 * 1500
+    found = found.groupby("idx")["neighbour"].apply(list)
+    assert len(found) == 1500
+    for i in range(1500):
+        square = np.zeros(1500)
+        for c in range(3):
+            square += (points[i, c] - points[:, c]) ** 2
+        square[i] = np.inf
+        assert found[i] == np.lexsort((np.arange(1500), square))[: oversample.NEIGHBOURS].tolist()
+
+
+def test_equal_points_are_not_compared_with_each_other(spark):
+    points = [(i, [float(i)] if i < 50 else [7.5]) for i in range(6000)]
+    rows = spark.createDataFrame(points, "idx bigint, v array<double>")
+    counter = spark.sparkContext.accumulator(0)
+    found = oversample.nearest(rows, rows.select("idx"), counter=counter).toPandas().sort_values(["idx", "rank"])
+    assert counter.value < 50_000
+    found = found.groupby("idx")["neighbour"].apply(list)
+    assert found[50] == [51, 52, 53, 54, 55] and found[52] == [50, 51, 53, 54, 55] and found[5999] == [50, 51, 52, 53, 54]
+    assert found[7] == [50, 51, 52, 53, 54] and found[0] == [1, 2, 3, 4, 5]
