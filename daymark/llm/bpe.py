@@ -15,6 +15,7 @@ import unicodedata
 from functools import lru_cache
 from itertools import chain
 from pathlib import Path
+from weakref import ref
 
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
@@ -75,8 +76,10 @@ class WordBpe:
         )
         self.beyond = re.compile(f"[^\\x00-{chr(PLAIN - 1)}]")
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
-        # Words repeat; the usual ones are merged once a task.
-        self.short = lru_cache(200_000)(self.word)
+        # Words repeat; the usual ones are merged once a task. The memory must not hold the model strongly: a
+        # model that holds itself stays in a worker after its task, beside those of the next tasks.
+        this = ref(self)
+        self.short = lru_cache(200_000)(lambda text: this().word(text))
 
     @classmethod
     def load(cls, path: str) -> WordBpe:

@@ -385,6 +385,9 @@ class Join:
         # Equal sets are one class at once; only the smallest id of each goes on. The copies of one
         # set, which may be a large part of all rows, meet their first in parts.
         slim = self.sets.select("id", "size", "digest")
+        # One row an id, dealt once: every look-up of sketches reads it.
+        firsts = self.sets.select("id", "size", "sketch", "fold").dropDuplicates(["id"])
+        self.firsts = materialise(firsts, "firsts")
         first = slim.filter("size > 0").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"))
         told = joined_by_parts(slim, first.filter("n > 1"), "digest", "n", "left")
         self.members = materialise(told.select("id", "size", F.coalesce("first", "id").alias("rep")), "members")
@@ -451,9 +454,6 @@ class Join:
         further = degrees.join(best.select(F.col("a").alias("b"), F.col("b").alias("beyond")), "b")
         return best.unionByName(joined_by_parts(best, further, "b", "n").select("a", F.col("beyond").alias("b")))
 
-    def firsts(self, sketch: str) -> DataFrame:
-        return self.sets.select("id", "size", sketch).dropDuplicates(["id"])
-
     def mixed(self) -> DataFrame:
         """Members of groups that still hold several classes, with the size of the group.
 
@@ -477,7 +477,7 @@ class Join:
         order = ["key", "x", "y"]
         if best:
             mixed = mixed.filter((F.col("n") > SMALL) & (F.pmod(F.xxhash64("key"), F.lit(FIRST_KEYS)) == 0))
-        rest = mixed.join(self.firsts("fold").withColumnRenamed("fold", "sketch"), "id")
+        rest = mixed.join(self.firsts.select("id", "size", F.col("fold").alias("sketch")), "id")
         middle = rest.filter(F.col("n") <= BLOCK).select("key", "id", "class", "size", "sketch", F.lit(0).alias("part"))
         middle = middle.withColumns({"x": F.lit(0), "y": F.lit(0)})
         # Groups above one block: every pair of parts is one block.
@@ -510,7 +510,7 @@ class Join:
 
         for sketch in sketches:
             for side in "ab":
-                told = self.firsts(sketch).select(
+                told = self.firsts.select(
                     F.col("id").alias(side), F.col("size").alias(f"n{side}"), F.col(sketch).alias(f"s{side}")
                 )
                 if (sketch, side) == ("fold", "b"):

@@ -360,3 +360,25 @@ def test_personal_edges(edge, nothing):
     assert out.count() == 10 and out.columns[-1] == "spans"
     assert personal.redact(out).count() == 10
     assert personal.find_personal(nothing, personal.train(nothing)).count() == 0
+
+
+def test_a_tokenizer_model_is_gone_with_its_last_use():
+    """A worker's next task must not find the model and the remembered words of the one before."""
+    import gc
+    import pickle
+    import weakref
+
+    from public_tokenizers import path as tokenizer_path
+
+    from daymark.llm import bpe
+
+    model = pickle.loads(pickle.dumps(bpe.WordBpe.load(tokenizer_path("word_bpe_49k.json"))))
+    assert model.encode("Old words, old WORDS") and model.short.cache_info().hits
+    gone, gathering = weakref.ref(model), gc.isenabled()
+    gc.disable()
+    try:
+        del model
+        assert gone() is None
+    finally:
+        if gathering:
+            gc.enable()
