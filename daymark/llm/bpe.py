@@ -51,21 +51,21 @@ class WordBpe:
     """A word-end byte-pair vocabulary; ``load`` reads it on the driver, tasks get its tables."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str, special: dict[str, int], normalizer, splitter):
-        self.vocab, self.suffix, self.special = vocab, suffix, special
-        self.normalizer, self.splitter = normalizer, splitter
-        self.merges = merges
         # Rank and id of each join, packed, by the packed ids of its parts.
-        self.joins = {
+        joins = {
             vocab[a] << 20 | vocab[b]: rank << 20 | vocab[a + b] for rank, (a, b) in enumerate(merges)
         }
-        self.tokens = {i: t for t, i in chain(vocab.items(), special.items())}
-        self._prepare()
+        self.__setstate__((vocab, joins, suffix, special, normalizer, splitter))
 
     def __getstate__(self):
-        return self.vocab, self.merges, self.suffix, self.special, self.normalizer, self.splitter
+        return self.vocab, self.joins, self.suffix, self.special, self.normalizer, self.splitter
 
     def __setstate__(self, state):
-        self.__init__(*state)
+        self.vocab, self.joins, self.suffix, self.special, self.normalizer, self.splitter = state
+        self.tokens = {i: t for t, i in chain(self.vocab.items(), self.special.items())}
+        # One object an id, which all remembered words share.
+        self.numbers = list(range(1 + max(self.vocab.values(), default=-1)))
+        self._prepare()
 
     def _prepare(self) -> None:
         self.symbols = byte_symbols()
@@ -112,7 +112,8 @@ class WordBpe:
         # The mark of the word's end belongs to the last symbol.
         parts = [vocab[c] for c in text[:-1]]
         parts.append(vocab[text[-1] + self.suffix])
-        return tuple(self._scan(parts) if len(parts) <= SCANNED else self._queue(parts))
+        found = self._scan(parts) if len(parts) <= SCANNED else self._queue(parts)
+        return tuple(map(self.numbers.__getitem__, found))
 
     def _scan(self, parts: list[int]) -> list[int]:
         """``parts`` lie between consecutive boundaries; ``joins`` has the rank at each inner one."""

@@ -46,6 +46,8 @@ BAND, SPARE = Fraction(3, 2), Fraction(1, 50)
 FEWEST_BITS, MOST_BITS = 512, 4096
 #: Members of one block of a group; partners of one part of a document.
 BLOCK, PARTNERS = 1024, 500
+#: Rows of whole blocks that are compared side by side.
+HELD = 10_000
 #: Groups above this size first give each member's closest partner, by one key in so many.
 SMALL, FIRST_KEYS = 32, 16
 #: Keys of one chunk of documents, keys that a range stands for.
@@ -354,6 +356,8 @@ def compare_blocks(percent: int, best: bool):
         for batch in batches:
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table])
+            if held.num_rows < HELD:
+                continue
             last = held.num_rows - 1
             ends = [held.column(c)[last].as_py() for c in ("key", "x", "y")]
             keys = [held.column(c).to_numpy() for c in ("key", "x", "y")]

@@ -11,7 +11,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
-BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "1m"
 
 
 def local_session(app_name: str = "daymark", cpus: str | int = "*", **conf: str) -> SparkSession:
@@ -35,7 +35,7 @@ def local_session(app_name: str = "daymark", cpus: str | int = "*", **conf: str)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Let a batch of rows for Python take few megabytes, unless the session says otherwise.
+    """Let a batch of rows for Python take about a megabyte, unless the session says otherwise.
 
     The default (64 MB or 10,000 rows) holds a batch of long texts several times in each task: in the
     JVM, in Python, and while buffers grow.
