@@ -24,6 +24,8 @@ from daymark.llm.common import with_scores
 
 #: Words above this many symbols are merged with a queue.
 SCANNED = 96
+#: Words a task remembers; an entry takes some 250 bytes, and every Python worker of an executor has its own.
+REMEMBERED = 1 << 16
 #: Code points below this one take the plain expressions; their letters and numbers are settled.
 PLAIN = 0x250
 _NEVER, _ID = 1 << 60, (1 << 20) - 1
@@ -79,7 +81,7 @@ class WordBpe:
         # Words repeat; the usual ones are merged once a task. The memory must not hold the model strongly: a
         # model that holds itself stays in a worker after its task, beside those of the next tasks.
         this = ref(self)
-        self.short = lru_cache(200_000)(lambda text: this().word(text))
+        self.short = lru_cache(REMEMBERED)(lambda text: this().word(text))
 
     @classmethod
     def load(cls, path: str) -> WordBpe:

@@ -207,6 +207,8 @@ def map_rows(df: DataFrame, function: Callable, schema: str | T.StructType) -> D
                 [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, out)],
                 names=out.names,
             )
+        # A worker outlives its task; what Arrow keeps for later batches would stay beside the next task's.
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

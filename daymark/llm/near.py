@@ -264,7 +264,9 @@ def groups_of(texts: DataFrame, copies: DataFrame, width: int, percent: int, shi
     ranges = 1 + int(shingles * 3 * (100 - percent) / 100) // RANGE_KEYS
     sift = Sift(copies, F.col("id"))
     sent = sent_keys(texts.select("id", "body", sift.spot(F.col("id")).alias("spot")), width, percent, ranges, sift.words)
-    unsure = sift.kept(texts, F.col("id")).join(copies, "id", "left_anti").select("id", "body")
+    # Few rows, written out: a stage that looks ids up and makes keys holds two Python workers a core, and
+    # an executor keeps them for all later stages.
+    unsure = materialise(sift.kept(texts, F.col("id")).join(copies, "id", "left_anti").select("id", "body"), "unsure")
     sent = sent.unionByName(sent_keys(unsure, width, percent, ranges))
     return sent.groupBy("to").applyInArrow(gathered, "key long, id long, pivot long")
 
@@ -513,6 +515,9 @@ class Join:
                 yield [[a[i] for i in keep], [b[i] for i in keep]]
 
         for sketch in sketches:
+            if sketch != sketches[0]:
+                # Small tables are joined without a shuffle; written out, no stage compares twice.
+                sided = materialise(sided, "unrefuted")
             for side in "ab":
                 told = self.firsts.select(
                     F.col("id").alias(side), F.col("size").alias(f"n{side}"), F.col(sketch).alias(f"s{side}")

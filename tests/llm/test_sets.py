@@ -492,3 +492,45 @@ def test_language_stage_keeps_short_and_mixed_texts(spark, prose):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r["doc_id"] for r in corpus_pipeline.keep_language(spark, docs, "").collect()}
     assert kept == set(range(len(rows) - 2))
+
+
+def python_operators(plan):
+    """Most Python operators that one stage of a printed plan runs on a row; exchanges end a stage."""
+    path, most = [], 0
+    for line in plan.splitlines():
+        name = line.lstrip(" :+-")
+        depth = len(line) - len(name)
+        while path and path[-1][0] >= depth:
+            path.pop()
+        above = path[-1][1] if path else 0
+        count = 0 if re.match(r"(\w*Exchange|\w*QueryStage)", name) else above + bool(re.search(r"^(\*\(\d+\) )?(MapInArrow|FlatMap\w+InArrow|ArrowEvalPython)", name))
+        path.append((depth, count))
+        most = max(most, count)
+    return most
+
+
+def test_no_near_stage_holds_two_python_workers_a_core(spark, prose, monkeypatch):
+    """Tables small enough for broadcast joins must not chain Python operators: executors keep the workers."""
+    plans, real = {}, near.materialise
+
+    def seen(df, name, *more):
+        plans.setdefault(name, []).append(python_operators(df._jdf.queryExecution().executedPlan().toString()))
+        return real(df, name, *more)
+
+    monkeypatch.setattr(near, "materialise", seen)
+    base = prose(3, 120)
+    texts = [" ".join(base[: 100 + i % 4]) for i in range(40)] + [" ".join(prose(50 + i, 60)) for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in near.near_duplicates(docs).collect()}
+    assert got == {i: 0 if i < 40 else i for i in range(60)}
+    assert plans["groups"] and plans["unrefuted"] and plans["pairs"]
+    assert {k: max(v) for k, v in plans.items() if max(v) > 1} == {}
+
+
+def test_bpe_remembers_a_bounded_number_of_words(word_bpe):
+    """Every Python worker of an executor has its own memory of words."""
+    model = word_bpe
+    words = [f"w{i:x}q" for i in range(70_000)]
+    ids = model.encode(" ".join(words))
+    assert model.short.cache_info().currsize <= 1 << 16
+    assert ids == [i for w in words for i in model.encode(w)]
