@@ -3,8 +3,8 @@
 1. Each input task collapses its own rows in an open-addressing table that compares complete
    contents, so that a text with very many copies leaves one entry a task.
 2. Entries are dealt to buckets by a hash of their content. A bucket above ``bucket_bytes`` that
-   holds more than one hash is spilled to the shared folder and dealt again by another hash, level
-   after level; every bucket that fits is resolved by one table of complete contents.
+   holds more than one hash is spilled to the shared folder and dealt again by another hash, each
+   into buckets of its own, level after level; every bucket that fits is resolved by one table of complete contents.
 3. Every row gets its entry's result. A row is joined by the number of its entry, which stands for
    rows of one task only, so copies do not meet in one partition.
 """
@@ -141,11 +141,25 @@ MEMBERS = (
 
 
 def resolve(batches):
-    """One bucket's entries to (entry, id that stays, its serial if it is here, group size)."""
-    table, groups, entries = ContentTable(), [], []
+    """Entries of one bucket after another to (entry, id that stays, its serial if it is here, group size)."""
+    bucket, table, groups, entries = None, ContentTable(), [], []
+
+    def settled():
+        for start in range(0, len(entries), 10_000):
+            part = entries[start : start + 10_000]
+            yield [
+                [e[0] for e in part],
+                [groups[e[1]][0] for e in part],
+                [e[2] if groups[e[1]][1] == e[0] else -1 for e in part],
+                [groups[e[1]][2] for e in part],
+            ]
+
     for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(6)]
-        for rep, h, content, keep, serial, size in zip(*columns):
+        columns = [batch.column(i).to_pylist() for i in range(7)]
+        for path, rep, h, content, keep, serial, size in zip(*columns):
+            if path != bucket:
+                yield from settled()
+                bucket, table, groups, entries = path, ContentTable(), [], []
             at, new = table.place(h, content)
             if new:
                 groups.append([keep, rep, 0])
@@ -156,14 +170,7 @@ def resolve(batches):
                 group[0], group[1] = first, rep
             group[2] += size
             entries.append((rep, at, serial))
-    for start in range(0, len(entries), 10_000):
-        part = entries[start : start + 10_000]
-        yield [
-            [e[0] for e in part],
-            [groups[e[1]][0] for e in part],
-            [e[2] if groups[e[1]][1] == e[0] else -1 for e in part],
-            [groups[e[1]][2] for e in part],
-        ]
+    yield from settled()
 
 
 RESOLVED = "rep long, keep_id long, keep_serial long, group_size long"
@@ -187,8 +194,9 @@ def find_copies(
     )
     table = materialise(map_rows(rows, collapse(bucket_bytes), MEMBERS), "collapsed")
     members = table.filter(F.col("id").isNotNull() | F.col("sha").isNotNull()).select("rep", "id", "serial", "sha")
+    # The path tells the bucket an entry was spilled from; a bucket is dealt again by itself.
     pending = table.filter(F.col("hash").isNotNull()).select(
-        "rep", "hash", "content", "keep", "keep_serial", "size", "bytes"
+        F.lit(0).cast("long").alias("path"), "rep", "hash", "content", "keep", "keep_serial", "size", "bytes"
     )
     resolved, level = None, 0
     while True:
@@ -197,22 +205,24 @@ def find_copies(
         count = min(FAN_OUT, 1 + int(2 * total // bucket_bytes))
         dealt = pending.withColumn("bucket", F.pmod(F.xxhash64("hash", F.lit(level)), F.lit(count)).cast("int"))
         large = (
-            dealt.groupBy("bucket")
+            dealt.groupBy("path", "bucket")
             .agg(F.sum("bytes").alias("b"), F.min("hash").alias("lo"), F.max("hash").alias("hi"))
             .filter((F.col("b") > bucket_bytes) & (F.col("lo") < F.col("hi")))
-            .select("bucket")
+            .select("path", "bucket")
         )
         more = not large.isEmpty()
-        fits = dealt.join(large, "bucket", "left_anti") if more else dealt
+        fits = dealt.join(large, ["path", "bucket"], "left_anti") if more else dealt
+        placed = fits.repartitionById(count, F.col("bucket"))
+        # After a spill a task has one bucket of each path, one after another.
+        placed = placed.sortWithinPartitions("path") if level else placed
         part = map_rows(
-            fits.repartitionById(count, F.col("bucket")).select("rep", "hash", "content", "keep", "keep_serial", "size"),
-            resolve,
-            RESOLVED,
+            placed.select("path", "rep", "hash", "content", "keep", "keep_serial", "size"), resolve, RESOLVED
         )
         resolved = part if resolved is None else resolved.unionByName(part)
         if not more:
             break
-        pending = materialise(dealt.join(large, "bucket", "left_semi").drop("bucket"), "spilled")
+        spilled = dealt.join(large, ["path", "bucket"], "left_semi")
+        pending = materialise(spilled.withColumn("path", F.xxhash64("path", "bucket")).drop("bucket"), "spilled")
         level += 1
     joined = members.join(resolved, "rep")
     return joined.select(
