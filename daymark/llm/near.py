@@ -9,9 +9,15 @@ difference is at most D = (a + b)(1 - t)/(1 + t).
 
 *Pigeonhole.* Sizes fall into bands; a band has P > D parts, so two linked documents agree in at
 least P - D whole parts. A part's key is the XOR of fixed random numbers, one for each set bit.
-Documents meet where a key is equal. An empty part tells nothing: P is chosen a little above D + 1,
-and a document leaves out its empty parts as long as at most P - D - 1 of them are empty; otherwise
-it shows them too. A document near the upper end of its band also shows keys of the next band.
+Documents meet where a key is equal. A document near the upper end of its band also shows keys of the
+next band.
+
+*Shown parts.* A document's own size bounds its D in a band more closely. Take its parts in an order
+that both of a pair know, as it only looks at equal parts: the first one that agrees has at most D
+before it, as each of those differs. So D + 1 parts that are not empty are enough, and those of most
+shingles are taken: an empty part, or one that holds a common line alone, is the same in very many
+documents that are not alike. A document with fewer shows all it has, and again under another deal of
+shingles to parts, where it meets the others of its kind; only after the last deal it shows empty ones.
 
 *Groups.* Keys travel packed: a task sorts the keys of a chunk of documents and sends each distinct one
 to a range of keys once, however many of its documents show it. Most keys have no partner and end
@@ -40,8 +46,8 @@ from daymark.llm.parts import joined_by_parts
 from daymark.llm.sift import Sift, bits_at
 from daymark.session import materialise
 
-#: Ratio of a band's ends; spare parts in a band, as a share of D.
-BAND, SPARE = Fraction(3, 2), Fraction(1, 50)
+#: Ratio of a band's ends; spare parts in a band, as a share of D; deals of shingles to parts.
+BAND, SPARE, DEALS = Fraction(3, 2), Fraction(1, 10), 4
 #: Bits of a short sketch: twice the set size as a power of two, between these two.
 FEWEST_BITS, MOST_BITS = 512, 4096
 #: Members of one block of a group; partners of one part of a document.
@@ -110,6 +116,10 @@ class Bands:
         d = self.differing(2 * most)
         return d, d + 1 + int(np.ceil((d + 1) * SPARE))
 
+    def own(self, size: int, band: int) -> int:
+        """D of a set of ``size`` shingles and the partners that it meets in one band."""
+        return self.differing(size + min(int(_STARTS[band + 1]) - 1, self.largest_partner(size)))
+
     def of(self, size: int) -> list[int]:
         """The set's own band and those of the larger sets it may be linked with."""
         own = int(np.searchsorted(_STARTS, size, "right")) - 1
@@ -119,24 +129,34 @@ class Bands:
 
 def part_keys(hashes: np.ndarray, band: int, bands: Bands) -> np.ndarray:
     """Keys of the parts a set shows in one band."""
-    d, parts = bands.parts(band)
-    mixed = mix64(hashes)
-    part = (mixed >> np.uint64(40)) % np.uint64(parts)
-    # The bit's random number; a part has 2**40 bits, too many to store but not to XOR.
-    number = mix64((mixed & np.uint64((1 << 40) - 1)) + (part << np.uint64(40)) + np.uint64(1))
-    # Numbers of 16 bits sort by radix.
-    part = part.astype(np.uint16) if parts < 65536 else part
-    order = np.argsort(part, kind="stable")
-    sorted_part = part[order]
-    first = np.flatnonzero(np.concatenate(([True], sorted_part[1:] != sorted_part[:-1])))
-    keys = np.bitwise_xor.reduceat(number[order], first)
-    shown = sorted_part[first].astype(np.uint64)
-    empty = parts - len(shown)
-    if empty > parts - d - 1:
-        missing = np.setdiff1d(np.arange(parts, dtype=np.uint64), shown)
-        shown, keys = np.concatenate((shown, missing)), np.concatenate((keys, np.zeros(len(missing), np.uint64)))
-    # Part and band belong to the key.
-    return mix64(keys ^ mix64(shown + np.uint64(band << 32) + np.uint64(0x5851F42D4C957F2D)))
+    parts, most = bands.parts(band)[1], bands.own(len(hashes), band)
+    out = []
+    for deal in range(DEALS):
+        mixed = mix64(hashes ^ mix64(np.array([deal], np.uint64)))
+        part = (mixed >> np.uint64(40)) % np.uint64(parts)
+        # The bit's random number; a part has 2**40 bits, too many to store but not to XOR.
+        number = mix64((mixed & np.uint64((1 << 40) - 1)) + (part << np.uint64(40)) + np.uint64(1))
+        # Numbers of 16 bits sort by radix.
+        part = part.astype(np.uint16) if parts < 65536 else part
+        order = np.argsort(part, kind="stable")
+        sorted_part = part[order]
+        first = np.flatnonzero(np.concatenate(([True], sorted_part[1:] != sorted_part[:-1])))
+        keys = np.bitwise_xor.reduceat(number[order], first)
+        shown = sorted_part[first].astype(np.uint64)
+        enough = len(shown) > most
+        if enough:
+            held = np.minimum(np.diff(first, append=len(part)), 127).astype(np.int8)
+            taken = np.argsort(-held, kind="stable")[: most + 1]
+            shown, keys = shown[taken], keys[taken]
+        elif deal == DEALS - 1:
+            missing = np.setdiff1d(np.arange(parts, dtype=np.uint64), shown)
+            shown, keys = np.concatenate((shown, missing)), np.concatenate((keys, np.zeros(len(missing), np.uint64)))
+        # Part, band and deal belong to the key.
+        place = shown + np.uint64((band << 32) + (deal << 40)) + np.uint64(0x5851F42D4C957F2D)
+        out.append(mix64(keys ^ mix64(place)))
+        if enough:
+            break
+    return np.concatenate(out)
 
 
 def short_sketch(hashes: np.ndarray, bits_a_shingle: float = 2.0) -> bytes:
@@ -258,10 +278,10 @@ def gathered(table: pa.Table) -> pa.Table:
 def groups_of(texts: DataFrame, copies: DataFrame, width: int, percent: int, shingles: int) -> DataFrame:
     """Rows (key, id, pivot) of the keys that several documents show; ``copies`` (id) show none.
 
-    ``shingles`` of all rows together decide how many ranges there are: about 0.6 keys a shingle at a
+    ``shingles`` of all rows together decide how many ranges there are: about 0.4 keys a shingle at a
     similarity of 0.8, more at a lower one.
     """
-    ranges = 1 + int(shingles * 3 * (100 - percent) / 100) // RANGE_KEYS
+    ranges = 1 + int(shingles * 2 * (100 - percent) / 100) // RANGE_KEYS
     sift = Sift(copies, F.col("id"))
     sent = sent_keys(texts.select("id", "body", sift.spot(F.col("id")).alias("spot")), width, percent, ranges, sift.words)
     # Few rows, written out: a stage that looks ids up and makes keys holds two Python workers a core, and

@@ -143,6 +143,55 @@ def test_linked_sets_share_a_key(prose):
         assert keys[0] & keys[1]
 
 
+def shown_keys(hashes, bands):
+    return np.concatenate([near.part_keys(hashes, k, bands) for k in bands.of(len(hashes))])
+
+
+@pytest.mark.parametrize("deals, spare", [(near.DEALS, near.SPARE), (1, 0), (2, 3)])
+@pytest.mark.parametrize("percent", [50, 80, 95])
+def test_linked_sets_share_a_shown_part(monkeypatch, percent, deals, spare):
+    """Sets at the limit, one in the other or each with shingles of its own, also where parts run short."""
+    monkeypatch.setattr(near, "DEALS", deals)
+    monkeypatch.setattr(near, "SPARE", Fraction(spare))
+    rng = np.random.default_rng(percent)
+    bands, met = near.Bands(percent), 0
+    for i in range(400):
+        size = 1 + i % 12 if i % 2 else int(np.exp(rng.uniform(0, np.log(600)))) + 1
+        pool = np.unique(rng.integers(0, 2**63, 3 * size).astype(np.uint64))
+        rng.shuffle(pool)
+        a, gap = pool[:size], 0
+        for b in (pool[size - 1 :: -1], pool[: size * 100 // percent]):
+            if len(b) == size:
+                gap = bands.differing(2 * size) // 2
+                b = np.concatenate((a[gap:], pool[size : size + gap]))
+            a, b = np.sort(a), np.sort(b)
+            if near.linked(a, b, percent):
+                met += 1
+                assert set(shown_keys(a, bands).tolist()) & set(shown_keys(b, bands).tolist())
+            a = pool[:size]
+    assert met > 600
+
+
+def test_unlike_sets_of_one_size_show_no_common_key():
+    """Empty parts and parts that hold only a common passage are the same in unlike sets."""
+    rng = np.random.default_rng(8)
+    bands = near.Bands(80)
+    for size, passage, most in ((60, 0, 1), (150, 0, 1), (200, 9, 6), (800, 9, 3)):
+        common = rng.integers(0, 2**63, passage).astype(np.uint64)
+        keys = []
+        for _ in range(300):
+            own = rng.integers(0, 2**63, size + int(rng.integers(0, size // 4)) - passage).astype(np.uint64)
+            keys.append(shown_keys(np.unique(np.concatenate((common, own))), bands))
+        assert np.unique(np.concatenate(keys), return_counts=True)[1].max() <= most
+
+
+def test_groups_of_unlike_documents_stay_empty(spark, prose):
+    rows = [(i, " ".join(prose(5000 + i, 60 + i % 40))) for i in range(240)]
+    texts = spark.createDataFrame(rows, "id long, body string").repartition(3)
+    shown = near.groups_of(texts, texts.limit(0).select("id"), 5, 80, 240 * 80)
+    assert shown.count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (100, 100)], "a long, b long")
     got = {r["node"]: r["component"] for r in near.components(links).collect()}
